@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_decontaminate": decontaminate.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_near_dedup": near_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op8_near_dedup": near_dedup.ORACLE,
 }

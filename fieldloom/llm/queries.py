@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, near_dedup
+from . import decontaminate, exact_dedup, near_dedup, quality, sentencepiece_nbest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": sentencepiece_nbest.query,
     "op5_decontaminate": decontaminate.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_near_dedup": near_dedup.query,
+    "op9_quality": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -33,7 +33,7 @@ from . import shared
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 N_BEST = 4
 #: Chunks whose segmentations a task holds at once.
-HELD = 200_000
+HELD = 300_000
 #: Documents of a result batch.
 BATCH = 256
 BLANK = "▁"
@@ -55,31 +55,33 @@ class Pieces:
                 self.byte[int(piece[1:-1], 16)] = i
                 self.raw[i] = bytes([int(piece[1:-1], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.score[piece] = (i, model.get_score(i))
+                self.score[piece] = (model.get_score(i), (i,))
                 self.raw[i] = piece.replace(BLANK, " ").encode()
         if any(BLANK in piece.lstrip(BLANK) for piece in self.score):
             raise ValueError("a piece goes on past a word into a blank, so texts can't be cut there")
-        #: Each prefix of a piece, with None where it is no piece itself.
-        self.prefix = {piece[:k]: None for piece in self.score for k in range(1, len(piece))} | self.score
-        self.fallback = min(s for _, s in self.score.values() if s > -1e8) - 10.0
+        #: Each prefix of a piece, with False where it is no piece itself.
+        self.prefix = {piece[:k]: False for piece in self.score for k in range(1, len(piece))} | self.score
+        self.fallback = min(s for s, _ in self.score.values() if s > -1e8) - 10.0
         self.raw_first = np.cumsum([0, *map(len, self.raw)])
         self.raw_data = np.frombuffer(b"".join(self.raw), np.uint8)
 
     def lattice(self, chunk: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """Edges into each position as (from, score, ids), and the best score up to each."""
-        n, prefix = len(chunk), self.prefix
+        n, prefix = len(chunk), self.prefix.get
         into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         best = [0.0] + [-1e300] * n
         text = chunk.replace(BLANK, "\0").replace(" ", BLANK)
         for i in range(n):
-            here, j = best[i], i + 1
-            while j <= n and (part := text[i:j]) in prefix:
-                got = prefix[part]
-                if got is not None:
-                    into[j].append((i, got[1], (got[0],)))
-                    if here + got[1] > best[j]:
-                        best[j] = here + got[1]
-                j += 1
+            here = best[i]
+            for j in range(i + 1, n + 1):
+                got = prefix(text[i:j])
+                if got is None:
+                    break
+                if got:
+                    score = got[0]
+                    into[j].append((i, score, got[1]))
+                    if here + score > best[j]:
+                        best[j] = here + score
             if not into[i + 1] or into[i + 1][-1][0] != i:
                 ids = tuple(self.byte[b] for b in chunk[i].encode())
                 score = self.fallback * len(ids)

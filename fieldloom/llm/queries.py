@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, near_dedup, quality, sentencepiece_nbest
+from . import decontaminate, exact_dedup, licenses, near_dedup, quality, sentencepiece_nbest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_nbest.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": exact_dedup.query,
     "op8_near_dedup": near_dedup.query,
     "op9_quality": quality.query,
+    "op10_licenses": licenses.query,
 }
 
 ORACLE_SQL: dict[str, str] = {

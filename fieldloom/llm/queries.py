@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, licenses, near_dedup, quality, sentencepiece_nbest
+from . import context_mixing, decontaminate, exact_dedup, licenses, near_dedup, quality, sentencepiece_nbest, surrogates, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_nbest.query,
+    "op2_context_mixing": context_mixing.query,
+    "op3_toxicity": toxicity.query,
+    "op4_token_files": token_files.query,
     "op5_decontaminate": decontaminate.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_surrogates": surrogates.query,
     "op8_near_dedup": near_dedup.query,
     "op9_quality": quality.query,
     "op10_licenses": licenses.query,

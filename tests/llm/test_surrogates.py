@@ -1,0 +1,54 @@
+import re
+
+from fieldloom.llm import surrogates as sg
+
+SCHEMA = "doc_id long, text string, n_entities string, key int, own string, mentions int"
+TEXTS = [
+    "Write to Mr. John Smith or Mr SMITH, phone +1 (017) 555-7713 or +1-017-555-7713; Frau Olga Meier, Г-жа Анна Петрова.",
+    "Card 4371 2900 8412 5426 and 4371290084125426.",
+    "mail A.B-7@Mail7.Example.com. then a.b-7@mail7.example.com, DE89 3704 0044 0532 0130 00; ip 10.2.3.44, 123-45-6789",
+    'Mr. Smith token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"',
+    "plain text of 12 words in 1999, 3.14 and v1.2.3; a - b @ c",
+]
+
+
+def run(spark, texts):
+    rows = [(i, t, "x", 1, "y", 2) for i, t in enumerate(texts)]
+    out = sg.pseudonymised(spark.createDataFrame(rows, SCHEMA))
+    assert out.columns == ["doc_id", "text", "key", "own", "mentions", "n_entities", "entity_kinds"]
+    return {r.doc_id: r for r in out.collect()}
+
+
+def test_types_formats_and_coreference(spark):
+    out = run(spark, [*TEXTS, None, "", TEXTS[1], "lorem " * 40000 + "a@b.example"])
+    a = out[0].text
+    name = re.fullmatch(r"Write to Mr\. (\w+) (\w+) or Mr (\w+), phone \+1 \((\d{3})\) (\d{3})-(\d{4}) or \+1-(\d{3})-(\d{3})-(\d{4}); Frau (\w+) (\w+), Г-жа ([а-яА-Я]+) ([а-яА-Я]+)\.", a)
+    assert name and name[2].upper() == name[3] and name.group(4, 5, 6) == name.group(7, 8, 9)
+    assert name[1].endswith("n") and name[10].endswith("lia") and name[12].endswith("лия")
+    assert name[2] in out[3].text and "Smith" not in out[3].text
+    card = re.fullmatch(r"Card (\d{4}) (\d{4}) (\d{4}) (\d{4}) and (\d{16})\.", out[1].text)
+    assert card and "".join(card.group(1, 2, 3, 4)) == card[5] != "4371290084125426"
+    mail = re.fullmatch(r"mail (\S+@\S+\.com)\. then (\S+@\S+\.com), DE\d\d(?: \d{4}){4} \d\d; ip [\d.]+, \d{3}-\d\d-\d{4}", out[2].text)
+    assert mail and mail[1].lower() == mail[2]
+    assert out[4].text == TEXTS[4] and out[4].n_entities == 0 and out[5].text is None and out[6].text == ""
+    assert out[7].text == out[1].text
+    assert out[8].text.startswith("lorem " * 40000) and "a@b.example" not in out[8].text
+    assert out[0].entity_kinds == ["person", "phone"] and out[1].n_entities == 2
+
+
+def test_distinct_where_room_is_small(spark):
+    """All 300 addresses of one letter pattern: collisions are drawn anew, no surrogate is an entity."""
+    mails = [f"{a}@{b}.example" for a in "abcdefghijklmno" for b in "abcdefghijklmnopqrst"]
+    out = run(spark, [" ".join(mails[i::10]) for i in range(10)])
+    new = [m for i in range(10) for m in out[i].text.split(" ")]
+    assert len(set(new)) == len(mails) and not set(new) & set(mails)
+
+
+def test_keyed_and_repeatable(spark):
+    docs = spark.createDataFrame([(1, TEXTS[1])], "doc_id long, text string")
+    a, b, c = (sg.pseudonymised(docs, key=k).first().text for k in ("k", "k", "other"))
+    assert a == b != c
+
+
+def test_empty_table(spark):
+    assert sg.pseudonymised(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -43,19 +43,31 @@ FILE_BYTES = 8 << 20
 MOST_FILES = 2000
 PIECE_BYTES = 2 << 20
 #: Distinct chunks of text whose ids a worker holds.
-HELD = 1_000_000
+HELD = 3_000_000
 #: White space beyond ASCII, where texts can't be cut by bytes.
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
+#: Bytes by kind: 1 white space, 2 marks that a chunk may begin with, 3 ASCII letters and digits.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[32, *range(9, 14)]] = 1
+_KIND[[*b'.,;:!?"()-']] = 2
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 3
+
+
+def _wide_spaced(data: np.ndarray, bounds: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Documents with white space beyond ASCII; by their first bytes few are looked at."""
+    maybe = (data >= 0xE1) & (data <= 0xE3)
+    maybe[:-1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+    docs = np.unique(np.searchsorted(bounds, np.flatnonzero(maybe), "right") - 1)
+    return np.array([i for i in docs.tolist() if _WIDE_SPACE.search(texts[i].as_py())], np.int64)
 
 
 class ChunkEncoder:
     """Ids of texts by way of distinct chunks.
 
-    A chunk is a run of ASCII white space and the run of other characters after it. The
-    tokenizer's own first cut never joins what stands on both sides of such a bound, so the ids of the chunks
-    in turn are those of the text. Texts with other white space are encoded whole.
+    A chunk is a run of ASCII white space and the run of other characters after it, or what stands from
+    a punctuation mark after an ASCII letter or digit on. The tokenizer's own first cut never
+    joins what stands on both sides of such a bound, so the ids of the chunks in turn are those of the
+    text. Texts with other white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -63,41 +75,53 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark_id, self.mark = next(((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items()), (None, None))
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[int, int] = {}
-        self.first = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.int32)
-
-    def _add(self, hashes: list[int], chunks: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        self.number.update(zip(hashes, range(len(self.number), len(self.number) + len(hashes)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.int32)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the chunks and the number of each's; chunks go to the tokenizer joined by its special token."""
+        if self.mark is None or any(self.mark in c for c in chunks):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            return np.fromiter((i for x in found for i in x), np.int32), np.array([len(x) for x in found], np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(chunks) + self.mark], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(ids == self.mark_id)
+        return ids[ids != self.mark_id], np.diff(ends, prepend=-1) - 1
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the documents, each with its end, and where each document's begin."""
-        blank = _BLANK[data]
+        kind = _KIND[data]
         begins = np.zeros(len(data) + 1, bool)
-        begins[1:-1] = blank[1:] & ~blank[:-1]
+        begins[1:-1] = ((kind[1:] == 1) & (kind[:-1] != 1)) | ((kind[1:] == 2) & (kind[:-1] == 3))
         begins[bounds] = True
         start = np.flatnonzero(begins[:-1])
         end = np.append(start[1:], len(data))
-        hashes = hash_spans(data, start, end)
-        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.number) > HELD:
+        distinct, where, inverse = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)
+        if len(self.known) > HELD:
             self._clear()
-        get, keys = self.number.get, distinct.tolist()
-        new = [i for i, h in enumerate(keys) if get(h) is None]
-        raw = data.tobytes()
-        self._add([keys[i] for i in new], [raw[start[where[i]] : end[where[i]]].decode() for i in new])
-        number = np.fromiter(map(get, keys), np.int64, len(keys))[inverse]
-        size = (self.first[1:] - self.first[:-1])[number]
-        of_doc = np.searchsorted(start, bounds)
-        total = np.concatenate([[0], np.cumsum(size)])
+        at = np.searchsorted(self.known, distinct)
+        hit = np.zeros(len(distinct), bool)
+        inside = at < len(self.known)
+        hit[inside] = self.known[at[inside]] == distinct[inside]
+        number = np.empty(len(distinct), np.int32)
+        number[hit] = self.number[at[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            raw = data.tobytes()
+            chunks = [raw[i:j].decode() for i, j in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)]
+            parts = [self._ids(chunks[i : i + 1000]) for i in range(0, len(chunks), 1000)]
+            number[new] = len(self.first) - 1 + np.arange(len(new))
+            self.flat = np.concatenate([self.flat, *(x for x, _ in parts)])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate([n for _, n in parts]))])
+            self.known, self.number = np.insert(self.known, at[new], distinct[new]), np.insert(self.number, at[new], number[new])
+        number = number[inverse]
+        size = np.diff(self.first)[number]
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         ids = self.flat[np.repeat(self.first[:-1][number] - total[:-1], size) + np.arange(total[-1])]
-        ends = total[of_doc[1:]]
+        ends = total[np.searchsorted(start, bounds[1:])]
         return np.insert(ids, ends, END), np.append(0, ends + np.arange(1, len(ends) + 1))
 
 
@@ -111,12 +135,12 @@ def _encode(path: str):
         encoder = _encoder(path)
         for batch in batches:
             data, bounds = shared.text_buffer(batch.column(1))
-            wide = np.array([bool(t and _WIDE_SPACE.search(t)) for t in batch.column(1).to_pylist()], bool)
+            wide = _wide_spaced(data, bounds, batch.column(1))
             for a, b in shared.pieces(bounds, PIECE_BYTES):
                 ids, first = encoder.encode(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 each = [ids[i:j].astype("<u2") for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                for i in np.flatnonzero(wide[a:b]):
-                    each[i] = np.append(encoder.tokenizer.encode(batch.column(1)[a + int(i)].as_py(), add_special_tokens=False).ids, END).astype("<u2")
+                for i in wide[(wide >= a) & (wide < b)].tolist():
+                    each[i - a] = np.append(encoder.tokenizer.encode(batch.column(1)[i].as_py(), add_special_tokens=False).ids, END).astype("<u2")
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(x) for x in each], pa.int64()), pa.array([x.tobytes() for x in each], pa.binary())], names=["id", "n_tokens", "ids"])
 
     return encode

@@ -29,7 +29,7 @@ BUCKETS = 1 << 20
 LABELLED_BOUND = 20_000
 #: Words of fewer labelled texts are not used.
 LEAST_TEXTS = 4
-L1 = 4.0
+L1 = 1.0
 COUNTERFACTUAL = 50.0
 ROUNDS = 400
 PIECE_BYTES = 1 << 20

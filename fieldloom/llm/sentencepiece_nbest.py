@@ -4,7 +4,8 @@ A text gets a leading space; blanks stand as U+2581 in pieces. As no piece of th
 past a word into a blank, the lattice of a text has a cut before each run of blanks, and the best
 segmentation is that of its chunks in turn. For each chunk, a forward Viterbi pass gives the best
 score up to every position; a backward A* search from the end takes them as exact heuristics, so
-segmentations come out in order of their score. A text's N best combine those of its chunks: only
+segmentations come out in order of their score. Chunks of more than ``LONG`` characters (texts without
+blanks) are cut before wherever no piece spans a position, which all segmentations share. A text's N best combine those of its chunks: only
 the N - 1 chunks whose second choice costs least can differ, and the same search runs over them.
 
 A character that no piece covers is written as its UTF-8 bytes. So is U+2581 itself, hence
@@ -17,7 +18,9 @@ empty table gives an empty result. The model's path is a parameter, and executor
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -32,8 +35,10 @@ from . import shared
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 N_BEST = 4
-#: Chunks whose segmentations a task holds at once.
+#: Chunks whose segmentations a task holds at once, long ones counted by their length.
 HELD = 300_000
+#: Characters from which a chunk is cut at the positions that no piece spans.
+LONG = 64
 #: Documents of a result batch.
 BATCH = 256
 BLANK = "▁"
@@ -89,19 +94,62 @@ class Pieces:
                 best[i + 1] = max(best[i + 1], here + score)
         return into, best
 
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk cut at all positions that no piece spans."""
+        n, prefix = len(chunk), self.prefix.get
+        text = chunk.replace(BLANK, "\0").replace(" ", BLANK)
+        out, first, reach = [], 0, 1
+        for i in range(n):
+            if i >= reach:
+                out.append(chunk[first:i])
+                first = i
+            for j in range(i + 1, n + 1):
+                got = prefix(text[i:j])
+                if got is None:
+                    break
+                if got and j > reach:
+                    reach = j
+        return [*out, chunk[first:]]
+
 
 def best_paths(into: list[list[tuple]], best: list[float], n: int) -> list[tuple[float, tuple]]:
-    """Up to n paths as (score, labels), best first: backward A* whose heuristics are the forward scores."""
+    """Up to n paths as (score, labels), best first: backward A* whose heuristics are the forward scores.
+
+    Each entry points back to the one it extends. Of equal costs, later positions come first, so all that can reach
+    a position is there before it is expanded, in order of labels; its first n expansions are those of its n best ends.
+    Heuristics are exact: entries of the heap stand for different paths of just their costs, so none beyond the n-th cost is needed.
+    """
     out, end = [], len(best) - 1
-    heap = [(-best[end], (), end, 0.0)]
+    done = [0] * (end + 1)
+    heap = [(-best[end], -end, (), 0, 0.0, None)]
+    # kept for long lattices only: in short ones it costs more than it saves
+    costs, bound = [-best[end]] if end > LONG else None, math.inf
     while heap and len(out) < n:
-        cost, labels, at, behind = heapq.heappop(heap)
+        cost, at, own, _, behind, ahead = heapq.heappop(heap)
+        rank = done[-at]
+        if rank == n:
+            continue
+        done[-at] = rank + 1
+        node = (own, ahead)
         if at == 0:
-            out.append((behind, labels))
+            labels = []
+            while node:
+                labels += node[0]
+                node = node[1]
+            out.append((behind, tuple(labels)))
             continue
-        for start, score, own in into[at]:
+        if costs and cost in costs:
+            costs.remove(cost)
+        for start, score, label in into[-at]:
             g = behind + score
-            heapq.heappush(heap, (-(best[start] + g), own + labels, start, g))
+            f = -(best[start] + g)
+            if f <= bound and done[start] < n:
+                heapq.heappush(heap, (f, -start, label, rank, g, node))
+                if costs is not None:
+                    bisect.insort(costs, f)
+                    if len(costs) >= n:
+                        del costs[n:]
+                        bound = min(bound, costs[-1] + 1e-9 * (1 + abs(costs[-1])))
     return out
 
 
@@ -117,6 +165,7 @@ class Encoder:
         self.ids: list[tuple[int, ...]] = []
         self.score: list[float] = []
         self.gap: list[float] = []
+        self.long = 0
 
     def _add(self, chunk: str) -> int:
         found = best_paths(*self.pieces.lattice(chunk), min(self.n_best, 2))
@@ -124,15 +173,18 @@ class Encoder:
         self.ids.append(found[0][1])
         self.score.append(found[0][0])
         self.gap.append(found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+        self.long += len(chunk) // LONG
         return number
 
     def encode(self, text: str) -> tuple[list[int], float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
         """Ids, score, and for the N best from the second on: score and replaced runs (start, length, ids)."""
         if not text:
             return [], 0.0, []
-        if len(self.seen) > HELD:
+        if len(self.seen) + self.long > HELD:
             self._clear()
         chunks = _CHUNK.findall(" " + text) if "  " in text or text[0] == " " else [" " + c for c in text.split(" ")]
+        if max(map(len, chunks)) > LONG:
+            chunks = [p for c in chunks for p in (self.pieces.parts(c) if len(c) > LONG else (c,))]
         seen, numbers = self.seen, []
         for chunk in chunks:
             k = seen.get(chunk)

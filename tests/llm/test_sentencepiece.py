@@ -75,3 +75,42 @@ def test_small_cache_gives_the_same(monkeypatch):
 
 def test_empty(spark):
     assert S.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def k_best(pieces, text, n):
+    """Scores and ids of the n best segmentations, equal ones by their ids: ends of every position, from the last to the first."""
+    shown = text.replace(S.BLANK, "\0").replace(" ", S.BLANK)
+    ends = [[] for _ in text] + [[(0, None, None, 0)]]
+    for i in range(len(text) - 1, -1, -1):
+        edges = [(*pieces.score[shown[i:j]], j) for j in range(i + 1, min(i + 64, len(text)) + 1) if shown[i:j] in pieces.score]
+        if shown[i] not in pieces.score:
+            own = tuple(pieces.byte[b] for b in text[i].encode())
+            edges.append((pieces.fallback * len(own), own, i + 1))
+        ends[i] = sorted((-s + e[0], own, r, j) for s, own, j in edges for r, e in enumerate(ends[j]))[:n]
+    out = []
+    for first in ends[0]:
+        ids, at = [], first
+        while at[1]:
+            ids += at[1]
+            at = ends[at[3]][at[2]]
+        out.append((-first[0], ids))
+    return out
+
+
+def test_equal_scores_are_ordered_by_ids():
+    pieces = S.Pieces(S.MODEL)
+    for text in ("xxxxxxxxxxxxxxx", "-" * 41, "aaaaaaaaaaa", "thethethexxxx"):
+        assert [(s, list(ids)) for s, ids in S.best_paths(*pieces.lattice(text), 6)] == k_best(pieces, text, 6)
+
+
+def test_long_texts_without_blanks():
+    """A run of 100,000 characters, and 1 MB of base64: memory and time grow with the length only."""
+    import base64
+
+    pieces = S.Pieces(S.MODEL)
+    mixed = base64.b64encode(random.Random(3).randbytes(750_000)).decode()
+    for text in ("x" * 100_000, "=" * 100_000, "\u4e2d\u6587" * 5_000, mixed):
+        ids, score, others = S.Encoder(pieces, 4).encode(text)
+        assert b"".join(pieces.raw[i] for i in ids).decode() == " " + text
+        if len(text) <= 100_000:
+            assert [score, *(s for s, _ in others)] == [s for s, _ in k_best(pieces, " " + text, 4)]

@@ -7,7 +7,8 @@ separators, country prefixes and lengths as they stand. Names are made of syllab
 with an ending of the gender that the title or a known given name shows.
 
 Coreference: mentions with one normal form (case, separators and titles don't count; given name and
-surname are replaced each by itself) have one surrogate in all documents. Distinctness: surrogates
+surname are replaced each by itself) have one surrogate in all documents. Of the name words after a title the last
+is the surname. A document's names are also replaced where they stand without title, as whole words with a capital. Distinctness: surrogates
 that collide with one another or with any entity of the corpus are drawn anew with the next
 attempt's key, until none is left; from ``LONGER`` attempts on they grow longer, so that this ends.
 
@@ -37,6 +38,10 @@ CYRILLIC = "ба ко да фе га хи жо ка ли мо на пе ри с
 ENDINGS = {"latin": {"m": "n", "f": "lia", "u": "sel", "s": "rson"}, "cyrillic": {"m": "н", "f": "лия", "u": "сь", "s": "рсен"}}
 
 _NAME = r"[\p{Lu}][\p{L}\p{M}'’-]{1,40}"
+#: Where a word begins or ends.
+_EDGE = r"(?<=[\p{L}\p{M}'’-])(?![\p{L}\p{M}'’-])|(?<![\p{L}\p{M}'’-])(?=[\p{L}\p{M}'’-])"
+#: Of a word: quotes before it, the name, and possessive ending and quotes after it.
+_CORE = r"^(['’-]*)(.*?)((?:['’][sS])?['’-]*)$"
 #: Kinds in order of precedence, with their patterns (Java syntax).
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,6}",
@@ -46,7 +51,7 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}.-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\p{L}\p{N}]|-\d)",
     "phone": r"(?<![\p{L}\p{N}+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\p{L}\p{N}]|-\d)",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.? {_NAME}(?: {_NAME}){{0,9}}",
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -71,8 +76,10 @@ def _parts(mention: Column, kind: Column) -> Column:
     gender = F.when(title.isin(*MALE_TITLES) | first.isin(*MALE_NAMES), "m").when(title.isin(*FEMALE_TITLES) | first.isin(*FEMALE_NAMES), "f").otherwise("u")
     entity = lambda k, normal, g: F.struct(k.alias("kind"), normal.alias("normal"), g.alias("gender"))
     none = F.lit("")
-    surname = entity(F.lit("surname"), F.lower(F.element_at(words, -1)), none)
-    person = F.when(F.size(words) > 2, F.array(entity(F.lit("given"), first, gender), surname)).otherwise(F.array(surname))
+    surname = entity(F.lit("surname"), F.lower(F.regexp_extract(F.element_at(words, -1), _CORE, 2)), none)
+    # all words but the title and the last are given names
+    given = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: entity(F.lit("given"), F.lower(F.regexp_extract(w, _CORE, 2)), gender))
+    person = F.concat(given, F.array(surname))
     digits = F.regexp_replace(mention, r"[^0-9+]", "")
     normal = F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "email", F.lower(mention)).when(kind == "iban", F.regexp_replace(mention, " ", "")).otherwise(mention)
     return F.when(kind == "person", person).otherwise(F.array(entity(kind, normal, none)))
@@ -164,7 +171,7 @@ def _in_format(mention: Column, kind: Column, own: Column) -> Column:
     first = F.element_at(found, 1)
     words = F.split(mention, " ")
     # names: the case of the mention's word
-    cased = F.zip_with(F.slice(words, 2, 2), found, lambda old, new: F.when((old == F.upper(old)) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new)))
+    cased = F.zip_with(F.slice(words, 2, F.size(words)), found, lambda old, new: F.concat(F.when((old == F.upper(old)) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new)), F.regexp_extract(old, _CORE, 3)))
     person = F.concat_ws(" ", F.element_at(words, 1), F.concat_ws(" ", cased))
     # numbers: the surrogate's signs at the places of the mention's, and what is left of it after the last
     chars = F.split(mention, "")
@@ -175,6 +182,24 @@ def _in_format(mention: Column, kind: Column, own: Column) -> Column:
     return F.when(kind == "person", person).when(kind == "email", email).when(kind.isin("card", "ssn", "phone", "iban"), F.concat(F.array_join(number, ""), rest)).otherwise(first)
 
 
+def _named(gap: Column, own: Column) -> Column:
+    """Text between mentions, with the surrogates of the document's names wherever they stand as whole words with a capital."""
+    own_of = lambda n: F.coalesce(F.element_at(own, F.concat(F.lit("surname|"), n)), F.element_at(own, F.concat(F.lit("given|"), n)))
+
+    def other(word: Column) -> Column:
+        """The word itself, or, of a name, its surrogate in the word's case between the quotes and ending around it."""
+        core = F.regexp_extract(word, _CORE, 2)
+        new = own_of(F.lower(core))
+        cased = F.when((core == F.upper(core)) & (F.length(core) > 1), F.upper(new)).otherwise(F.initcap(new))
+        return F.when(core.rlike(r"^\p{Lu}"), F.concat(F.regexp_extract(word, _CORE, 1), cased, F.regexp_extract(word, _CORE, 3)))
+
+    # a name with hyphens as a whole, else by its parts
+    parted = lambda w: F.array_join(F.transform(F.split(w, "(?=-)|(?<=-)"), lambda x: F.coalesce(other(x), x)), "")
+    named = F.array_join(F.transform(F.split(gap, _EDGE), lambda w: F.coalesce(other(w), parted(w))), "")
+    persons = F.exists(F.map_keys(own), lambda k: k.startswith("surname|"))
+    return F.when(persons, named).otherwise(gap)
+
+
 def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in its texts, and columns n_entities (mentions) and entity_kinds (sorted, distinct).
 
@@ -195,7 +220,7 @@ def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Da
     placed = surrogates(entities, key).select("kind", "normal", "surrogate")
     maps = inside.select("key", "kind", "normal").distinct().join(placed, ["kind", "normal"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "normal"), "surrogate"))).alias("own"))
     maps = shared.written(maps, "pii-maps")
-    gaps = F.split(text, ANY, -1)
+    gaps = F.transform(F.split(text, ANY, -1), lambda g: _named(g, F.col("own")))
     new = F.zip_with("mentions", "kinds", lambda m, k: _in_format(m, k, F.col("own")))
     woven = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
     done = touched.join(maps, "key").withColumn(f"c{names.index(text_col)}", woven)

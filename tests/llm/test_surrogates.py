@@ -52,3 +52,13 @@ def test_keyed_and_repeatable(spark):
 
 def test_empty_table(spark):
     assert sg.pseudonymised(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_longer_names_and_mentions_without_title(spark):
+    text = "Mrs Anna Maria Schmidt wrote. Schmidt's friend (Anna Schmidt) met SCHMIDT; Schmidts, Annabel and 'Maria' left. Prof. Brown-Weiss: Brown-Weiss, brown bread."
+    out = run(spark, [text, "Schmidt alone, of a document without titled names", "mail a@b.example to Schmidt"])
+    new = out[0].text
+    m = re.fullmatch(r"Mrs (\w+) (\w+) (\w+) wrote\. (\w+)'s friend \((\w+) (\w+)\) met (\w+); Schmidts, Annabel and '(\w+)' left\. Prof\. ([\w-]+): ([\w-]+), brown bread\.", new)
+    assert m and not re.search(r"\b(Anna|Maria|Schmidt|SCHMIDT|Brown-Weiss)\b", new)
+    assert m[1] == m[5] and m[2] == m[8] and m[3] == m[4] == m[6] == m[7].capitalize() and m[9] == m[10] and len({m[1], m[2], m[3], m[9]}) == 4
+    assert "Schmidt alone" in out[1].text and out[2].text.endswith("to Schmidt")

@@ -1,19 +1,24 @@
 """Quality classifier by importance resampling over hashed n-grams.
 
 Two generative models of hashed word 1- and 2-grams are counted: of the raw text, over all
-documents, and of target text, the documents labelled good. A document's weight is the mean log
+documents, and of target text, documents labelled good. A document's weight is the mean log
 ratio of target to raw probability over its n-grams. The cut between good and bad is fitted on
-labelled rows; of all documents, as many as pass it are sampled without replacement by Gumbel
-top-k: the k largest of ``SHARPNESS * weight + Gumbel noise``. The noise comes from a hash of the
-text, so runs agree and copies stay together up to the last place.
+labelled rows that the target model did not count (one in ``CUT_FOLDS``); of all documents, as many as
+pass it are sampled without replacement by Gumbel top-k: the k largest of ``SHARPNESS * weight + Gumbel
+noise``. So a document is drawn by the importance weight of a run of ``SHARPNESS`` n-grams of it, however
+long it is; by the ratio of whole texts, length alone would decide between two good documents. The
+noise comes from a hash of the text, so runs agree and copies stay together up to the last place.
+
+Two scans read the texts: one counts both models, one weighs. Neither moves a text: labels, bounded
+in number, are sent to the tasks.
 
 The k-th largest key is found by counting in ever finer intervals, so no more than ``CELLS`` counts
 reach the driver.
 
 Defined results: a null or empty text has no n-grams, weight 0 and is rejected; without labels of
 both kinds nothing is rejected but empty texts; labels of unknown ids are ignored, and an id
-labelled twice counts as its first quality; a null quality is no label. Repeated rows
-count each time. Only id, text and label columns are read. An empty table gives an empty result.
+labelled twice counts as its smallest quality; a null quality is no label. Repeated rows
+count each time in the models; for the cut, rows that share an id count once, by their mean weight. Only id, text and label columns are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +36,9 @@ from .words import SPACED, Words, mix
 #: Buckets of hashed n-grams, and the pseudo-count of each.
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-#: Labelled documents that the target model and the cut are fitted on, at most.
+#: Labelled ids that the target model and the cut are fitted on, at most; one in CUT_FOLDS is for the cut.
 LABELLED_BOUND = 200_000
+CUT_FOLDS = 2
 #: Weight against noise in the sampling keys.
 SHARPNESS = 60.0
 CELLS = 1024
@@ -84,22 +90,28 @@ def _shapes(data: np.ndarray, words: Words) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
+    """Counts of rows (text, target), of all texts and of those that are target text."""
+    total = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
         data, bounds = shared.text_buffer(batch.column(0))
+        target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for a, b in shared.pieces(bounds, PIECE_BYTES):
-            grams, _ = features(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-            total += np.bincount(grams, minlength=BUCKETS)
-    held = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], names=["bucket", "n"])
+            grams, first = features(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+            total[0] += np.bincount(grams, minlength=BUCKETS)
+            if target[a:b].any():
+                total[1] += np.bincount(grams[np.repeat(target[a:b], np.diff(first))], minlength=BUCKETS)
+    held = np.flatnonzero(total[0])
+    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[0][held]), pa.array(total[1][held])], names=["bucket", "raw", "target"])
 
 
-def model(texts: DataFrame) -> np.ndarray:
-    """Log probabilities of all buckets, counted over all rows of a one-column table; a fixed number of sums reaches the driver."""
-    total = np.full(BUCKETS, SMOOTHING)
-    counts = texts.mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total[counts["bucket"].to_numpy(np.int64)] += counts["n"].to_numpy(np.float64)
-    return np.log(total / total.sum())
+def ratio(texts: DataFrame) -> np.ndarray:
+    """Log ratio of target to raw probability of all buckets, over rows (text, target); a fixed number of sums reaches the driver."""
+    total = np.full((2, BUCKETS), SMOOTHING)
+    counts = texts.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    for row, name in zip(total, ("raw", "target"), strict=True):
+        row[counts["bucket"].to_numpy(np.int64)] += counts[name].to_numpy(np.float64)
+    raw, target = np.log(total / total.sum(1, keepdims=True))
+    return target - raw
 
 
 def _weigh(ratio_sent):
@@ -126,7 +138,7 @@ def _noise(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
-    """Cut that keeps most good rows and loses most bad ones, a good row lost counting three times; it lies between neighbours, nearer to the bad one."""
+    """Cut that keeps most good rows and loses most bad ones, a good row lost counting three times; it lies between neighbours, nearer to the bad one by that ratio."""
     order = np.argsort(weight, kind="stable")
     weight, good = weight[order], good[order].astype(bool)
     if not good.any() or good.all():
@@ -165,15 +177,15 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("good"))
-    known = known.orderBy(F.xxhash64("id")).limit(LABELLED_BOUND)
-    labelled = shared.written(texts.join(known, "id"), "quality-labelled")
-    raw = model(texts.select("text"))
-    ratio = spark.sparkContext.broadcast(model(labelled.where("good = 1").select("text")) - raw)
+    known = known.orderBy(F.xxhash64("id")).limit(LABELLED_BOUND).withColumn("cut", F.pmod(F.xxhash64("id", F.lit("cut")), F.lit(CUT_FOLDS)) == 0)
+    known = F.broadcast(shared.written(known.coalesce(1), "quality-labels"))
+    target = F.coalesce((F.col("good") == 1) & ~F.col("cut"), F.lit(False))
+    sent = spark.sparkContext.broadcast(ratio(texts.join(known, "id", "left").select("text", target.alias("target"))))
     kinds = f"id {docs.schema[id_col].dataType.simpleString()}, n_grams long, weight double, gumbel double"
-    fitted = labelled.select("id", "text").mapInArrow(_weigh(ratio), kinds).join(known, "id").where("n_grams > 0").select("weight", "good").toPandas()
-    cut = best_cut(fitted["weight"].to_numpy(), fitted["good"].to_numpy() == 1)
-    weighed = texts.mapInArrow(_weigh(ratio), kinds).withColumn("key", F.when(F.col("n_grams") > 0, SHARPNESS * F.col("weight") + F.col("gumbel")))
+    weighed = texts.mapInArrow(_weigh(sent), kinds).withColumn("key", F.when(F.col("n_grams") > 0, SHARPNESS * F.col("weight") + F.col("gumbel")))
     weighed = shared.written(weighed, "quality-weighed")
+    fitted = weighed.where("n_grams > 0").join(known.where("cut"), "id").groupBy("id").agg(F.avg("weight").alias("weight"), F.first("good").alias("good")).toPandas()
+    cut = best_cut(fitted["weight"].to_numpy(), fitted["good"].to_numpy() == 1)
     k = weighed.where((F.col("n_grams") > 0) & (F.col("weight") >= F.lit(cut))).count()
     least = kth_largest(weighed.where("key IS NOT NULL").select("key"), "key", k) if k else np.inf
     accepted = F.coalesce(F.col("key") >= F.lit(float(least)), F.lit(False))

@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from fieldloom.llm import quality as Q
 
 
@@ -30,7 +32,9 @@ def test_weights_against_brute_force(spark):
     docs, labels = frames(spark)
     texts = dict(sample()[0])
     grams = {i: Q.features(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0] for i, t in texts.items()}
-    good = [i for i, q in sample()[1] if q == 1 and i in texts and i != 4]
+    fold = {r.id for r in spark.createDataFrame([(i,) for i in texts], "id long").where(F.pmod(F.xxhash64("id", F.lit("cut")), F.lit(Q.CUT_FOLDS)) == 0).collect()}
+    assert 0.3 < len(fold) / len(texts) < 0.7
+    good = [i for i, q in sample()[1] if q == 1 and i in texts and i != 4 and i not in fold]
     count = lambda ids: np.bincount(np.concatenate([grams[i] for i in ids]), minlength=Q.BUCKETS) + Q.SMOOTHING
     target, raw = count(good), count(texts)
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
@@ -52,3 +56,18 @@ def test_stage_and_empty(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == accepted >= {i for i in range(400) if i % 4}
     assert Q.quality(docs.limit(0), labels).count() == 0
     assert Q.quality(docs, labels.limit(0)).where("accepted").count() == 401
+
+
+def test_repeated_rows_count_each_time(spark):
+    docs, labels = frames(spark)
+    twice = docs.unionByName(docs.where("doc_id < 8"))
+    rows = Q.quality(twice, labels).where("doc_id < 8").collect()
+    assert len(rows) == 16 and len({(r.doc_id, r.weight, r.key, r.accepted) for r in rows}) == 8
+
+
+def test_texts_are_not_shuffled(spark):
+    """Labels travel to the texts, so the plan of the counting scan has no exchange below the texts' side."""
+    docs, labels = frames(spark)
+    known = F.broadcast(labels.selectExpr("doc_id AS id", "quality AS good").limit(10))
+    plan = docs.selectExpr("doc_id AS id", "text").join(known, "id", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

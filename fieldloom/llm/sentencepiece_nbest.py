@@ -2,11 +2,16 @@
 
 A text gets a leading space; blanks stand as U+2581 in pieces. As no piece of the model goes on
 past a word into a blank, the lattice of a text has a cut before each run of blanks, and the best
-segmentation is that of its chunks in turn. For each chunk, a forward Viterbi pass gives the best
-score up to every position; a backward A* search from the end takes them as exact heuristics, so
-segmentations come out in order of their score. Chunks of more than ``LONG`` characters (texts without
-blanks) are cut before wherever no piece spans a position, which all segmentations share. A text's N best combine those of its chunks: only
-the N - 1 chunks whose second choice costs least can differ, and the same search runs over them.
+segmentation is that of its chunks in turn. New chunks of one length are segmented side by side: a forward
+Viterbi pass gives the best score up to every position, a backward one the best from there on, and both
+together the cost of the best segmentation through each piece, hence a chunk's second choice. Chunks of more
+than ``LONG`` bytes (texts without blanks) are first cut wherever no piece spans a position, which all
+segmentations share.
+
+A text's N best combine those of its chunks: only the N - 1 chunks whose second choice costs least can differ
+(of equal ones, those whose second choice comes first by ids). For these a backward A* search from the end
+takes the forward scores as exact heuristics, so segmentations come out in order of their score; they are held
+with the chunk. The same search runs over the chunks' choices for the text's own N best.
 
 A character that no piece covers is written as its UTF-8 bytes. So is U+2581 itself, hence
 decoding gives back any text exactly.
@@ -21,7 +26,6 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,17 +36,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
+from .words import hash_spans
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 N_BEST = 4
-#: Chunks whose segmentations a task holds at once, long ones counted by their length.
-HELD = 300_000
-#: Characters from which a chunk is cut at the positions that no piece spans.
+#: Chunks whose segmentations a task holds at once.
+HELD = 1_000_000
+#: Bytes from which a chunk is cut at the positions that no piece spans, and searched by itself.
 LONG = 64
+#: Bytes of text taken at once; cells of the lattices that are filled side by side.
+PIECE_BYTES = 1 << 20
+CELLS = 1 << 20
 #: Documents of a result batch.
 BATCH = 256
 BLANK = "▁"
-_CHUNK = re.compile(" *[^ ]+| +")
+_NONE = -1e300
+#: Bytes of the character that each byte begins; 0 for those inside one.
+_WIDTH = np.repeat(np.array([1, 0, 2, 3, 4], np.int64), [128, 64, 32, 16, 16])
+_MARK = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
@@ -67,6 +79,17 @@ class Pieces:
         #: Each prefix of a piece, with False where it is no piece itself.
         self.prefix = {piece[:k]: False for piece in self.score for k in range(1, len(piece))} | self.score
         self.fallback = min(s for s, _ in self.score.values() if s > -1e8) - 10.0
+        spelled = [p.replace(BLANK, " ").encode() for p in self.score]
+        self.longest = max(map(len, spelled))
+        keys = np.array([_key(p) for p in spelled], np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.key_score = np.array([v[0] for v in self.score.values()])[order]
+        self.key_id = np.array([v[1][0] for v in self.score.values()], np.int32)[order]
+        #: Whether any key has these leading bits.
+        self.some = np.zeros(1 << 20, bool)
+        self.some[(keys >> np.uint64(44)).astype(np.int64)] = True
+        self.byte_id = np.array([self.byte.get(b, 0) for b in range(256)], np.int32)
         self.raw_first = np.cumsum([0, *map(len, self.raw)])
         self.raw_data = np.frombuffer(b"".join(self.raw), np.uint8)
 
@@ -153,6 +176,65 @@ def best_paths(into: list[list[tuple]], best: list[float], n: int) -> list[tuple
     return out
 
 
+def _key(piece: bytes) -> int:
+    key = 0
+    for byte in piece:
+        key = (key * int(_STEP) + int(_MARK[byte])) % 2**64
+    return key
+
+
+def segment(pieces: Pieces, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of one length as rows of bytes: ids at the bytes where they begin (-1 elsewhere), best scores, and costs of the second choices.
+
+    Of equal scores the smallest ids are taken, from the first on.
+    """
+    rows, n = chunks.shape
+    wide = min(n, pieces.longest)
+    score = np.full((rows, n, max(wide, 4)), _NONE)
+    label = np.full(score.shape, 2**30, np.int32)
+    marks, key = _MARK[chunks], np.zeros((rows, n), np.uint64)
+    for w in range(wide):
+        key = key[:, : n - w] * _STEP + marks[:, w:]
+        row, at = np.nonzero(pieces.some[(key >> np.uint64(44)).astype(np.int64)])
+        here = key[row, at]
+        found = np.minimum(np.searchsorted(pieces.keys, here), len(pieces.keys) - 1)
+        same = pieces.keys[found] == here
+        row, at, found = row[same], at[same], found[same]
+        score[row, at, w], label[row, at, w] = pieces.key_score[found], pieces.key_id[found]
+    width = _WIDTH[chunks]
+    row, at = np.nonzero(width)
+    w = width[row, at] - 1
+    bare = label[row, at, w] == 2**30
+    row, at, w = row[bare], at[bare], w[bare]
+    score[row, at, w], label[row, at, w] = pieces.fallback * (w + 1), pieces.byte_id[chunks[row, at]]
+    wide = score.shape[2]
+    ahead, behind = np.full((rows, n + wide), _NONE), np.full((rows, n + wide), _NONE)
+    ahead[:, 0], behind[:, n] = 0.0, 0.0
+    for i in range(n):
+        into = ahead[:, i + 1 : i + 1 + wide]
+        np.maximum(into, ahead[:, i, None] + score[:, i, : into.shape[1]], out=into)
+    for i in reversed(range(n)):
+        out = behind[:, i + 1 : i + 1 + wide]
+        behind[:, i] = (score[:, i, : out.shape[1]] + out).max(1)
+    ids, place, second = np.full((rows, n), -1, np.int32), np.zeros(rows, np.int64), np.full(rows, -np.inf)
+    for i in range(n):
+        out = behind[:, i + 1 : i + 1 + wide]
+        total = score[:, i, : out.shape[1]] + out
+        here = np.flatnonzero(place == i)
+        w = np.where(total[here] == behind[here, i, None], label[here, i, : out.shape[1]], 2**31 - 1).argmin(1)
+        ids[here, i] = label[here, i, w]
+        place[here] = i + 1 + w
+        total[here, w] = _NONE
+        np.maximum(second, ahead[:, i] + total.max(1), out=second)
+    # a character without piece: the ids of all its bytes
+    row, at = row[ids[row, at] == label[row, at, width[row, at] - 1]], at[ids[row, at] == label[row, at, width[row, at] - 1]]
+    for d in range(1, 4):
+        more = width[row, at] > d
+        ids[row[more], at[more] + d] = pieces.byte_id[chunks[row[more], at[more] + d]]
+    best = behind[:, 0]
+    return ids, best, np.where(second > -1e200, np.maximum(best - second, 0.0), np.inf)
+
+
 class Encoder:
     """Segmentations of chunks, held while there are at most ``HELD`` of them."""
 
@@ -161,52 +243,145 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.ids: list[tuple[int, ...]] = []
-        self.score: list[float] = []
-        self.gap: list[float] = []
-        self.long = 0
-
-    def _add(self, chunk: str) -> int:
-        found = best_paths(*self.pieces.lattice(chunk), min(self.n_best, 2))
-        self.seen[chunk] = number = len(self.ids)
-        self.ids.append(found[0][1])
-        self.score.append(found[0][0])
-        self.gap.append(found[0][0] - found[1][0] if len(found) > 1 else np.inf)
-        self.long += len(chunk) // LONG
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.score, self.gap = np.zeros(0), np.zeros(0)
+        self.paths: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
+
+    def _cut(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of all chunks; each document that is not empty begins with a blank."""
+        blank = data == 32
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        begins[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data))
+        for i in np.flatnonzero(end - start > LONG).tolist():
+            at = int(start[i])
+            for part in self.pieces.parts(data[start[i] : end[i]].tobytes().decode()):
+                begins[at] = True
+                at += len(part.encode())
+        start = np.flatnonzero(begins)
+        return start, np.append(start[1:], len(data))
+
+    def _numbers(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks of the documents as numbers of held ones, and where each document's begin."""
+        start, end = self._cut(data, bounds)
+        distinct, where, inverse = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        hit = np.zeros(len(distinct), bool)
+        inside = at < len(self.known)
+        hit[inside] = self.known[at[inside]] == distinct[inside]
+        number = np.empty(len(distinct), np.int32)
+        number[hit] = self.number[at[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            number[new] = self._add(data, start[where[new]], end[where[new]])
+            self.known, self.number = np.insert(self.known, at[new], distinct[new]), np.insert(self.number, at[new], number[new])
+        return number[inverse], np.searchsorted(start, bounds)
+
+    def _add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Segment new chunks and hold them; their numbers."""
+        size = end - start
+        order = np.argsort(size, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(size[order])) + 1)
+        ids, counts, scores, gaps = [], [], [], []
+        for group in groups:
+            n = int(size[group[0]])
+            if n > LONG:
+                for i in group.tolist():
+                    found = best_paths(*self.pieces.lattice(data[start[i] : end[i]].tobytes().decode()), min(self.n_best, 2))
+                    ids.append(np.array(found[0][1], np.int32))
+                    counts.append([len(found[0][1])])
+                    scores.append([found[0][0]])
+                    gaps.append([found[0][0] - found[1][0] if len(found) > 1 else np.inf])
+                continue
+            most = max(1, CELLS // (n * max(4, min(n, self.pieces.longest))))
+            for a in range(0, len(group), most):
+                own, best, gap = segment(self.pieces, data[start[group[a : a + most], None] + np.arange(n)])
+                held = own >= 0
+                ids.append(own[held])
+                counts.append(held.sum(1))
+                scores.append(best)
+                gaps.append(gap)
+        number = np.empty(len(start), np.int32)
+        number[order] = len(self.score) + np.arange(len(start), dtype=np.int32)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(counts))])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.score, self.gap = np.concatenate([self.score, *scores]), np.concatenate([self.gap, *gaps])
         return number
 
-    def encode(self, text: str) -> tuple[list[int], float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
-        """Ids, score, and for the N best from the second on: score and replaced runs (start, length, ids)."""
-        if not text:
-            return [], 0.0, []
-        if len(self.seen) + self.long > HELD:
+    def _paths(self, number: int, spelled) -> list[tuple[float, tuple[int, ...]]]:
+        """The N best of a chunk, held once found; ``spelled`` gives its text."""
+        found = self.paths.get(number)
+        if found is None:
+            found = self.paths[number] = best_paths(*self.pieces.lattice(spelled()), self.n_best)
+        return found
+
+    def _text(self, number: int) -> str:
+        return b"".join(self.pieces.raw[i] for i in self.ids[self.first[number] : self.first[number + 1]].tolist()).decode()
+
+    def encode_batch(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """Flat ids of the documents, where each one's begin, scores, and for the N best from the second on: score and replaced runs (start, length, ids)."""
+        if len(self.known) > HELD:
             self._clear()
-        chunks = _CHUNK.findall(" " + text) if "  " in text or text[0] == " " else [" " + c for c in text.split(" ")]
-        if max(map(len, chunks)) > LONG:
-            chunks = [p for c in chunks for p in (self.pieces.parts(c) if len(c) > LONG else (c,))]
-        seen, numbers = self.seen, []
-        for chunk in chunks:
-            k = seen.get(chunk)
-            numbers.append(self._add(chunk) if k is None else k)
-        ids, gaps = self.ids, self.gap
-        flat = [x for k in numbers for x in ids[k]]
-        score = sum(map(self.score.__getitem__, numbers))
-        return flat, score, self._others(chunks, numbers, score, [gaps[k] for k in numbers]) if self.n_best > 1 else []
-
-    def _others(self, chunks: list[str], numbers: list[int], score: float, gap: list[float]) -> list:
-        near = sorted(heapq.nsmallest(self.n_best - 1, range(len(gap)), key=gap.__getitem__))
+        full = bounds[1:] > bounds[:-1]
+        data = np.insert(data, bounds[:-1][full], 32)
+        bounds = bounds + np.concatenate([[0], np.cumsum(full)])
+        if len(bounds) == 2 and len(data) > 4 * PIECE_BYTES:
+            # one long text: in runs that end before blanks
+            cuts = np.flatnonzero((data[1:] == 32) & (data[:-1] != 32)) + 1
+            cuts = np.unique(cuts[np.searchsorted(cuts, np.arange(PIECE_BYTES, len(data), PIECE_BYTES)).clip(max=len(cuts) - 1)]) if len(cuts) else cuts
+            edges = [0, *cuts.tolist(), len(data)]
+            number = np.concatenate([self._numbers(data[a:b], np.array([0, b - a]))[0] for a, b in zip(edges[:-1], edges[1:], strict=True)])
+            first = np.array([0, len(number)])
+        else:
+            number, first = self._numbers(data, bounds)
+        size = np.diff(self.first)[number]
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        flat = self.ids[np.repeat(self.first[:-1][number] - total[:-1], size) + np.arange(total[-1])]
+        run = np.concatenate([[0.0], np.cumsum(self.score[number])])
+        score = run[first[1:]] - run[first[:-1]]
+        gap, others = self.gap[number], []
+        for a, b, s in zip(first[:-1].tolist(), first[1:].tolist(), score.tolist(), strict=True):
+            others.append(self._others(number[a:b], gap[a:b], total[a : b + 1] - total[a], s) if self.n_best > 1 and b > a else [])
+        return flat, total[first], score, others
+
+    def encode(self, text: str) -> tuple[list[int], float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
+        """Ids, score and the next best of one text."""
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        flat, _, score, others = self.encode_batch(raw, np.array([0, len(raw)]))
+        return flat.tolist(), float(score[0]), others[0]
+
+    def _nearest(self, number: np.ndarray, gap: np.ndarray) -> list[int]:
+        """The N - 1 chunks whose second choice makes the next best texts: by cost, then by the ids of the text that results."""
+        n = self.n_best - 1
+        if len(gap) <= n:
+            return np.flatnonzero(gap < np.inf).tolist()
+        cut = np.partition(gap, n - 1)[n - 1]
+        sure, tied = np.flatnonzero(gap < cut), np.flatnonzero(gap == cut)
+        if cut == np.inf:
+            return sure.tolist()
+        more = n - len(sure)
+        if len(tied) > more:
+            kinds = np.unique(number[tied])
+            found = [self._paths(k, lambda k=k: self._text(k)) for k in kinds.tolist()]
+            lower = np.array([p[1][1] < p[0][1] for p in found])[np.searchsorted(kinds, number[tied])]
+            tied = np.concatenate([tied[lower], tied[~lower][::-1]])[:more]
+        return sorted([*sure.tolist(), *tied.tolist()])
+
+    def _others(self, number: np.ndarray, gap: np.ndarray, starts: np.ndarray, score: float) -> list:
         into, best = [[]], [0.0]
-        for k, i in enumerate(near):
-            found = best_paths(*self.pieces.lattice(chunks[i]), self.n_best)
-            into.append([(k, s - found[0][0], ((i, own),)) for s, own in found])
+        chosen = {}
+        for k, i in enumerate(self._nearest(number, gap)):
+            own = int(number[i])
+            found = self._paths(own, lambda own=own: self._text(own))
+            chosen[i] = found[0][1]
+            into.append([(k, s - found[0][0], ((i, ids),)) for s, ids in found])
             best.append(0.0)
-        starts = [0]
-        for k in numbers:
-            starts.append(starts[-1] + len(self.ids[k]))
         out = []
         for s, labels in best_paths(into, best, self.n_best)[1:]:
-            out.append((score + s, [(starts[i], starts[i + 1] - starts[i], list(own)) for i, own in labels if own != self.ids[numbers[i]]]))
+            out.append((score + s, [(int(starts[i]), int(starts[i + 1] - starts[i]), list(ids)) for i, ids in labels if ids != chosen[i]]))
         return out
 
 
@@ -222,14 +397,14 @@ def _encode(path: str, n_best: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(_pieces(path), n_best)
         for whole in batches:
-            for a in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(a, BATCH)
-                found = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
-                bounds = np.cumsum([0, *(len(x[0]) for x in found)])
-                flat = np.fromiter((k for x in found for k in x[0]), np.int32, bounds[-1])
-                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
-                others = pa.array([[{"score": s, "edits": [{"start": i, "length": n, "ids": own} for i, n, own in edits]} for s, edits in x[2]] for x in found], _NBEST)
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([x[1] for x in found], pa.float64()), others], names=["id", "ids", "score", "others"])
+            data, bounds = shared.text_buffer(whole.column(1))
+            for a, b in shared.pieces(bounds, PIECE_BYTES):
+                ids, first, score, others = encoder.encode_batch(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+                for c in range(0, b - a, BATCH):
+                    d = min(c + BATCH, b - a)
+                    lists = pa.ListArray.from_arrays(pa.array(first[c : d + 1] - first[c], pa.int32()), pa.array(ids[first[c] : first[d]]))
+                    next_best = pa.array([[{"score": s, "edits": [{"start": i, "length": n, "ids": own} for i, n, own in edits]} for s, edits in x] for x in others[c:d]], _NBEST)
+                    yield pa.RecordBatch.from_arrays([whole.column(0)[a + c : a + d], lists, pa.array(score[c:d]), next_best], names=["id", "ids", "score", "others"])
 
     return encode
 
@@ -274,7 +449,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids as text of their digest, scores of the N best, and the digest of the text that decoding gives back."""
-    encoded = shared.written(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pieces")
+    encoded = shared.written(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pieces", compression="zstd")
     digest = encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.col("ids"), ","), 256).alias("ids_sha256"), "score", F.col("others.score").alias("other_scores"))
     texts = decode(encoded).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
     return digest.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")

@@ -33,7 +33,7 @@ def paths(pieces, text):
             go(i + 1, score + pieces.fallback * len(own), ids + own)
 
     go(0, 0.0, ())
-    return sorted(out, key=lambda x: -x[0])
+    return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
 def applied(ids, edits):
@@ -49,11 +49,8 @@ def test_n_best_against_all_paths():
         encoder = S.Encoder(pieces, 6)
         ids, score, others = encoder.encode(text)
         want = paths(pieces, " " + text)
-        assert len(others) == min(6, len(want)) - 1
-        for (s, own), (w, _) in zip([(score, ids), *((s, applied(ids, e)) for s, e in others)], want, strict=False):
-            assert abs(s - w) < 1e-6
-            assert any(tuple(own) == p and abs(q - s) < 1e-6 for q, p in want)
-        assert len({tuple(applied(ids, e)) for _, e in others} | {tuple(ids)}) == len(others) + 1
+        # in order of score, equal ones by their ids
+        assert [(round(s, 6), tuple(own)) for s, own in [(score, ids), *((s, applied(ids, e)) for s, e in others)]] == [(round(s, 6), p) for s, p in want[:6]]
 
 
 def test_pieces_agree_with_the_library(spark):
@@ -114,3 +111,10 @@ def test_long_texts_without_blanks():
         assert b"".join(pieces.raw[i] for i in ids).decode() == " " + text
         if len(text) <= 100_000:
             assert [score, *(s for s, _ in others)] == [s for s, _ in k_best(pieces, " " + text, 4)]
+
+
+def test_one_text_in_runs_is_the_same(monkeypatch):
+    text = "some words,  and 中文 " * 400
+    want = S.Encoder(S.Pieces(S.MODEL), 4).encode(text)
+    monkeypatch.setattr(S, "PIECE_BYTES", 256)
+    assert S.Encoder(S.Pieces(S.MODEL), 4).encode(text) == want

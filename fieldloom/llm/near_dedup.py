@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
+from . import filters, shared
 from .components import connected_components
 from .words import SPACED, Words, mix, shingles
 
@@ -195,9 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows of ``docs`` whose document stays for its class, with all columns."""
-    dropped = shared.written(near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(F.col(id_col).alias("_dropped_id")).distinct(), "near-dropped")
-    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return named.join(dropped, named[f"c{docs.columns.index(id_col)}"] == dropped["_dropped_id"], "left_anti").toDF(*docs.columns)
+    dropped = near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(F.col(id_col).alias("id")).distinct()
+    return filters.without_keys(docs, id_col, shared.written(dropped, "near-dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
+from . import filters, shared
 from .words import SPACED, Words, mix
 
 #: Buckets of hashed n-grams, and the pseudo-count of each.
@@ -194,9 +194,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def accepted_only(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document is accepted, with all columns. Rows that share an id go together."""
-    rejected = shared.written(quality(docs, labels, id_col, text_col).groupBy(F.col(id_col).alias("_rejected_id")).agg(F.max("accepted").alias("_accepted")).where("NOT _accepted").select("_rejected_id"), "quality-rejected")
-    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return named.join(rejected, named[f"c{docs.columns.index(id_col)}"].eqNullSafe(rejected["_rejected_id"]), "left_anti").toDF(*docs.columns)
+    decided = quality(docs, labels, id_col, text_col).groupBy(F.col(id_col).alias("id")).agg(F.max("accepted").alias("accepted"))
+    return filters.without_keys(docs, id_col, shared.written(decided.where("NOT accepted").select("id"), "quality-rejected"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

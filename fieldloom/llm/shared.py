@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), one is made and set."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, one is made and set, on a local master only."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -24,8 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_table(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the session's file system closes."""
     path = f"{shared_dir(spark)}/work/{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    found, system = _hadoop(spark, path)
+    system.deleteOnExit(found)
     return path
 
 
@@ -37,12 +39,26 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    found, system = _hadoop(spark, path)
+    system.delete(found, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` once nothing reads it any more."""
-    spark = df.sparkSession
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        drop_path(df.sparkSession, parent)
+
+
+def whole_tables(spark: SparkSession, folder: str, name: str = "*") -> list[str]:
+    """Names of the tables in a folder whose writing ended."""
+    found, system = _hadoop(spark, f"{folder}/{name}/_SUCCESS")
+    return [x.getPath().getParent().getName() for x in system.globStatus(found) or []]
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,48 +1,149 @@
-"""Facts of identity cards read from their text, as columns."""
+"""Facts of identity cards read from their text, as columns over the array of its lines."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapsed, fold_digits
+from .text import n_words
 
-# Patterns of numbers on cards.
-AADHAAR = r"(?<![0-9])([2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4})(?![0-9])"
-PAN = r"(?<![A-Z0-9])([A-Z]{5}[0-9]{4}[A-Z])(?![A-Z0-9])"
-DATE = r"(?<![0-9])([0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4})(?![0-9])"
+# Patterns of numbers on cards, words of printed headings, labels of facts.
+AADHAAR = r"(?<![0-9])([2-9][0-9]{3})[ -]?([0-9]{4})[ -]?([0-9]{4})(?![0-9])"
+PAN = r"\b([A-Z]{5}[0-9]{4}[A-Z])\b"
+EPIC = r"\b([A-Z]{3}[0-9]{7})\b"
+DATE = r"\b([0-9]{2})[/.-]([0-9]{2})[/.-]([0-9]{4})\b"
 PIN = r"(?<![0-9])([1-9][0-9]{5})(?![0-9])"
+HEADING = r"(?i)government|india|uidai|income tax|department|authority|identification|aadhaar|aadhar|unique|permanent account|male|female|address|dob"
+CARE_OF = r"(?i)^(?:s/o|d/o|c/o|son of|daughter of)"
+NAME_LABELS = ["name", "full name", "applicant name", "applicant's name", "नाम", "पूरा नाम"]
+FATHER_LABELS = ["father's name", "father name", "fathers name", "पिता का नाम"]
+BIRTH_LABELS = ["dob", "d.o.b", "date of birth", "birth date", "जन्म तिथि", "जन्म दिनांक"]
+ADDRESS_LABELS = ["address", "पता"]
+OTHER_PERSONS = ["father", "mother", "spouse", "husband", "wife", "nominee", "guardian", "witness", "relative"]
+
+
+def lines_of(text: Column) -> Column:
+    """Tidy lines that are not empty."""
+    tidy = lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ |]+|[ |]+$", "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"), tidy), lambda x: x != "")
+
+
+def first_of(values: Column) -> Column:
+    """The first value of an array that is not null."""
+    return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
 
 
 def found(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
+def _after(lines: Column, at: Column, n: int = 1 << 30) -> Column:
+    """Up to n lines behind the one at a place."""
+    return F.slice(lines, at + 2, n)
+
+
+def _bare(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), ":+$", ""))
+
+
 def kind(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(low.contains("aadhaar"), "Aadhaar").when(low.contains("permanent account number") | low.contains("income tax"), "PAN").when(low.contains("election commission"), "Voter card").otherwise("Supporting document")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.rlike("aadhaar|aadhar|uidai|unique identification"), "Aadhaar").when(low.rlike(r"permanent account|\bpan\b"), "PAN").when(low.rlike("election commission|elector|epic"), "voter card").otherwise("supporting document")
+
+
+def acceptable(line: Column) -> Column:
+    """Whether a line may be a person's name."""
+    return (line != "") & ~line.rlike(r":$|\p{Nd}") & ~line.rlike(HEADING) & n_words(line).between(1, 6)
+
+
+def labelled(lines: Column, labels: list[str]) -> Column:
+    """What a label names: what stands behind it in its line or, if it has a line of its own, the next line that may be a name.
+
+    The first line that is a label decides; a line that ends in a colon before any name leaves it without value.
+    """
+
+    def value(line: Column, at: Column) -> Column:
+        later = F.get(F.filter(_after(lines, at), lambda x: acceptable(x) | x.endswith(":")), F.lit(0))
+        rest = F.trim(F.regexp_replace(line, "^[^:]*:", ""))
+        prefixed = F.exists(F.array(*[F.lit(x + ":") for x in labels]), lambda x: _bare(line).startswith(x))
+        one = lambda v: F.struct(v.alias("value"))
+        return F.when(_bare(line).isin(*labels), one(F.when(~later.endswith(":"), later))).when(prefixed & acceptable(rest), one(rest))
+
+    return first_of(F.transform(lines, value))["value"]
+
+
+def date_in(line: Column) -> Column:
+    return F.when(line.rlike(DATE), F.concat_ws("/", *[F.regexp_extract(line, DATE, i) for i in (1, 2, 3)]))
+
+
+def birth(lines: Column) -> Column:
+    """The date in a line that names the date of birth or in the two behind it; else the only date there is."""
+
+    def near(line: Column, at: Column) -> Column:
+        named = F.exists(F.array(*map(F.lit, BIRTH_LABELS)), lambda x: F.lower(line).contains(x))
+        return F.when(named, F.coalesce(date_in(line), first_of(F.transform(_after(lines, at, 2), date_in))))
+
+    dates = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(DATE), F.lit(0))))
+    return F.coalesce(first_of(F.transform(lines, near)), F.when(F.size(dates) == 1, date_in(F.get(dates, F.lit(0)))))
+
+
+def _is_address(line: Column) -> Column:
+    return _bare(line).isin(*ADDRESS_LABELS) | _bare(line).startswith("address")
+
+
+def _place(lines: Column, test: Callable[[Column], Column]) -> Column:
+    """Place of the first line that passes, from 0; null if none does."""
+    return first_of(F.transform(lines, lambda x, i: F.when(test(x), i)))
+
+
+def first_person(lines: Column) -> Column:
+    """The first line of two words or more before the address that may be a name."""
+    before = F.slice(lines, 1, F.coalesce(_place(lines, _is_address), F.size(lines)))
+    fits = lambda x: ~x.rlike(CARE_OF + r"\b") & acceptable(x) & (n_words(x) >= 2) & ~F.regexp_replace(F.lower(x), ":+$", "").isin(*NAME_LABELS)
+    return F.get(F.filter(before, fits), F.lit(0))
+
+
+def care_of(lines: Column) -> Column:
+    rest = lambda x: F.trim(F.regexp_extract(x, CARE_OF + r"\s*[:\-]?\s*(.+)$", 1))
+    return F.get(F.filter(F.transform(lines, rest), acceptable), F.lit(0))
 
 
-def labelled(text: Column, label: str) -> Column:
-    """What stands after a label on its line, or else on the next line."""
-    same = found(text, rf"(?im)^[ \t]*(?:{label})[ \t]*[:：][ \t]*([^\n]*[^\s])[ \t]*$")
-    below = found(text, rf"(?im)^[ \t]*(?:{label})[ \t]*[:：]?[ \t]*\n[ \t]*([^\n:：]*[^\s:：])[ \t]*$")
-    return F.coalesce(same, below)
+def address(lines: Column) -> Column:
+    """struct(address, pincode): from the address line up to a PIN code or identity number, which ends it."""
+    start = _place(lines, _is_address)
+    head, rest = F.get(lines, start), F.slice(lines, start + 2, 1 << 30)
+    ends = lambda x: x.rlike(AADHAAR) | F.upper(x).rlike(PAN)
+    stop = _place(rest, lambda x: ends(x) | x.rlike(PIN))
+    last = F.get(rest, stop)
+    pin = F.when(~ends(last), found(last, PIN))
+    before = F.regexp_replace(F.regexp_extract(last, r"^(.*?)" + PIN, 1), r"^[ ,-]+|[ ,-]+$", "")
+    middle = F.filter(F.slice(rest, 1, F.coalesce(stop, F.size(rest))), lambda x: acceptable(x) | x.rlike(r"\p{Nd}"))
+    parts = F.concat(F.array(F.when(head.contains(":"), F.trim(F.regexp_replace(head, "^[^:]*:", "")))), middle, F.array(F.when(pin.isNotNull() & ~before.rlike(HEADING), before)))
+    joined = F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), ", ")
+    return F.struct(F.when(start.isNotNull(), F.nullif(joined, F.lit(""))).alias("address"), F.when(start.isNotNull(), pin).alias("pincode"))
 
 
 def facts(text: Column) -> dict[str, Column]:
-    plain, of = fold_digits(text), kind(text)
-    dates = F.array_distinct(F.regexp_extract_all(plain, F.lit(DATE), F.lit(1)))
-    low = F.lower(text)
+    """Column of each fact, null where the text does not tell it; a null text has none."""
+    lines = lines_of(text)
+    blob = F.array_join(lines, "\n")
+    of, low = kind(blob), F.lower(blob)
+    flat = F.regexp_replace(blob, r"\s+", " ")
+    person = lambda v: F.when(~v.rlike(HEADING), v)
+    place = address(lines)
     return {
         "kind": of,
-        "full_name": labelled(text, "full name|name"),
-        "father_name": labelled(text, "father'?s name|father"),
-        "gender": F.when(low.rlike(r"\bfemale\b"), "Female").when(low.rlike(r"\bmale\b"), "Male"),
-        "date_of_birth": F.coalesce(found(labelled(plain, "date of birth|dob"), DATE), F.when(F.size(dates) == 1, F.get(dates, F.lit(0)))),
-        "aadhaar_number": F.when(of.isin("Aadhaar", "Supporting document"), found(collapsed(plain), AADHAAR)),
-        "pan_number": F.when(of == "PAN", found(F.upper(plain), PAN)),
-        "pincode": found(plain, PIN),
+        "full_name": person(F.coalesce(labelled(lines, NAME_LABELS), first_person(lines))),
+        "father_name": person(F.coalesce(labelled(lines, FATHER_LABELS), care_of(lines))),
+        "gender": F.when(low.rlike(r"\bfemale\b|महिला|स्त्री"), "Female").when(low.rlike(r"\bmale\b|पुरुष"), "Male"),
+        "date_of_birth": birth(lines),
+        "aadhaar_number": F.when(of.isin("Aadhaar", "supporting document") & flat.rlike(AADHAAR), F.concat_ws(" ", *[F.regexp_extract(flat, AADHAAR, i) for i in (1, 2, 3)])),
+        "pan_number": F.when((of == "PAN") | low.rlike(r"\bpan\b|permanent account"), found(F.upper(blob), PAN)),
+        "voter_id": F.when(of == "voter card", found(F.upper(blob), EPIC)),
+        "address": place["address"],
+        "pincode": place["pincode"],
     }
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters of each script, in order of precedence, and the language a script stands for.
 SCRIPTS = {
@@ -20,10 +24,15 @@ SCRIPTS = {
 }
 LATIN = "A-Za-z"
 LANGUAGES = {"devanagari": "hi", "kannada": "kn", "arabic": "ur", "latin": "en", "bengali": "bn", "telugu": "te", "tamil": "ta", "gujarati": "gu", "malayalam": "ml", "odia": "or", "gurmukhi": "pa"}
+REGIONAL = "[" + "".join(SCRIPTS.values()) + "]"
 TOKEN = "[a-z0-9" + "".join(SCRIPTS.values()) + "]+"
 #: Digits of four families, each zero to nine.
 DIGITS = "".join(chr(z + i) for z in (0x0966, 0x0CE6, 0x0660, 0x06F0) for i in range(10))
 STOP_INITIALISMS = ["THE", "AND", "FOR", "NOT"]
+#: Arabic letters that stand for one another, and marks that don't count when labels are compared.
+SAME_LETTERS = ("\u0622\u0623\u0625\u0671\u0649\u064a\u06d2\u06d3\u0643\u0629\u0647\u06c3\u0624", "\u0627\u0627\u0627\u0627\u06cc\u06cc\u06cc\u06cc\u06a9\u06c1\u06c1\u06c1\u0648")
+MARKS = r"[\x{093A}-\x{094F}\x{0951}-\x{0957}\x{0962}\x{0963}\x{0900}-\x{0903}\x{0CBE}-\x{0CCD}\x{0CD5}\x{0CD6}\x{0C82}\x{0C83}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{0640}\x{200C}\x{200D}]"
+LEADERS = ".…·•_⋯‥"
 KEPT_LATIN = ["epic", "sir", "blo", "ac", "no", "dob"]
 
 
@@ -42,17 +51,17 @@ def tokens(text: Column) -> Column:
 
 
 def script_count(text: Column, script: str) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[{SCRIPTS.get(script, LATIN)}]"))
+    """Letters of a script; texts without any regional letter are scanned once for all regional scripts."""
+    text = F.coalesce(text, F.lit(""))
+    count = F.regexp_count(text, F.lit(f"[{SCRIPTS.get(script, LATIN)}]"))
+    return F.when(text.rlike(REGIONAL), count).otherwise(0) if script in SCRIPTS else count
 
 
 def dominant_script(text: Column) -> Column:
     """The regional script with most letters, the first of equals; else latin, else unknown."""
-    counts = {s: script_count(text, s) for s in SCRIPTS}
-    most = F.greatest(*counts.values())
-    out = F.when(script_count(text, "latin") > 0, "latin").otherwise("unknown")
-    for script, count in reversed(counts.items()):
-        out = F.when((most > 0) & (count == most), script).otherwise(out)
-    return out
+    text = F.coalesce(text, F.lit(""))
+    ranked = F.array(*[F.struct(F.regexp_count(text, F.lit(f"[{letters}]")).alias("n"), F.lit(-i).alias("before"), F.lit(s).alias("script")) for i, (s, letters) in enumerate(SCRIPTS.items())])
+    return F.when(text.rlike(REGIONAL), F.array_max(ranked)["script"]).when(text.rlike(f"[{LATIN}]"), "latin").otherwise("unknown")
 
 
 def language(script: Column) -> Column:
@@ -90,11 +99,90 @@ def cut_at_word(text: Column, width: int) -> Column:
     return F.when(F.length(tidy) <= width, tidy).otherwise(F.regexp_replace(F.substring(tidy, 1, width), r" [^ ]*$", ""))
 
 
+def without_leaders(text: Column) -> Column:
+    """Without dots, dashes and blanks of a leader at the end."""
+    return F.rtrim(F.regexp_replace(F.trim(text), f"[{LEADERS}]+$", ""))
+
+
 def question_caption(text: Column) -> Column:
-    """A caption without dotted leaders at its end and colons at either end."""
-    bare = F.regexp_replace(F.trim(text), r"[.…·•_⋯‥\s]{3,}$", "")
-    return F.trim(F.regexp_replace(bare, r"^[\s:：]+|[\s:：]+$", ""))
+    """The caption of a line that invites an answer: one with a colon at its end or else its start, without it; null for others."""
+    bare = without_leaders(text)
+    at_end, at_start = bare.rlike("[:：]$"), bare.rlike("^[:：]")
+    return blank_to_null(F.when(at_end, F.regexp_replace(bare, "[:：]$", "")).when(at_start, F.regexp_replace(bare, "^[:：]", "")))
+
+
+def leader_run(text: Column) -> Column:
+    """The longest run of three or more leader signs, the first of equals; null without any."""
+    runs = F.regexp_extract_all(text, F.lit(f"[{LEADERS}]{{3,}}"), F.lit(0))
+    return F.array_max(F.transform(runs, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("before"), r.alias("run"))))["run"]
+
+
+def n_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+def parenthetical_hint(after: Column) -> Column:
+    """The caption in the first parentheses behind a leader, if it is short and closes within 80 signs; ``after``: the text that follows."""
+    inner = F.regexp_replace(without_leaders(F.regexp_extract(after, r"^[^(]{0,80}\(([^)]*)\)", 1)), r"[\s:：]+$", "")
+    return F.when((F.length(inner) >= 3) & (F.length(inner) <= 80) & (n_words(inner) <= 12), inner)
+
+
+@F.pandas_udf(StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """NFKC, which Spark has no function for."""
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def unaccented(text: pd.Series) -> pd.Series:
+    """Decomposed, without marks that are not Arabic."""
+    kept = lambda c: unicodedata.category(c) != "Mn" or "\u0600" <= c <= "\u06ff" or "\u0750" <= c <= "\u077f" or "\ufb50" <= c <= "\ufdff" or "\ufe70" <= c <= "\ufeff"
+    return text.map(lambda t: "".join(filter(kept, unicodedata.normalize("NFD", t))), na_action="ignore")
+
+
+def match_tokens(text: Column) -> Column:
+    """Tokens of labels as they are compared: case, accents, vowel signs and variants of letters don't count. For labels and dictionaries, not for long texts."""
+    plain = F.regexp_replace(F.translate(F.lower(collapsed(compatible(F.coalesce(text, F.lit(""))))), *SAME_LETTERS), MARKS, "")
+    return F.regexp_extract_all(unaccented(plain), F.lit(TOKEN), F.lit(0))
+
+
+def match_fold(text: Column) -> Column:
+    return F.array_join(match_tokens(text), " ")
+
+
+def message(template: Column, values: dict[str, Column]) -> Column:
+    """A template with each ``{name}`` replaced; a null value leaves its place as it is."""
+    out = template
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("{" + name + "}")))
+    return out
+
+
+def speech_parts(parts: Column, lang: Column) -> Column:
+    """Parts joined for reading aloud: those in the script of the language or, if none is, all."""
+    parts = F.filter(parts, lambda p: blank_to_null(p).isNotNull())
+    own = F.filter(parts, lambda p: in_script(p, lang))
+    return F.array_join(F.when(F.size(own) > 0, own).otherwise(parts), " ")
+
+
+def wrapped(text: Column, width: Column, sign: float = 0.5, size: Column | float = 1.0) -> Column:
+    """Lines of whole words, as many to a line as ``width`` holds when each sign is ``sign * size`` wide; a longer word has a line of its own."""
+    most = F.greatest(F.floor(width / (F.lit(sign) * size)).cast("int"), F.lit(1))
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    fits = lambda line, w: (F.length(line) + 1 + F.length(w)) <= most
+    add = lambda lines, w: F.when((F.size(lines) > 0) & fits(F.element_at(lines, -1), w), F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.concat(F.element_at(lines, -1), F.lit(" "), w)))).otherwise(F.concat(lines, F.array(w)))
+    return F.aggregate(words, F.array().cast("array<string>"), add)
+
+
+def fitting_size(text: Column, width: Column, height: Column, sign: float = 0.5, leading: float = 1.2) -> Column:
+    """The largest type size of 22, 21.5, ... 6 at which the wrapped text stays inside the box; null if none does."""
+    sizes = F.array(*[F.lit(22 - k / 2) for k in range(33)])
+    widest = lambda lines: F.array_max(F.transform(lines, F.length))
+    ok = lambda s: F.aggregate(F.array(wrapped(text, width, sign, s)), F.lit(False), lambda _, lines: (F.size(lines) * s * leading <= height) & (F.coalesce(widest(lines), F.lit(0)) * s * sign <= width))
+    return F.get(F.filter(sizes, ok), F.lit(0))
 
 
 def in_script(text: Column, lang: Column) -> Column:
+    """Whether most letters are of the script that the language is written in; mr and as share theirs with hi and bn."""
+    lang = F.when(lang == "mr", "hi").when(lang == "as", "bn").otherwise(lang)
     return F.coalesce(language(dominant_script(text)) == lang, F.lit(False))

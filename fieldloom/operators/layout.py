@@ -52,6 +52,18 @@ def pairs_of(a: DataFrame, b: DataFrame, keys: list[str], band: float) -> DataFr
     return met.select(*keys, "a_id", "b_id", F.round(geometry.iou(ia, ib), 6).alias("iou"))
 
 
+def contained(inner: DataFrame, outer: DataFrame, keys: list[str], band: float, slack: float = 0.0, most: float | None = None) -> DataFrame:
+    """Rows of ``inner`` that lie in a box of ``outer`` with another id, up to ``slack`` and, with ``most``, of no more than that share of its area.
+
+    A box in another touches the band that its own middle is in, so the two meet there.
+    """
+    a = inner.select(*keys, "id", "x", "y", "width", "height").withColumn("band", F.floor((F.col("y") + F.col("height") / 2) / band))
+    b = outer.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("id", "x", "y", "width", "height")])
+    b = banded(b, F.col("_y") - slack, F.col("_y") + F.col("_height") + slack, band)
+    met = a.join(b, [*keys, "band"]).where((F.col("id") != F.col("_id")) & geometry.contains(geometry.box("_"), geometry.box(), slack, most))
+    return inner.join(met.select(*keys, "id").distinct(), [*keys, "id"], "left_semi")
+
+
 def without_overlaps(rows: DataFrame, accepted: DataFrame, keys: list[str], least: float, band: float) -> DataFrame:
     """Rows that overlap no accepted box by ``least`` IoU."""
     hit = pairs_of(rows, accepted, keys, band).where(F.col("iou") >= least).select(*keys, F.col("a_id").alias("id")).distinct()

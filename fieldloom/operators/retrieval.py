@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,23 +16,92 @@ TOP = 5
 #: Rows of a block of queries and of a block of vectors, as they meet in one task.
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 16384
-
-
-def lexical_topk(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text: str = "text", k: int = TOP) -> DataFrame:
+#: Tokens of all queries that may be sent to the tasks, about 100 MB there.
+SENT_TOKENS = 2_000_000
+#: Forms that may be sent to the tasks.
+MOST_FORMS = 10_000
+
+
+def _overlaps(sent, k: int, names: list[str]):
+    """For rows (doc, tokens): the k best queries' documents of the batches a task reads, by one pass over the postings of each document's tokens."""
+
+    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, first, posts, sizes = sent.value
+        tokens = pa.array(tokens, pa.string())
+        for batch in batches:
+            lists = batch.column(1)
+            at = pc.index_in(lists.flatten(), value_set=tokens)
+            held = at.is_valid().to_numpy(zero_copy_only=False)
+            token = at.fill_null(0).to_numpy()[held]
+            n_doc = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), n_doc)[held]
+            count = (first[1:] - first[:-1])[token]
+            query = posts[np.repeat(first[token] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))] if len(token) else np.zeros(0, np.int64)
+            pairs, n = np.unique(np.repeat(owner, count) * np.int64(len(sizes)) + query, return_counts=True)
+            row, query = pairs // len(sizes), pairs % len(sizes)
+            score = np.floor(n / (sizes[query] + n_doc[row] - n) * 1e6 + 0.5)
+            # of each query the k best of this batch; ties by smaller id
+            rank = pc.sort_indices(batch.column(0)).to_numpy()
+            place = np.empty(batch.num_rows, np.int64)
+            place[rank] = np.arange(batch.num_rows)
+            order = np.lexsort((place[row], -score, query))
+            q = query[order]
+            begin = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+            keep = order[(np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))) < k]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), pa.array(query[keep]), pa.array(n[keep]), pa.array(n_doc[row[keep]].astype(np.int64))], names=names)
+
+    return overlaps
+
+
+def lexical_topk(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text: str = "text", k: int = TOP, most_tokens: int = SENT_TOKENS) -> DataFrame:
     """query, doc, score, rank: the k documents with the greatest Jaccard similarity of token sets, ties by smaller id.
 
-    Documents meet queries on shared tokens alone, and only tokens of queries are kept of the documents.
+    Queries with up to ``most_tokens`` tokens together are sent to the tasks, which keep their k best before anything moves; beyond that, documents
+    meet queries by a join on shared tokens.
     """
     q = queries.select(F.col(query_id).alias("query"), F.array_distinct(tokens(F.col(text))).alias("tokens"))
-    d = docs.select(F.col(doc_id).alias("doc"), F.array_distinct(tokens(F.col(text))).alias("tokens"))
-    left = q.select("query", F.size("tokens").alias("nq"), F.explode("tokens").alias("token"))
-    right = d.select("doc", F.size("tokens").alias("nd"), F.explode("tokens").alias("token"))
-    shared = left.join(right, "token").groupBy("query", "doc", "nq", "nd").agg(F.count(F.lit(1)).alias("n"))
+    d = docs.select(F.col(doc_id).alias("doc"), F.array_distinct(tokens(F.col(text))).alias("tokens")).where(F.size("tokens") > 0)
+    total = q.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    if total <= most_tokens:
+        rows = q.where(F.size("tokens") > 0).toArrow()
+        lists = rows.column("tokens").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        words = pc.dictionary_encode(lists.values)
+        order = np.argsort(words.indices.to_numpy(), kind="stable")
+        first = np.searchsorted(words.indices.to_numpy()[order], np.arange(len(words.dictionary) + 1))
+        posts = np.repeat(np.arange(len(sizes)), sizes)[order]
+        sent = docs.sparkSession.sparkContext.broadcast((words.dictionary.to_pylist(), first, posts, sizes))
+        names = docs.sparkSession.createDataFrame(pa.table({"number": pa.array(np.arange(len(sizes))), "query": rows.column("query"), "nq": pa.array(sizes.astype(np.int64))}))
+        found = d.mapInArrow(_overlaps(sent, k, ["doc", "number", "n", "nd"]), f"doc {docs.schema[doc_id].dataType.simpleString()}, number long, n long, nd long")
+        shared = found.join(F.broadcast(names), "number")
+    else:
+        left = q.select("query", F.size("tokens").alias("nq"), F.explode("tokens").alias("token"))
+        right = d.select("doc", F.size("tokens").alias("nd"), F.explode("tokens").alias("token"))
+        shared = left.join(right, "token").groupBy("query", "doc", "nq", "nd").agg(F.count(F.lit(1)).alias("n"))
     scored = shared.select("query", "doc", F.round(F.col("n") / (F.col("nq") + F.col("nd") - F.col("n")), 6).alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def retrieved(queries: DataFrame, chunks: DataFrame, least: float = 0.35, least_unknown: float = 0.62, k: int = TOP) -> DataFrame:
+    """query, chunk, score, rank, widened: the k best chunks of the query's language and form; a form without any hit is asked again in its language alone (widened).
+
+    ``queries``: query, text, language, form_id (null: unknown form). ``chunks``: chunk, text, language, form_id. Only scores of ``least``, for unknown
+    forms ``least_unknown``, count. Queries meet chunks on language and shared tokens.
+    """
+    q = queries.select("query", "language", F.col("form_id").alias("form"), F.array_distinct(tokens(F.col("text"))).alias("t"))
+    c = chunks.select("chunk", "language", "form_id", F.array_distinct(tokens(F.col("text"))).alias("u"))
+    left = q.select("query", "language", "form", F.size("t").alias("nq"), F.explode("t").alias("token"))
+    right = c.select("chunk", "language", "form_id", F.size("u").alias("nc"), F.explode("u").alias("token"))
+    met = left.join(right, ["language", "token"]).groupBy("query", "form", "chunk", "form_id", "nq", "nc").agg(F.count(F.lit(1)).alias("n"))
+    scored = met.select("query", "form", "chunk", F.coalesce(F.col("form") == F.col("form_id"), F.lit(False)).alias("own"), F.round(F.col("n") / (F.col("nq") + F.col("nc") - F.col("n")), 6).alias("score"))
+    hit = F.max("own").over(Window.partitionBy("query"))
+    asked = scored.withColumn("hit", hit).where(F.col("form").isNull() | F.col("own") | ~F.col("hit"))
+    ranked = asked.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "chunk"))).where(F.col("rank") <= k)
+    least_of = F.when(F.col("form").isNull(), max(least, least_unknown)).otherwise(least)
+    return ranked.where(F.col("score") >= least_of).select("query", "chunk", "score", "rank", (F.col("form").isNotNull() & ~F.col("hit")).alias("widened"))
+
+
 def hash_embedding(df: DataFrame, key: str, text: str, width: int = 256) -> DataFrame:
     """key, bucket, weight: signed counts of hashed words, of length one; words are cut at white space."""
     words = df.select(key, F.explode(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")).alias("word"))
@@ -43,19 +114,30 @@ def hash_embedding(df: DataFrame, key: str, text: str, width: int = 256) -> Data
     return sums.select(key, "bucket", F.round(F.col("w") / norm, 6).alias("weight"))
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(vectors), -1)
+
+
 def _nearest(k: int):
     def nearest(key: tuple, queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out = {"query": [], "vector": [], "distance": []}
         if queries.num_rows and vectors.num_rows:
-            q, v = (np.stack([np.asarray(x, np.float64) for x in t.column("v").to_pylist()]) for t in (queries, vectors))
-            names = vectors.column("id").to_numpy()
-            for i, (name, one) in enumerate(zip(queries.column("id").to_pylist(), q, strict=True)):
-                distance = ((v - one) ** 2).sum(1).round(6)
-                best = np.lexsort((names, distance))[:k]
-                out["query"] += [name] * len(best)
-                out["vector"] += names[best].tolist()
-                out["distance"] += distance[best].tolist()
-        return pa.table({"query": pa.array(out["query"], pa.int64()), "vector": pa.array(out["vector"], pa.int64()), "distance": pa.array(out["distance"], pa.float64())})
+            q, v = _matrix(queries.column("v")), _matrix(vectors.column("v"))
+            names, asked = vectors.column("id").to_numpy(), queries.column("id").to_numpy()
+            # candidates by one product, their distances anew from the differences
+            about = (q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * (q @ v.T)
+            reach = np.partition(about, min(k, v.shape[0]) - 1, axis=1)[:, min(k, v.shape[0]) - 1]
+            scale = 1e-5 + 1e-9 * (np.abs(q).max() ** 2 + np.abs(v).max() ** 2) * q.shape[1]
+            for i in range(len(q)):
+                near = np.flatnonzero(about[i] <= reach[i] + scale)
+                distance = ((v[near] - q[i]) ** 2).sum(1).round(6)
+                best = np.lexsort((names[near], distance))[:k]
+                out["query"].append(np.full(len(best), asked[i]))
+                out["vector"].append(names[near][best])
+                out["distance"].append(distance[best])
+        joined = lambda c, t: pa.array(np.concatenate(out[c]) if out[c] else np.zeros(0), t)
+        return pa.table({"query": joined("query", pa.int64()), "vector": joined("vector", pa.int64()), "distance": joined("distance", pa.float64())})
 
     return nearest
 
@@ -80,7 +162,9 @@ def form_scores(docs: DataFrame, forms: DataFrame, text: Column, labels: Column,
 
     The forms travel as one array column (the dictionary is written by hand, so a few kilobytes), and each document looks through it.
     """
-    rows = forms.orderBy("ord").collect()
+    rows = forms.orderBy("ord").limit(MOST_FORMS + 1).collect()
+    if len(rows) > MOST_FORMS:
+        raise ValueError(f"more than {MOST_FORMS} forms are no dictionary that can be sent to the tasks")
     packed = F.array(*[F.struct(F.lit(r.ord).alias("ord"), F.lit(r.form_id).alias("form_id"), F.lit(r.category).alias("category"), F.array(*map(F.lit, r.terms)).alias("terms"), F.array(*map(F.lit, r.aliases)).alias("aliases")) for r in rows])
     low, known = F.lower(text), F.transform(labels, F.lower)
 
@@ -97,5 +181,3 @@ def match_form(docs: DataFrame, forms: DataFrame, text: Column, labels: Column,
     """``docs`` with form_id (null below ``least``) and form_score; of equal scores the first form."""
     best = F.array_max("scores")
     return form_scores(docs, forms, text, labels, category).withColumn("form_score", best["score"]).withColumn("form_id", F.when(F.col("form_score") >= least, best["form_id"])).drop("scores")
-
-

@@ -1,5 +1,6 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-from .queries import ORACLE_SQL, QUERIES
+from . import form_queries, page_queries, queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import facts, geometry, text, validation
-from ..operators import layout, resolve, retrieval
-from ..streaming import limits
+from ..functions import text
+from ..operators import layout, resolve, retrieval, tables
 from . import samples
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import query, table
 
 def seconds_of(column: str) -> Column:
     """Seconds of a time stamp since 1970, taken as UTC, to the microsecond."""
@@ -41,7 +21,7 @@ def literal(spark: SparkSession, values: str, names: str) -> DataFrame:
 
 # The token class in RE2's syntax is that of Java.
 _TOKENS = f"regexp_extract_all(lower(coalesce(text, '')), '{text.TOKEN}')"
-_BOXES = "l_orderkey AS page, l_linenumber * 1000000 + l_partkey AS id, CAST(l_partkey % 50 AS DOUBLE) AS x, CAST(l_suppkey % 40 AS DOUBLE) AS y, 5 + l_quantity AS width, 5 + l_discount * 200 AS height"
+_BOXES = "l_orderkey AS page, l_linenumber * 100000000000 + l_partkey * 100000 + l_suppkey AS id, CAST(l_partkey % 50 AS DOUBLE) AS x, CAST(l_suppkey % 40 AS DOUBLE) AS y, 5 + l_quantity AS width, 5 + l_discount * 200 AS height"
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +92,7 @@ SELECT source, lang, votes FROM v QUALIFY row_number() OVER (PARTITION BY source
 )
 def language_vote(spark, sf_dir):
     """The language most documents of a source are in; any other goes before English."""
-    votes = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("votes"), F.min("doc_id").alias("first"))
-    w = Window.partitionBy("source").orderBy(F.col("lang") == "en", F.desc("votes"), "first")
-    return votes.withColumn("r", F.row_number().over(w)).where("r = 1").select("source", "lang", "votes")
+    return tables.voted(table(spark, sf_dir, "documents"), ["source"], "lang", "doc_id", "en")
 
 
 @query(
@@ -156,47 +134,6 @@ def prose_pages(spark, sf_dir):
     return rows.select("doc_id", n.alias("n_lines"), F.coalesce(prose, F.lit(False)).alias("prose"))
 
 
-_FOLD = f"translate(trim(v), '{text.DIGITS}', '{'0123456789' * 4}')"
-_DIGITS = f"regexp_replace({_FOLD}, '[^0-9]', '', 'g')"
-_RULES = {
-    "date": "CASE " + " ".join(f"WHEN regexp_full_match({_FOLD}, '{shape}') THEN try_strptime({_FOLD}, '{form}') IS NOT NULL" for shape, form in [(r"\d{1,2}/\d{1,2}/\d{4}", "%d/%m/%Y"), (r"\d{1,2}-\d{1,2}-\d{4}", "%d-%m-%Y"), (r"\d{1,2}\.\d{1,2}\.\d{4}", "%d.%m.%Y"), (r"\d{4}-\d{1,2}-\d{1,2}", "%Y-%m-%d"), (r"\d{1,2}/\d{1,2}/\d{2}", "%d/%m/%y")]) + " ELSE false END",
-    "integer": rf"regexp_full_match({_FOLD}, '\d+')",
-    "decimal": rf"regexp_full_match(replace({_FOLD}, ',', ''), '[+-]?(\d+\.?\d*|\.\d+)')",
-    "amount": rf"regexp_full_match(regexp_replace({_FOLD}, '[,₹\s]|Rs\.?', '', 'g'), '(\d+\.?\d*|\.\d+)')",
-    "year": rf"regexp_full_match({_FOLD}, '\d{{4}}')",
-    "mobile_in": f"regexp_full_match(CASE WHEN length({_DIGITS}) = 12 AND {_DIGITS} LIKE '91%' THEN {_DIGITS}[3:] ELSE {_DIGITS} END, '[6-9][0-9]{{9}}')",
-    "phone": f"length({_DIGITS}) BETWEEN 6 AND 15",
-    "pincode_in": f"regexp_full_match({_DIGITS}, '[1-9][0-9]{{5}}')",
-    "aadhaar_in": f"regexp_full_match({_DIGITS}, '[2-9][0-9]{{11}}')",
-    "pan_in": "regexp_full_match(upper(replace(v, ' ', '')), '[A-Z]{5}[0-9]{4}[A-Z]')",
-    "ifsc_in": "regexp_full_match(upper(replace(v, ' ', '')), '[A-Z]{4}0[A-Z0-9]{6}')",
-    "bank_account": f"length({_DIGITS}) BETWEEN 8 AND 20",
-    "email": r"regexp_full_match(trim(v), '[^@\s]+@[^@\s.]+\.[^@\s]{2,}')",
-    "blood_group": "regexp_full_match(lower(trim(v)), '(a|b|ab|o)[+-]')",
-    "alphanumeric": "regexp_full_match(trim(v), '[A-Za-z0-9 /-]+')",
-    "person_name": f"NOT regexp_matches({_FOLD}, '[0-9]')",
-}
-_ANSWERS = f"""SELECT 'part' AS origin, 'person_name' AS kind, p_name AS v FROM part UNION ALL SELECT 'order', 'date', strftime(o_orderdate, '%d/%m/%Y') FROM orders
-UNION ALL SELECT 'order', 'amount', CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) FROM orders UNION ALL SELECT 'sample', kind, v FROM ({samples.ANSWERS}) AS t(kind, v)"""
-
-
-@query(f"SELECT origin, kind, v AS value, coalesce(CASE kind {' '.join(f'''WHEN '{k}' THEN {r}''' for k, r in _RULES.items())} ELSE v IS NOT NULL END, false) AS ok FROM ({_ANSWERS})")
-def validate_answers(spark, sf_dir):
-    one = lambda t, origin, kind, v: table(spark, sf_dir, t).select(F.lit(origin).alias("origin"), F.lit(kind).alias("kind"), v.alias("value"))
-    rows = one("part", "part", "person_name", F.col("p_name"))
-    rows = rows.unionByName(one("orders", "order", "date", F.date_format("o_orderdate", "dd/MM/yyyy"))).unionByName(one("orders", "order", "amount", F.rint("o_totalprice").cast("long").cast("string")))
-    rows = rows.unionByName(literal(spark, samples.ANSWERS, "kind, value").select(F.lit("sample").alias("origin"), "kind", "value"))
-    return rows.select("origin", "kind", "value", (validation.valid(F.col("kind"), F.col("value")) & F.col("value").isNotNull()).alias("ok"))
-
-
-@query()
-def extract_facts(spark, sf_dir):
-    cards = spark.createDataFrame(samples.CARDS, "card_id int, text string")
-    cards = cards.unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).cast("int").alias("card_id"), "text"))
-    found = facts.facts(F.col("text"))
-    return cards.select("card_id", *[c.alias(k) for k, c in found.items()]).withColumn("age", facts.age(F.col("date_of_birth"), F.to_date(F.lit("2026-11-05"))))
-
-
 @query(
     f"""WITH b AS (SELECT {_BOXES} FROM lineitem), p AS (SELECT a.page, a.id AS a_id, b.id AS b_id, a.width * a.height + b.width * b.height AS total,
 greatest(least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y), 0) AS shared FROM b a JOIN b ON a.page = b.page AND a.id < b.id)
@@ -209,19 +146,18 @@ def iou_pairs(spark, sf_dir):
 
 @query(f"SELECT page, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM (SELECT {_BOXES} FROM lineitem) GROUP BY page")
 def box_union(spark, sf_dir):
-    b = boxes(spark, sf_dir)
-    return b.groupBy("page").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"))
+    return tables.box_union(boxes(spark, sf_dir), ["page"])
 
 
 @query(
     f"""WITH b AS (SELECT {_BOXES} FROM lineitem)
-SELECT w.page, w.id AS word_id, min_by(c.id, c.id) AS cell_id FROM b w JOIN b c ON w.page = c.page AND w.id >= 4000000 AND c.id < 4000000
+SELECT w.page, w.id AS word_id, min_by(c.id, c.id) AS cell_id FROM b w JOIN b c ON w.page = c.page AND w.id >= 400000000000 AND c.id < 400000000000
 AND w.x + w.width / 8 BETWEEN c.x AND c.x + c.width AND w.y + w.height / 8 BETWEEN c.y AND c.y + c.height GROUP BY w.page, w.id"""
 )
 def words_in_cells(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    words = b.where("id >= 4000000").select("page", F.col("id").alias("word_id"), "x", "y", (F.col("width") / 4).alias("width"), (F.col("height") / 4).alias("height"))
-    return layout.words_in_cells(words, b.where("id < 4000000").withColumnRenamed("id", "cell_id").withColumn("ord", F.col("cell_id")), ["page"], 20.0)
+    words = b.where("id >= 400000000000").select("page", F.col("id").alias("word_id"), "x", "y", (F.col("width") / 4).alias("width"), (F.col("height") / 4).alias("height"))
+    return layout.words_in_cells(words, b.where("id < 400000000000").withColumnRenamed("id", "cell_id").withColumn("ord", F.col("cell_id")), ["page"], 20.0)
 
 
 @query(
@@ -241,11 +177,11 @@ _IOU = "greatest(least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x), 0) *
 
 @query(
     f"""WITH b AS (SELECT {_BOXES} FROM lineitem)
-SELECT page, id FROM b a WHERE id >= 3000000 AND NOT EXISTS (SELECT 1 FROM b WHERE b.page = a.page AND b.id < 3000000 AND {_IOU} > 0 AND {_IOU} >= 0.3 * (a.width * a.height + b.width * b.height - {_IOU}))"""
+SELECT page, id FROM b a WHERE id >= 300000000000 AND NOT EXISTS (SELECT 1 FROM b WHERE b.page = a.page AND b.id < 300000000000 AND {_IOU} > 0 AND {_IOU} >= 0.3 * (a.width * a.height + b.width * b.height - {_IOU}))"""
 )
 def overlap_antijoin(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    return layout.without_overlaps(b.where("id >= 3000000"), b.where("id < 3000000"), ["page"], 0.3, 20.0).select("page", "id")
+    return layout.without_overlaps(b.where("id >= 300000000000"), b.where("id < 300000000000"), ["page"], 0.3, 20.0).select("page", "id")
 
 
 @query(
@@ -253,10 +189,8 @@ def overlap_antijoin(spark, sf_dir):
 SELECT page, id FROM b a WHERE EXISTS (SELECT 1 FROM b WHERE b.page = a.page AND b.id <> a.id AND a.x >= b.x AND a.y >= b.y AND a.x + a.width <= b.x + b.width AND a.y + a.height <= b.y + b.height)"""
 )
 def contained_semijoin(spark, sf_dir):
-    a = boxes(spark, sf_dir).alias("a")
-    b = boxes(spark, sf_dir).select(*[F.col(c).alias(f"b_{c}") for c in ("page", "id", "x", "y", "width", "height")])
-    inner = tuple(F.col(f"a.{c}") for c in ("x", "y", "width", "height"))
-    return a.join(b, (F.col("page") == F.col("b_page")) & (F.col("id") != F.col("b_id")) & geometry.contains(geometry.box("b_"), inner), "left_semi").select("page", "id")
+    b = boxes(spark, sf_dir)
+    return layout.contained(b, b, ["page"], 20.0).select("page", "id")
 
 
 _FORMS = ", ".join(f"({o}, '{f}', '{c}', {t}, {a})" for o, f, c, t, a in samples.FORMS)
@@ -279,22 +213,19 @@ def form_match(spark, sf_dir):
     """SELECT coalesce(status, 'total') AS status, n FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'processing' WHEN 'F' THEN 'ready' WHEN 'P' THEN 'failed' ELSE 'unreadable' END AS status, count(*) AS n FROM orders GROUP BY ROLLUP (1))"""
 )
 def status_counters(spark, sf_dir):
-    status = F.when(F.col("o_orderstatus") == "O", "processing").when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "P", "failed").otherwise("unreadable")
-    rows = table(spark, sf_dir, "orders").select(status.alias("status"))
-    return rows.rollup("status").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("status", F.lit("total")).alias("status"), "n")
+    status = F.when(F.col("o_orderstatus") == "O", "processing").when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "P", "failed")
+    return tables.counters(table(spark, sf_dir, "orders"), status, ["processing", "ready", "failed"])
 
 
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def upsert_latest(spark, sf_dir):
     """The record of each key as the last write left it."""
-    last = F.max(F.struct("ts", "event_id", "event_type", "value")).alias("x")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(last).select("user_id", "x.event_id", "x.event_type", "x.value")
+    return tables.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
 @query("SELECT source, doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS INTEGER) AS batch FROM documents")
 def batches(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.floor((n - 1) / 10).cast("int").alias("batch"))
+    return tables.batches(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"])
 
 
 @query(
@@ -328,20 +259,8 @@ r AS (SELECT lang, hit / greatest(n, 1) AS p, hit / greatest(t, 1) AS r FROM c)
 SELECT lang, round(p, 3) AS precision, round(r, 3) AS recall, round(2 * p * r / greatest(p + r, 1e-9), 3) AS f1 FROM r"""
 )
 def precision_recall(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("lang", (F.col("quality") == 0).alias("truth"), F.col("text").rlike("[$&%*#!]{2,}").alias("found"))
-    total = lambda c: F.sum(c.cast("double"))
-    c = rows.groupBy("lang").agg(total(F.col("found") & F.col("truth")).alias("hit"), total(F.col("found")).alias("n"), total(F.col("truth")).alias("t"))
-    r = c.select("lang", (F.col("hit") / F.greatest("n", F.lit(1.0))).alias("p"), (F.col("hit") / F.greatest("t", F.lit(1.0))).alias("r"))
-    return r.select("lang", F.round("p", 3).alias("precision"), F.round("r", 3).alias("recall"), F.round(2 * F.col("p") * F.col("r") / F.greatest(F.col("p") + F.col("r"), F.lit(1e-9)), 3).alias("f1"))
-
-
-@query("WITH k AS (SELECT DISTINCT source FROM documents), l AS (SELECT DISTINCT lang FROM documents) SELECT source, string_agg(lang, ',' ORDER BY lang) AS missing FROM (SELECT source, lang FROM k, l EXCEPT SELECT source, lang FROM documents) GROUP BY source")
-def coverage_gaps(spark, sf_dir):
-    """Languages that a key has no entry in. The languages are one short list, so keys are not crossed with rows."""
-    d = table(spark, sf_dir, "documents")
-    every = [r.lang for r in d.select("lang").distinct().orderBy("lang").collect()]
-    gaps = d.groupBy("source").agg(F.array_except(F.array(*map(F.lit, every)), F.collect_set("lang")).alias("gap")).where(F.size("gap") > 0)
-    return gaps.select("source", F.array_join(F.array_sort("gap"), ",").alias("missing"))
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return tables.quality(rows, ["lang"], F.col("text").rlike("[$&%*#!]{2,}"), F.col("quality") == 0)
 
 
 @query(
@@ -352,82 +271,3 @@ def message_fallback(spark, sf_dir):
     lang = F.when(F.col("event_id") % 3 == 0, "en").when(F.col("event_id") % 3 == 1, "fr").otherwise("de")
     rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("key"), lang.alias("language"))
     return resolve.with_message(rows, literal(spark, samples.MESSAGES, "key, language, message"), "key", "language").select("event_id", "key", "language", "message")
-
-
-_CANDIDATES = """SELECT o_custkey AS field, CASE o_orderkey % 5 WHEN 0 THEN 'known' WHEN 1 THEN 'concept' WHEN 2 THEN 'dictionary' WHEN 3 THEN 'retrieved' ELSE 'pattern' END AS source,
-round(o_totalprice / 1000 % 1, 3) AS score, CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE o_orderpriority END AS text FROM orders"""
-_RUNG = "list_position(['" + "', '".join(resolve.LADDER) + "'], source)"
-
-
-@query(
-    f"""WITH c AS (SELECT *, {_RUNG} AS rung, nullif(trim(text), '') IS NOT NULL AS usable FROM ({_CANDIDATES})), k AS (SELECT DISTINCT field FROM c),
-b AS (SELECT field, source, score, text FROM c WHERE usable QUALIFY row_number() OVER (PARTITION BY field ORDER BY rung, score DESC, text) = 1),
-r AS (SELECT k.field, coalesce(source, 'unavailable') AS source, text, CASE WHEN score IS NULL OR score = 0 THEN 0.5::DOUBLE ELSE score END AS c FROM k LEFT JOIN b USING (field))
-SELECT field, source, text, round(CASE source WHEN 'known' THEN 0.93 WHEN 'concept' THEN least(0.9, 0.5 + 0.4 * c) WHEN 'dictionary' THEN least(0.92, 0.55 + 0.37 * c) WHEN 'retrieved' THEN least(0.84, 0.5 + c / 2)
-WHEN 'pattern' THEN least(0.6, 0.35 + 0.3 * c) ELSE 0.2 END::DOUBLE, 3) AS confidence FROM r"""
-)
-def guidance_ladder(spark, sf_dir):
-    """Each field's answer from the best source that has one."""
-    o = table(spark, sf_dir, "orders")
-    rest = F.col("o_orderkey") % 5
-    source = F.when(rest == 0, "known").when(rest == 1, "concept").when(rest == 2, "dictionary").when(rest == 3, "retrieved").otherwise("pattern")
-    words = F.when(F.col("o_orderkey") % 7 == 0, " ").otherwise(F.col("o_orderpriority"))
-    return resolve.ladder(o.select(F.col("o_custkey").alias("field"), source.alias("source"), F.round(F.col("o_totalprice") / 1000 % 1, 3).alias("score"), words.alias("text")), ["field"])
-
-
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE nullif(trim(o_orderpriority), '') IS NOT NULL AND o_custkey IS NOT NULL)")
-def missing_required(spark, sf_dir):
-    """Required fields without a non-blank answer."""
-    answered = table(spark, sf_dir, "orders").where(text.blank_to_null(F.col("o_orderpriority")).isNotNull()).select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").where("c_acctbal > 0").join(answered, "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
-
-
-@query(
-    r"""SELECT CASE WHEN starts_with(html, '<!DOCTYPE') THEN 'doctype' WHEN starts_with(html, '<html') THEN 'html' ELSE 'other' END AS kind, count(*) AS n FROM pages GROUP BY ALL"""
-)
-def sniff_kind(spark, sf_dir):
-    """Types by first bytes, whatever the name says."""
-    kind = F.when(F.col("html").startswith("<!DOCTYPE"), "doctype").when(F.col("html").startswith("<html"), "html").otherwise("other")
-    return table(spark, sf_dir, "pages").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def nms_greedy(spark, sf_dir):
-    return layout.suppressed(boxes(spark, sf_dir), ["page"], [F.desc("width"), F.col("id")], 0.3)
-
-
-@query()
-def resolve_label(spark, sf_dir):
-    """Labels (words of part names) to a dictionary of part types, through equal, contained and similar tokens."""
-    parts = table(spark, sf_dir, "part")
-    names = parts.select(F.explode(F.array("p_type", "p_name", F.regexp_replace("p_type", "^(.)(.)", "$2$1"))).alias("label"))
-    kinds = parts.select(F.col("p_type").alias("alias")).distinct()
-    return resolve.resolve(names, kinds.select(F.col("alias").alias("entry_id"), F.xxhash64("alias").alias("ord"), "alias", F.lit(1.0).alias("priority")))
-
-
-def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id", "event_id", seconds_of("ts").alias("seconds"), (F.col("event_type") == "error").alias("failed"))
-
-
-@query()
-def rate_limit(spark, sf_dir):
-    return limits.rate_limited(_timed(spark, sf_dir), "user_id", "seconds", ["seconds", "event_id"], limit=3, window=86400.0)
-
-
-@query()
-def circuit_breaker(spark, sf_dir):
-    return limits.guarded(_timed(spark, sf_dir), "user_id", "seconds", "failed", ["seconds", "event_id"], cooldown=86400.0)
-
-
-@query("SELECT event_type, user_id, min(event_id) AS event_id FROM events GROUP BY event_type, user_id")
-def fifo_cache(spark, sf_dir):
-    """The first value of each key."""
-    return table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.min("event_id").alias("event_id"))
-
-
-@query("SELECT count(*) AS n, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM (SELECT lang FROM documents UNION ALL SELECT 'xx' FROM benchmark)")
-def chunk_union(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("lang").unionByName(table(spark, sf_dir, "benchmark").select(F.lit("xx").alias("lang")))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
-
-

@@ -1,0 +1 @@
+"""Inputs: types by first bytes, known forms, dictionaries, and their audit."""

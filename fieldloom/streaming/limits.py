@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.paged import same_key
+
 LIMIT, WINDOW = 12, 300.0
 THRESHOLD, COOLDOWN = 3, 60.0
 
@@ -29,12 +31,12 @@ def admit(hits: deque, now: float, limit: int, window: float) -> tuple[bool, int
 
 def _folded(key: str, make, step, columns: dict[str, str]):
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, state = object(), None
+        own, state = None, None
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                if getattr(row, key) != own:
-                    own, state = getattr(row, key), make()
+                if not same_key(own, (getattr(row, key),)):
+                    own, state = (getattr(row, key),), make()
                 out.append(step(state, row))
             yield frame.assign(**{c: [x[i] for x in out] for i, c in enumerate(columns)})
 
@@ -72,14 +74,38 @@ def guarded(calls: DataFrame, key: str, seconds: str, failed: str, order: list[s
     return _in_order(calls, key, order, lambda: {"failures": 0, "opened": 0.0}, step, {"allowed": "boolean"})
 
 
-def rate_limited_stream(events: DataFrame, key: str, seconds: str, limit: int = LIMIT, window: float = WINDOW) -> DataFrame:
-    """The limiter over a stream with columns key (long) and seconds (double): key, seconds, allowed, retry_after."""
+def cached(requests: DataFrame, cache: str, key: str, value: str, order: list[str], capacity: int = 256) -> DataFrame:
+    """``requests`` with hit and served: the value first held for the key, in a cache of ``capacity`` keys that drops the oldest; a hit does not refresh it. Null keys are one key."""
+
+    def step(held: dict, row) -> tuple[bool, object]:
+        name, got = getattr(row, key), getattr(row, value)
+        name = None if name != name else name
+        if name in held:
+            return True, held[name]
+        held[name] = got
+        if len(held) > capacity:
+            del held[next(iter(held))]
+        return False, got
+
+    return _in_order(requests, cache, order, dict, step, {"hit": "boolean", "served": requests.schema[value].dataType.simpleString()})
+
+
+def rate_limited_stream(events: DataFrame, key: str, seconds: str, limit: int = LIMIT, window: float = WINDOW, expire: bool = True) -> DataFrame:
+    """The limiter over a stream with columns key (long) and seconds (double): key, seconds, allowed, retry_after.
+
+    With ``expire`` a key's log is dropped ``window`` seconds of processing time after its last batch; a run over what is available now ends only without it.
+    """
 
     def update(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         hits = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(frames)).sort_values(seconds)
         found = [admit(hits, t, limit, window) for t in rows[seconds]]
         state.update((list(hits),))
+        if expire:
+            state.setTimeoutDuration(int(window * 1000) + 1)
         yield pd.DataFrame({key: own[0], seconds: rows[seconds].to_numpy(), "allowed": [a for a, _ in found], "retry_after": [r for _, r in found]})
 
-    return events.groupBy(key).applyInPandasWithState(update, f"{key} long, {seconds} double, allowed boolean, retry_after int", "hits array<double>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(update, f"{key} long, {seconds} double, allowed boolean, retry_after int", "hits array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)

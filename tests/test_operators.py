@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from fieldloom.operators import layout, resolve, retrieval
+from fieldloom.operators import layout, pages, resolve, retrieval
 from fieldloom.streaming import limits
 
 
@@ -59,18 +59,80 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     for n, part in enumerate((rows[:25], rows[25:])):
         spark.createDataFrame(part, "k long, t double").coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
     source = spark.readStream.schema("k long, t double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in*"))
-    run = limits.rate_limited_stream(source, "k", "t", 3, 60.0).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run = limits.rate_limited_stream(source, "k", "t", 3, 60.0, expire=False).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert run.awaitTermination(120)
     batch = limits.rate_limited(spark.createDataFrame(rows, "k long, t double"), "k", "t", ["t"], 3, 60.0)
     assert sorted(spark.table("limited").collect()) == sorted(batch.select("k", "t", "allowed", "retry_after").collect())
 
 
-def test_resolve_layers(spark):
-    aliases = [("full_name", 1, "Full Name", 1.1), ("full_name", 1, "पूरा नाम", 1.1), ("date_of_birth", 2, "Date of Birth", 1.1), ("bank_account_number", 3, "Bank Account Number", 1.0), ("relative_name", 4, "Brother Name", 1.0), ("amount", 5, "Amount", 1.0)]
-    known = spark.createDataFrame(aliases, "entry_id string, ord int, alias string, priority double")
-    labels = ["Full Name", "Ful Nane", "Dato of Birlh", "पूरा नाम", "Your Full Name here", "Bank Account Number", "Favourite Genre", "Mother Name", "", None, "total amount"]
-    got = {r.label: (r.entry_id, r.how) for r in resolve.resolve(spark.createDataFrame([(x,) for x in [*labels, "Full Name"]], "label string"), known).collect()}
-    assert got == {"Full Name": ("full_name", "exact"), "Ful Nane": ("full_name", "fuzzy"), "Dato of Birlh": ("date_of_birth", "fuzzy"), "पूरा नाम": ("full_name", "exact"), "Your Full Name here": ("full_name", "contains"), "Bank Account Number": ("bank_account_number", "exact"), "Mother Name": ("relative_name", "fuzzy")}
+ALIASES = [("full_name", 1, 0, "Full Name", 1.1, "text"), ("full_name", 1, 1, "पूरा नाम", 1.1, "text"), ("date_of_birth", 2, 0, "Date of Birth", 1.1, "date"), ("account", 3, 0, "Bank Account Number", 1.0, "text"), ("relative", 4, 0, "Brother Name", 1.0, "text"), ("amount", 5, 0, "Amount", 1.0, "text"), ("amount", 5, 1, "Amount due", 1.0, "text"), ("work", 6, 0, "कामकाज", 1.0, "text")]
+KEYWORDS = [("date_of_birth", 0, "born"), ("amount", 0, "total sum"), ("amount", 1, "rupees")]
+NOISY = ["Full Name", "Ful Nane", "Dato of Birlh", "पूरा नाम", "परा नम", "Your Full Name here", "Your Ful Nane here", "Bank Account", "Bank Account Number", "Favourite Genre", "Mother Name", "Brothr Name", "", None, "total amount", "born on", "rupee5", "rupees sum total", "amount", "का काम", "Bank Acount Numbar", "due amount due"]
+
+
+def by_hand(label, kind):
+    """Entry, score of a label by the rules, one alias after the other."""
+    from difflib import SequenceMatcher
+
+    fold = lambda t: [w for w in (t or "").lower().translate({0x0942: None, 0x093E: None, 0x093C: None}).split()]
+    lt, found = fold(label), {}
+    if not lt:
+        return None
+    ratio = lambda a, b: 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+    inside = lambda small, big: any(big[i : i + len(small)] == small for i in range(len(big) - len(small) + 1))
+    for entry, _, _, alias, priority, of in ALIASES:
+        at, share = fold(alias), min(1, len(fold(alias)) / len(lt))
+        score, how = 0, ""
+        if lt == at:
+            score, how = 1.0, "exact"
+        elif inside(at, lt):
+            score, how = (0.5, "weak_token") if len(at) == 1 and len(lt) > 1 else (min(0.95, 0.58 + 0.37 * share), "contains")
+        elif len(lt) > 1 and inside(lt, at):
+            score, how = 0.74, "contained_by"
+        else:
+            for i in range(len(lt) - len(at) + 1):
+                r = [0 if (min(len(a), len(b)) <= 2 and a != b) or abs(len(a) - len(b)) > 1 else ratio(a, b) for a, b in zip(lt[i:], at)]
+                if min(r) >= 0.72 and sum(r) / len(r) >= 0.8:
+                    score, how = max(score, 0.58 + 0.14 * (sum(r) / len(r) - 0.8) / 0.2 + 0.04 * share), "fuzzy_tokens"
+        if score > found.get(entry, (0,))[0]:
+            found[entry] = (score, how, len(at), priority, of)
+    for entry, _, word in KEYWORDS:
+        known = next(a for a in ALIASES if a[0] == entry)
+        if entry not in found or found[entry][1].startswith("keyword") is None:
+            if all(w in lt for w in word.split()):
+                found.setdefault(entry, (0.56, "keyword", len(word.split()), known[4], known[5]))
+            elif len(word.split()) == 1 and any(ratio(w, word) >= 0.9 for w in lt):
+                found.setdefault(entry, (0.53, "keyword_fuzzy", 1, known[4], known[5]))
+    best = None
+    for entry in dict.fromkeys(a[0] for a in ALIASES):
+        if entry in found:
+            base, how, n, priority, of = found[entry]
+            score = min(1, base * priority)
+            if kind:
+                score = min(1, score + 0.04) if kind == of else score - (0.08 if kind == "checkbox" else 0.01)
+            score = round(score, 4)
+            if best is None or (score > best[1] if abs(score - best[1]) > 0.02 else n > best[3]):
+                best = (entry, score, how, n)
+    return best[:3] if best and best[1] >= 0.52 and best[2] != "weak_token" else None
+
+
+def test_resolve_against_the_rules(spark):
+    known = spark.createDataFrame(ALIASES, "entry_id string, ord int, pos int, alias string, priority double, entry_type string")
+    words = spark.createDataFrame(KEYWORDS, "entry_id string, pos int, keyword string")
+    cases = [(x, k) for x in NOISY for k in (None, "text", "date", "checkbox")]
+    got = {(r.label, r.field_type): (r.entry_id, round(r.score, 4), r.how) for r in resolve.resolve(spark.createDataFrame([*cases, cases[0]], "label string, field_type string"), known, words).collect()}
+    want = {c: w for c in cases if (w := by_hand(*c))}
+    assert {c: (e, how) for c, (e, _, how) in got.items()} == {c: (e, how) for c, (e, _, how) in want.items()}
+    # both round to four places, of halves one up and one to the nearer in binary
+    assert all(abs(got[c][1] - want[c][1]) < 1.1e-4 for c in got)
+    assert got["Your Ful Nane here", "text"][0] == "full_name" and got["Bank Account", "text"][2] == "contained_by" and ("Favourite Genre", None) not in got
+
+
+def test_patterns(spark):
+    markers = spark.createDataFrame([("name_like", 0, "name", 0.9), ("number_like", 1, "number", 1.0), ("choice", 2, "tick", 1.3)], "pattern_id string, ord int, marker string, weight double")
+    labels = spark.createDataFrame([("Number",), ("Name of ward number",), ("numbr of x",), ("tick",), ("ward",), (None,)], "label string")
+    got = {r.label: (r.pattern_id, r.score) for r in resolve.match_pattern(labels, markers).collect()}
+    assert got == {"Number": ("number_like", 0.72), "Name of ward number": ("number_like", 0.62), "numbr of x": ("number_like", 0.52), "tick": ("choice", 0.9)}
 
 
 def test_form_match(spark):
@@ -78,3 +140,92 @@ def test_form_match(spark):
     docs = spark.createDataFrame([(1, "Demo Bank account type nominee occupation savings", ["Nominee"]), (2, "library card favourite genre membership", []), (3, None, None)], "id int, text string, labels array<string>")
     got = {r.id: r.form_id for r in retrieval.match_form(docs, forms, F.coalesce("text", F.lit("")), F.coalesce("labels", F.array()), F.lit("banking")).collect()}
     assert got == {1: "bank", 2: None, 3: None}
+
+
+def test_null_keys_are_one_key(spark):
+    rows = [(None, float(t), t % 2 == 0, t) for t in range(6)] + [(1, 0.5, True, 9)]
+    df = spark.createDataFrame(rows, "k int, t double, bad boolean, i int")
+    assert [r.allowed for r in limits.rate_limited(df, "k", "t", ["t"], 2, 60.0).where("k IS NULL").orderBy("t").collect()] == [True, True, False, False, False, False]
+    assert limits.guarded(df.withColumn("bad", F.lit(True)), "k", "t", "bad", ["t"], 3, 60.0).where("allowed").count() == 4
+
+
+def test_cache_drops_the_oldest(spark):
+    rows = [(1, i, k) for i, k in enumerate("abacabb")] + [(1, 90, None), (1, 91, None)]
+    got = limits.cached(spark.createDataFrame(rows, "c int, i int, k string"), "c", "k", "i", ["i"], capacity=2).orderBy("i").collect()
+    assert [(r.hit, r.served) for r in got] == [(False, 0), (False, 1), (True, 0), (False, 3), (False, 4), (False, 5), (True, 5), (False, 90), (True, 90)]
+
+
+def test_lexical_ways_agree(spark):
+    rnd = random.Random(6)
+    make = lambda n: [(i, " ".join(rnd.choice("abcdefghij") * rnd.randint(1, 2) for _ in range(rnd.randint(0, 9)))) for i in range(n)] + [(n, None)]
+    q, d = spark.createDataFrame(make(12), "q int, text string"), spark.createDataFrame(make(200), "d int, text string").repartition(5)
+    ways = [sorted(map(tuple, retrieval.lexical_topk(q, d, "q", "d", most_tokens=m).collect())) for m in (0, 10_000)]
+    assert ways[0] == ways[1] and len(ways[0]) > 40
+
+
+def test_vectors_against_a_loop(spark):
+    rnd = random.Random(2)
+    v = [(i, [float(rnd.randint(-3, 3)) for _ in range(4)]) for i in range(90)] + [(90, None)]
+    df = spark.createDataFrame(v, "id long, v array<float>")
+    got = {(r.query, r.rank): r.vector for r in retrieval.vector_topk(df.where("id < 7"), df, "id", "v", 4).collect()}
+    for i, a in v[:7]:
+        want = sorted((sum((x - y) ** 2 for x, y in zip(a, b)), j) for j, b in v[:90])[:4]
+        assert [got[i, r] for r in (1, 2, 3, 4)] == [j for _, j in want]
+
+
+BOXES = "page int, id int, x double, y double, width double, height double"
+
+
+def test_labels_beside_or_above(spark):
+    fields = spark.createDataFrame([(1, 1, 0.5, 0.2, 0.3, 0.02, False), (1, 2, 0.5, 0.4, 0.3, 0.02, False), (1, 3, 0.1, 0.6, 0.3, 0.02, True), (1, 4, 0.5, 0.41, 0.3, 0.02, False)], BOXES + ", rtl boolean")
+    words = [(1, 11, 0.2, 0.2, 0.05, 0.02, "far"), (1, 12, 0.38, 0.2, 0.05, 0.02, "Full"), (1, 13, 0.44, 0.2, 0.05, 0.02, "Name"), (1, 14, 0.495, 0.2, 0.004, 0.02, ":"), (1, 15, 0.5, 0.37, 0.1, 0.02, "Date"), (1, 16, 0.61, 0.37, 0.05, 0.02, "due"), (1, 17, 0.42, 0.6, 0.05, 0.02, "نام"), (1, 18, 0.48, 0.6, 0.05, 0.02, "پورا")]
+    got = {r.id: r.label for r in pages.nearest_labels(fields, spark.createDataFrame(words, BOXES + ", text string"), ["page"], ["y", "x"]).collect()}
+    assert got == {1: "Full Name", 2: "Date due", 3: "پورا نام", 4: None}
+
+
+def test_better_of_two_readings(spark):
+    lines = [(1, 1, 0.0, 0.0, 100.0, 10.0, 50.0), (1, 2, 5.0, 1.0, 100.0, 10.0, 70.0), (1, 3, 200.0, 0.0, 50.0, 10.0, 10.0), (1, 4, 0.0, 2.0, 90.0, 10.0, 70.0), (2, 1, 0.0, 0.0, 100.0, 10.0, 1.0)]
+    kept = pages.single_readings(spark.createDataFrame(lines, BOXES + ", conf double"), ["page"], F.col("conf"), ["y", "x"])
+    assert {(r.page, r.id) for r in kept.collect()} == {(1, 2), (1, 3), (2, 1)}
+
+
+def test_template_names_and_adds(spark):
+    fields = spark.createDataFrame([(1, 1, 0, 0.1, 0.2, 0.2, 0.02, "misread", "hi"), (1, 2, 0, 0.1, 0.21, 0.2, 0.02, "second", "hi"), (2, 1, 0, 0.1, 0.2, 0.2, 0.02, "free", None)], "doc int, id int, page int, x double, y double, width double, height double, label string, form_language string")
+    slots = spark.createDataFrame([("hi", 0, 0, 0.1, 0.2, 0.2, 0.02, "name", False), ("hi", 1, 0, 0.12, 0.2, 0.2, 0.02, "place", False), ("hi", 2, 0, 0.1, 0.2, 0.2, 0.02, "date", True), ("hi", 3, 1, 0.1, 0.2, 0.2, 0.02, "none", False)], "form_language string, slot int, page int, x double, y double, width double, height double, label string, insert boolean")
+    got = sorted(map(tuple, pages.template_labels(fields, slots, ["doc"]).collect()), key=repr)
+    assert got == [(1, 1, "name", False), (1, 2, "place", False), (1, None, "date", True), (2, 1, "free", False)]
+
+
+def test_table_context(spark):
+    cells = [(1, 1, 0.0, 0.0, 100.0, 20.0, "Elector", False), (1, 2, 100.0, 0.0, 100.0, 20.0, "Relative", False), (1, 3, 0.0, 30.0, 60.0, 20.0, "AC No", False), (1, 4, 100.0, 30.0, 60.0, 20.0, "Part", False), (1, 5, 0.0, 60.0, 60.0, 20.0, "", True), (1, 6, 100.0, 60.0, 60.0, 20.0, "", True), (2, 1, 0.0, 0.0, 50.0, 20.0, "Name:", False), (2, 2, 60.0, 0.0, 50.0, 20.0, "", True)]
+    df = spark.createDataFrame(cells, BOXES + ", text string, is_blank boolean").withColumn("rtl", F.lit(False)).withColumn("text_left", F.col("x")).withColumn("text_right", F.col("x") + F.col("width"))
+    got = {(r.page, r.id): (r.column_header, r.row_caption, r.sub_header) for r in pages.cell_context(pages.table_cells(df, ["page"]), ["page"]).collect()}
+    assert got == {(1, 5): ("Elector", "", "AC No"), (1, 6): ("Relative", "", "Part"), (2, 2): ("", "Name:", "")}
+
+
+def test_readers(spark, tmp_path):
+    from fieldloom.sources import readers
+
+    for name, raw in {"a.txt": b"%PDF-1.7", "b.pdf": b"\x89PNG\r\n\x1a\n..", "c": b"\xff\xd8\xff\xe0", "d": b"RIFF1234WEBPxx", "f": b"GIF89a"}.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path[-1] if "." not in r.path[-5:] else r.path[-5:]: (r.mime, r.error) for r in readers.uploads(spark, str(tmp_path)).collect()}
+    assert sorted(got.values(), key=str) == sorted([("application/pdf", None), ("image/png", None), ("image/jpeg", None), ("image/webp", None), (None, "unknown_type")], key=str)
+    forms = tmp_path / "forms"
+    forms.mkdir()
+    for i, body in enumerate(['{"form_id": "a", "display_name": "old"}', '{\n"form_id": "a", "display_name": "new", "fields": [{"field_id": "f", "aliases": ["x"]}]}', "broken"]):
+        (forms / f"{i}.json").write_text(body)
+    known = readers.known_forms(spark, str(forms))
+    assert [r.display_name for r in known.collect()] == ["new"] and readers.form_fields(known).first().field_id == "f"
+    assert readers.dictionary(spark, str(tmp_path / "absent")).count() == 0
+    entry = tmp_path / "dict"
+    entry.mkdir()
+    (entry / "e.json").write_text('{"id": "n", "aliases": {"en": ["name", "full name"], "hi": ["पूरा नाम"]}, "texts": {"en": "write it", "hi": "लिखें"}}\n')
+    rows = readers.alias_rows(readers.dictionary(spark, str(entry))).orderBy("pos").collect()
+    assert [r.alias for r in rows] == ["full name", "पूरा नाम", "name"]
+    assert readers.audit(readers.dictionary(spark, str(entry)), ["en", "hi", "kn"]).count() == 2
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id int, embedding array<double>")
+    try:
+        readers.replace_index(vectors, str(tmp_path / "index"))
+        raise AssertionError
+    except ValueError:
+        readers.replace_index(vectors.limit(1), str(tmp_path / "index"))

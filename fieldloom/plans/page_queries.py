@@ -21,7 +21,7 @@ def _words(spark, sf_dir):
 
 
 @query(
-    f"""{_ROWS.format(_WORDS, 0.45)}, t AS (SELECT page, line, CASE WHEN count(reading_index) = count(*) THEN list(text ORDER BY reading_index, id) ELSE list(text ORDER BY x, id) END AS t FROM s JOIN w USING (page, n) GROUP BY page, line),
+    f"""{_ROWS.format(_WORDS, 0.45)}, t AS (SELECT page, line, CASE WHEN count(reading_index) = count(*) THEN list(text ORDER BY reading_index, id) ELSE list(text ORDER BY x, id) END AS t FROM (SELECT page, n, line FROM s) JOIN w USING (page, n) GROUP BY page, line),
 u AS (SELECT page, line, list_filter(string_split(trim(regexp_replace(array_to_string(t, ' '), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS u FROM t)
 SELECT page, line, array_to_string(list_filter(u, lambda x, i: i = 1 OR x <> u[i - 1]), ' ') AS text FROM u"""
 )
@@ -155,7 +155,7 @@ def plausible_marks(spark, sf_dir):
     return pages.plausible_marks(view(spark, sf_dir, _MARKS.replace("10.0 +", "10.0D +")), k, w.where("id % 7 = 1"), k, ["page"], 300.0, 25.0, most=1).select("page", "id")
 
 
-_FOUND = f"SELECT page, id, x - 40 AS x, y - 20 AS y, width + 200 AS width, height + 60 AS height, CASE id % 4 WHEN 0 THEN 'multiline' WHEN 1 THEN 'checkbox' ELSE 'text' END AS field_type FROM ({_WORDS}) AS w WHERE id % 5 < 3 UNION ALL SELECT page, id + 1, x + 3, y + 2, 6.0, 5.0, 'radio' FROM ({_WORDS}) AS w WHERE id % 5 = 4"
+_FOUND = f"SELECT page, id, x - 40 AS x, y - 20 AS y, width + 200 AS width, height + 60 AS height, CASE id % 4 WHEN 0 THEN 'multiline' WHEN 1 THEN 'checkbox' ELSE 'text' END AS field_type FROM ({_WORDS}) AS w WHERE id % 5 < 3 UNION ALL SELECT page, -id, x + 3, y + 2, 6.0, 5.0, 'radio' FROM ({_WORDS}) AS w WHERE id % 5 = 4"
 
 
 @query(

@@ -1,12 +1,13 @@
 """License scan by a positional index of rare licence words.
 
-Licence templates are indexed by word and position. Document frequencies of all template words are
-counted over the whole corpus; the ``ANCHORS`` rarest words of each template are its
-anchors. A file's anchor words are looked up, their postings
-intersected by relative position, and where the anchors of a template agree on one start, the
-template is aligned there: its score is the share of inverse document frequency of its words that
-stand at their places or ``SLACK`` words beside. A template counts from ``LEAST_SCORE`` on, if each of its mandatory key phrases
-stands inside the aligned range. Base phrases are found wherever their words stand consecutively.
+Licence texts and notices are indexed by word and position. Document frequencies of all their words are
+counted over the whole corpus; the ``ANCHORS`` rarest words of each stretch of ``STRETCH`` words are its
+anchors. A file's anchor words are looked up and their postings intersected by relative position, up to ``SLACK`` words
+of insertions or gaps. Where enough anchors of a template agree, it is aligned: the part of it that is present is the run of
+its words that gains most inverse document frequency, words out of place counting against it, and the score is the share of the run's words
+that stand at their places. A template counts from ``LEAST_SCORE`` on, if of each group of its
+mandatory key phrases one stands in the aligned range. "All rights reserved" counts only where no other licence stands within ``NEAR`` words.
+Base phrases are found wherever their words stand consecutively.
 
 Defined results: null and empty texts have no words and no labels; a license named twice is one
 label and two places; words count from 0. Repeated rows each have a result. Only id and text are
@@ -15,6 +16,7 @@ read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
+from .license_texts import TEMPLATES
 from .words import ALNUM, Words, hash_words
 
 # Base phrases and their labels.
@@ -31,36 +34,19 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Templates as label, words, mandatory key phrases.
-TEMPLATES = [
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
-    ("apache-2", "licensed under the apache license version 2 0", ["apache license"]),
-    ("apache-2", "you may not use this file except in compliance with the license", ["in compliance with the license"]),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-    ("gpl-3", "either version 3 of the license or at your option any later version", ["version 3 of the license"]),
-    ("gpl-2", "licensed under the gnu general public license version 2", ["gnu general public license", "version 2"]),
-    ("gpl-2", "either version 2 of the license or at your option any later version", ["version 2 of the license"]),
-    ("lgpl", "under the terms of the gnu lesser general public license", ["gnu lesser general public license"]),
-    ("agpl-3", "under the terms of the gnu affero general public license", ["gnu affero general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["source and binary forms"]),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
-    ("cc0", "dedicated to the public domain under cc0 1 0 universal", ["public domain", "cc0"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
-    ("proprietary", "all rights reserved", ["all rights reserved"]),
-]
-#: Rarest words of a template that are looked up, and the share of its idf that must stand in place.
-ANCHORS = 4
+#: Anchors of each stretch of so many words, and the share of idf that must stand in place.
+ANCHORS, STRETCH = 4, 12
 LEAST_SCORE = 0.7
-#: Words by which a template word may stand beside its place.
-SLACK = 2
+#: Words by which a template's words may be shifted; what a word out of place costs against one in place; words of a part at least.
+SLACK = 12
+MISSED = 1.5
+LEAST_WORDS = 7
+NEAR = 100
 PIECE_BYTES = 1 << 20
 
-_WORDS = sorted({w for _, text, keys in TEMPLATES for x in (text, *keys) for w in x.split()} | {w for x in BASE for w in x.split()})
+_CUT = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+_TEMPLATES = [(label, _CUT.findall(text.lower()), keys) for label, text, keys in TEMPLATES]
+_WORDS = sorted({w for _, words, groups in _TEMPLATES for w in [*words, *(w for g in groups for k in g for w in k.split())]} | {w for x in BASE for w in x.split()})
 _HASHES = hash_words(_WORDS)
 _ORDER = np.argsort(_HASHES)
 _NUMBER = {w: i for i, w in enumerate(_WORDS)}
@@ -107,48 +93,87 @@ class Index:
 
     def __init__(self, idf: np.ndarray):
         self.idf = idf
-        self.templates = [np.array([_NUMBER[w] for w in text.split()]) for _, text, _ in TEMPLATES]
-        posts = []
+        self.templates = [np.array([_NUMBER[w] for w in words]) for _, words, _ in _TEMPLATES]
+        posts, self.needed = [], []
         for t, symbols in enumerate(self.templates):
-            rare = sorted(set(symbols.tolist()), key=lambda s: (-idf[s], s))[:ANCHORS]
-            posts += [(s, t, i) for i, s in enumerate(symbols.tolist()) if s in rare]
+            for a in range(0, len(symbols), STRETCH):
+                part = symbols[a : a + STRETCH].tolist()
+                rare = sorted(set(part), key=lambda s: (-idf[s], s))[:ANCHORS]
+                posts += [(s, t, a + i) for i, s in enumerate(part) if s in rare]
+            self.needed.append(min(3, len(set(symbols.tolist()))))
         posts.sort()
         self.word, self.template, self.place = map(np.array, zip(*posts, strict=True))
         self.first = np.searchsorted(self.word, np.arange(len(_WORDS) + 1))
-        self.needed = np.array([min(2, len(set(x.tolist()))) for x in self.templates])
+        self.needed = np.array(self.needed)
 
-    def matches(self, symbols: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(first word, end, template, score) of each aligned template whose key phrases stand in it."""
+    def _candidates(self, symbols: np.ndarray, begins: np.ndarray) -> list[tuple[int, int, int]]:
+        """(template, start it would have, first word of its document) where enough anchors agree, starts in steps of SLACK."""
         at = np.flatnonzero(symbols >= 0)
         count = (self.first[1:] - self.first[:-1])[symbols[at]]
         post = np.repeat(self.first[symbols[at]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
         where = np.repeat(at, count)
-        start, template = where - self.place[post], self.template[post]
-        inside = start >= begins[where]
-        pairs, votes = np.unique(start[inside] * len(TEMPLATES) + template[inside], return_counts=True)
-        start, template = pairs // len(TEMPLATES), pairs % len(TEMPLATES)
-        agreed = votes >= self.needed[template]
+        template, begin = self.template[post], begins[where]
+        # starts are taken relative to the document; they may lie before it
+        step = (where - begin - self.place[post] + 4096) // SLACK
+        rows = np.stack([begin, template, step, self.place[post]], axis=1)
+        # a hit counts for its own step and the one before, so that shifts by up to SLACK meet
+        rows = np.unique(np.concatenate([rows, rows - np.array([0, 0, 1, 0])]), axis=0)
+        if not len(rows):
+            return []
+        cell = np.flatnonzero(np.concatenate([[True], np.any(rows[1:, :3] != rows[:-1, :3], axis=1)]))
+        votes = np.diff(np.append(cell, len(rows)))
+        good = cell[votes >= self.needed[rows[cell, 1]]]
+        return [(t, b + step * SLACK - 4096, b) for b, t, step, _ in rows[good].tolist()]
+
+    def matches(self, symbols: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(first word, end, template, score) of each aligned template whose key phrases stand in it; of overlapping ones of a label the best."""
         keys: dict[str, np.ndarray] = {}
-        out = []
-        for s, t in zip(start[agreed].tolist(), template[agreed].tolist(), strict=True):
-            words = self.templates[t]
-            end = min(s + len(words) + SLACK, int(ends[s]))
-            own = np.full(len(words) + 2 * SLACK, -1)
-            low = max(s - SLACK, int(begins[s]))
-            own[low - s + SLACK : end - s + SLACK] = symbols[low:end]
-            there = np.any([own[d : d + len(words)] == words for d in range(2 * SLACK + 1)], axis=0)
-            score = float(self.idf[words[there]].sum() / self.idf[words].sum())
+        found = []
+        for t, start, begin in self._candidates(symbols, begins):
+            words, end = self.templates[t], int(ends[begin])
+            wide = len(words) + 4 * SLACK
+            own = np.full(wide, -1)
+            low, high = max(start - SLACK, begin), min(start + len(words) + 3 * SLACK, end)
+            if high <= low:
+                continue
+            own[low - start + SLACK : high - start + SLACK] = symbols[low:high]
+            same = np.stack([own[d : d + len(words)] == words for d in range(4 * SLACK)])
+            there, shift = same.any(0), same.argmax(0)
+            value = self.idf[words]
+            gain = np.cumsum(np.where(there, value, -MISSED * value))
+            lowest = np.minimum.accumulate(np.concatenate([[0.0], gain[:-1]]))
+            last = int(np.argmax(gain - lowest))
+            first = int(np.argmin(np.concatenate([[0.0], gain[:-1]])[: last + 1]))
+            part = slice(first, last + 1)
+            if last + 1 - first < min(LEAST_WORDS, len(words)):
+                continue
+            score = float(value[part][there[part]].sum() / value[part].sum())
             if score < LEAST_SCORE:
                 continue
-            for key in TEMPLATES[t][2]:
-                if key not in keys:
-                    keys[key] = _phrase(symbols, ends, key)
-                k = np.searchsorted(keys[key], low)
-                if k == len(keys[key]) or keys[key][k] + len(key.split()) > end:
-                    break
-            else:
-                out.append((s, end, t, score))
-        return out
+            held = (np.arange(len(words)) + shift + start - SLACK)[part][there[part]]
+            a, b = int(held.min()), int(held.max()) + 1
+            near = lambda key: self._stands(keys, symbols, ends, key, max(a - SLACK, begin), min(b + SLACK, end))
+            if all(any(near(k) for k in group) for group in _TEMPLATES[t][2]):
+                found.append((a, b, t, score))
+        found.sort(key=lambda x: (-x[3] * (x[1] - x[0]), x))
+        kept: list[tuple[int, int, int, float]] = []
+        for m in found:
+            if not any(_TEMPLATES[m[2]][0] == _TEMPLATES[k[2]][0] and m[0] < k[1] and k[0] < m[1] for k in kept):
+                kept.append(m)
+        return sorted(kept)
+
+    @staticmethod
+    def _stands(keys: dict[str, np.ndarray], symbols: np.ndarray, ends: np.ndarray, key: str, low: int, high: int) -> bool:
+        if key not in keys:
+            keys[key] = _phrase(symbols, ends, key)
+        k = np.searchsorted(keys[key], low)
+        return bool(k < len(keys[key]) and keys[key][k] + len(key.split()) <= high)
+
+
+def _named(matches: list[dict], base: list) -> list[dict]:
+    """Matches without "all rights reserved" beside another licence."""
+    others = [m["first_word"] for m in matches if m["label"] != "proprietary"] + [at for at, _ in base]
+    return [m for m in matches if m["label"] != "proprietary" or not any(abs(m["first_word"] - at) <= NEAR for at in others)]
 
 
 _MATCH = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("score", pa.float64())]))
@@ -171,7 +196,7 @@ def _scan(idf_sent):
                         base[i].append((at - int(words.first[i]), label))
                 for s, end, t, score in index.matches(symbols, begins, ends):
                     i = int(doc_of[s])
-                    found[i].append({"label": TEMPLATES[t][0], "first_word": s - int(words.first[i]), "end_word": end - int(words.first[i]), "score": score})
+                    found[i].append({"label": _TEMPLATES[t][0], "first_word": s - int(words.first[i]), "end_word": end - int(words.first[i]), "score": score})
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[a:b],
@@ -180,7 +205,7 @@ def _scan(idf_sent):
                         pa.array([min(x)[0] if x else None for x in base], pa.int64()),
                         pa.array([max(x)[0] if x else None for x in base], pa.int64()),
                         pa.array([sorted({y[1] for y in x}) for x in base], pa.list_(pa.string())),
-                        pa.array(found, _MATCH),
+                        pa.array([_named(m, own) for m, own in zip(found, base, strict=True)], _MATCH),
                     ],
                     names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "matches"],
                 )

@@ -3,7 +3,9 @@
 Entities are found by one regular expression: e-mail addresses, bank account (IBAN), IP and social
 security numbers, payment cards, telephone numbers, secret keys, and names of persons after a title. Each gets a keyed surrogate
 of its own kind: other digits for digits, letters for letters of the same case and script, with
-separators, country prefixes and lengths as they stand. Names are made of syllables of the script,
+separators, country prefixes and lengths as they stand. Card numbers count only with a right check digit, and bank accounts with right
+check digits; so do their surrogates have, and cards keep their brand's first two digits. Long hexadecimal numbers are secrets only
+behind a word such as key or token. Names are made of syllables of the script,
 with an ending of the gender that the title or a known given name shows.
 
 Coreference: mentions with one normal form (case, separators and titles don't count; given name and
@@ -12,18 +14,24 @@ is the surname. A document's names are also replaced where they stand without ti
 that collide with one another or with any entity of the corpus are drawn anew with the next
 attempt's key, until none is left; from ``LONGER`` attempts on they grow longer, so that this ends.
 
+Surrogates are drawn by HMAC-SHA-512 under a secret key, which the caller gives or the setting ``CONF_KEY``; without either there is an error.
+
 Defined results: null texts stay null and have no entities; texts without entities stay as they are.
 Repeated rows are treated alike. All columns are kept, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 
-KEY = "a key of the deployment"
+#: Setting that holds the key; and the key of the registered query, which makes its results repeatable and protects nothing.
+CONF_KEY = "spark.fieldloom.pii.key"
+QUERY_KEY = "for repeatable results only"
 LONGER = 6
 
 # Titles with the gender they show, and given names by gender.
@@ -50,17 +58,34 @@ PATTERNS = {
     "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
     "card": r"(?<![\p{L}\p{N}.-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\p{L}\p{N}]|-\d)",
     "phone": r"(?<![\p{L}\p{N}+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\p{L}\p{N}]|-\d)",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?<=(?:[tT]oken|TOKEN|[sS]ecret|SECRET|[kK]ey|KEY|[pP]assword|[pP]asswd|[pP]wd|PASSWORD)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[0-9a-f]{32,64}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.? {_NAME}(?: {_NAME}){{0,9}}",
 }
 ANY = "|".join(PATTERNS.values())
 
 
+def luhn_sum(digits: Column) -> Column:
+    """Sum of a card number's digits, every second from the last but one doubled, modulo 10; 0 for right ones."""
+    signs = F.reverse(F.split(digits, ""))
+    doubled = F.transform(signs, lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.element_at(F.array(*map(F.lit, [0, 2, 4, 6, 8, 1, 3, 5, 7, 9])), c.cast("int") + 1)))
+    return F.aggregate(doubled, F.lit(0), lambda s, v: s + v) % 10
+
+
+def mod_97(account: Column) -> Column:
+    """Remainder of an IBAN without blanks, its first four signs put last, letters as numbers from 10 on; 1 for right ones."""
+    signs = F.split(F.concat(F.substr(account, F.lit(5)), F.substr(account, F.lit(1), F.lit(4))), "")
+    value = F.transform(signs, lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55))
+    return F.aggregate(value, F.lit(0), lambda r, v: F.when(v > 9, (r * 100 + v) % 97).otherwise((r * 10 + v) % 97))
+
+
 def kind_of(mention: Column) -> Column:
-    """The kind of a mention: the first whose pattern it is."""
+    """The kind of a mention: the first whose pattern it is; null for cards and accounts whose check digits are wrong."""
     out = F.lit(None)
+    checked = {"card": luhn_sum(F.regexp_replace(mention, "[^0-9]", "")) == 0, "iban": mod_97(F.replace(mention, F.lit(" "), F.lit(""))) == 1}
     for kind, pattern in reversed(PATTERNS.items()):
-        out = F.when(mention.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
+        # what stands before a secret is not in the mention
+        found = mention.rlike("^(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16})$" if kind == "secret" else f"^(?:{pattern})$")
+        out = F.when(found, F.when(checked[kind], kind) if kind in checked else F.lit(kind)).otherwise(out)
     return out
 
 
@@ -82,13 +107,20 @@ def _parts(mention: Column, kind: Column) -> Column:
     person = F.concat(given, F.array(surname))
     digits = F.regexp_replace(mention, r"[^0-9+]", "")
     normal = F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "email", F.lower(mention)).when(kind == "iban", F.regexp_replace(mention, " ", "")).otherwise(mention)
-    return F.when(kind == "person", person).otherwise(F.array(entity(kind, normal, none)))
+    return F.when(kind == "person", person).when(kind.isNull(), F.slice(F.array(surname), 1, 0)).otherwise(F.array(entity(kind, normal, none)))
+
+
+def hmac_sha512(key: bytes, message: Column) -> Column:
+    """HMAC of a text under a key, as hex."""
+    block = (hashlib.sha512(key).digest() if len(key) > 128 else key).ljust(128, b"\0")
+    inner, outer = (bytearray(b ^ pad for b in block) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), F.encode(message, "UTF-8")), 512))), 512)
 
 
 def _stream(key: str, attempt: int) -> Column:
     """768 hex digits drawn from key, kind, normal form and attempt."""
-    base = F.concat_ws("|", F.lit(key), "kind", "normal", F.lit(str(attempt)))
-    return F.concat(*[F.sha2(F.concat_ws("|", base, F.lit(str(i))), 512) for i in range(6)])
+    base = F.concat_ws("|", "kind", "normal", F.lit(str(attempt)))
+    return F.concat(*[hmac_sha512(key.encode(), F.concat_ws("|", base, F.lit(str(i)))) for i in range(6)])
 
 
 def _byte(at: Column) -> Column:
@@ -132,19 +164,25 @@ def _candidate(attempt: int) -> Column:
     octets = F.concat_ws(".", *[(F.pmod(_byte(F.lit(2 * i)), F.lit(253)) + 1).cast("string") for i in range(4)])
     normal = F.col("normal")
     prefix = F.when(normal.startswith("+"), F.greatest(F.length(normal) - 10, F.lit(2))).otherwise(0)
-    fixed = F.when(F.col("kind") == "phone", prefix).when(F.col("kind") == "iban", 2).when((F.col("kind") == "secret") & normal.startswith("AKIA"), 4).otherwise(0)
+    fixed = F.when(F.col("kind") == "phone", prefix).when(F.col("kind") == "iban", 2).when(F.col("kind") == "card", 2).when((F.col("kind") == "secret") & normal.startswith("AKIA"), 4).otherwise(0)
     local = F.concat(*[F.lit("x"), F.substr(F.col("stream"), F.lit(700), F.lit(12))])
     email = F.concat(_same_classes(F.regexp_replace(normal, r"\.[^.]*$", ""), F.lit(0)), F.lit("."), F.substring_index(normal, ".", -1))
     if attempt >= LONGER:
         email = F.concat(local, email)
     out = F.when(F.col("kind") == "ip", octets).when(F.col("kind") == "email", email).when(_has("kind", ["given", "surname"]), _name(attempt))
     same = _same_classes(normal, fixed)
+    # right check digits: of a card the last, of an account the third and fourth
+    card = F.substr(same, F.lit(1), F.length(same) - 1)
+    card = F.concat(card, F.pmod(10 - luhn_sum(F.concat(card, F.lit("0"))), F.lit(10)).cast("string"))
+    blank = F.concat(F.substr(same, F.lit(1), F.lit(2)), F.lit("00"), F.substr(same, F.lit(5)))
+    account = F.concat(F.substr(same, F.lit(1), F.lit(2)), F.lpad((98 - mod_97(blank)).cast("string"), 2, "0"), F.substr(same, F.lit(5)))
+    same = F.when(F.col("kind") == "card", card).when(F.col("kind") == "iban", account).otherwise(same)
     if attempt >= LONGER:
         same = F.concat(same, F.regexp_replace(F.substr(F.col("stream"), F.lit(700), F.lit(attempt)), "[a-f]", "7"))
     return out.otherwise(same)
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, normal, gender, surrogate: a different one for each, none of which is an entity itself.
 
     Each attempt keeps, of equal candidates, that of the smallest entity, and draws the rest anew.
@@ -196,15 +234,18 @@ def _named(gap: Column, own: Column) -> Column:
     # a name with hyphens as a whole, else by its parts
     parted = lambda w: F.array_join(F.transform(F.split(w, "(?=-)|(?<=-)"), lambda x: F.coalesce(other(x), x)), "")
     named = F.array_join(F.transform(F.split(gap, _EDGE), lambda w: F.coalesce(other(w), parted(w))), "")
-    persons = F.exists(F.map_keys(own), lambda k: k.startswith("surname|"))
+    persons = F.coalesce(F.exists(F.map_keys(own), lambda k: k.startswith("surname|")), F.lit(False))
     return F.when(persons, named).otherwise(gap)
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """``docs`` with surrogates in its texts, and columns n_entities (mentions) and entity_kinds (sorted, distinct).
 
     Columns of these names in ``docs`` are replaced.
     """
+    key = key or docs.sparkSession.conf.get(CONF_KEY, None)
+    if not key:
+        raise ValueError(f"give a secret key, or set {CONF_KEY}")
     names = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
     numbered = docs.select(names).toDF(*[f"c{i}" for i in range(len(names))])
     text = F.col(f"c{names.index(text_col)}")
@@ -221,12 +262,12 @@ def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Da
     maps = inside.select("key", "kind", "normal").distinct().join(placed, ["kind", "normal"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "normal"), "surrogate"))).alias("own"))
     maps = shared.written(maps, "pii-maps")
     gaps = F.transform(F.split(text, ANY, -1), lambda g: _named(g, F.col("own")))
-    new = F.zip_with("mentions", "kinds", lambda m, k: _in_format(m, k, F.col("own")))
+    new = F.zip_with("mentions", "kinds", lambda m, k: F.when(k.isNull(), m).otherwise(_in_format(m, k, F.col("own"))))
     woven = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
-    done = touched.join(maps, "key").withColumn(f"c{names.index(text_col)}", woven)
-    return clean.unionByName(done.select(*back, F.size("mentions").cast("long").alias("n_entities"), F.array_sort(F.array_distinct("kinds")).alias("entity_kinds")))
+    done = touched.join(maps, "key", "left").withColumn(f"c{names.index(text_col)}", woven)
+    return clean.unionByName(done.select(*back, F.size(F.array_compact("kinds")).cast("long").alias("n_entities"), F.array_sort(F.array_distinct(F.array_compact("kinds"))).alias("entity_kinds")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet"), key=spark.conf.get(CONF_KEY, None) or QUERY_KEY)
     return found.select("doc_id", "text", "n_entities", F.array_join("entity_kinds", ",").alias("entity_kinds"))

@@ -14,7 +14,7 @@ TEXTS = [
 
 def run(spark, texts):
     rows = [(i, t, "x", 1, "y", 2) for i, t in enumerate(texts)]
-    out = sg.pseudonymised(spark.createDataFrame(rows, SCHEMA))
+    out = sg.pseudonymised(spark.createDataFrame(rows, SCHEMA), key="k")
     assert out.columns == ["doc_id", "text", "key", "own", "mentions", "n_entities", "entity_kinds"]
     return {r.doc_id: r for r in out.collect()}
 
@@ -51,7 +51,7 @@ def test_keyed_and_repeatable(spark):
 
 
 def test_empty_table(spark):
-    assert sg.pseudonymised(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert sg.pseudonymised(spark.createDataFrame([], SCHEMA), key="k").count() == 0
 
 
 def test_longer_names_and_mentions_without_title(spark):
@@ -62,3 +62,65 @@ def test_longer_names_and_mentions_without_title(spark):
     assert m and not re.search(r"\b(Anna|Maria|Schmidt|SCHMIDT|Brown-Weiss)\b", new)
     assert m[1] == m[5] and m[2] == m[8] and m[3] == m[4] == m[6] == m[7].capitalize() and m[9] == m[10] and len({m[1], m[2], m[3], m[9]}) == 4
     assert "Schmidt alone" in out[1].text and out[2].text.endswith("to Schmidt")
+
+
+def luhn(number):
+    digits = [int(c) for c in reversed(number)]
+    return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+
+
+def iban(number):
+    number = number.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+
+
+def test_check_digits_found_and_made(spark):
+    right = ["4111 1111 1111 1111", "378282246310005", "5555-5555-5555-4444", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
+    wrong = ["1234 5678 1234 5678", "4111 1111 1111 1112", "GB83 WEST 1234 5698 7654 32", "md5 d41d8cd98f00b204e9800998ecf8427e of a file"]
+    out = run(spark, [f"pay {t} now" for t in right + wrong])
+    for i, t in enumerate(right):
+        new = out[i].text[4:-4]
+        assert new != t and len(new) == len(t) and [c in " -" for c in new] == [c in " -" for c in t] and new[:2] == t[:2], new
+        assert iban(new) if t[0].isalpha() else luhn(re.sub("[ -]", "", new))
+    assert all(out[len(right) + i].text == f"pay {t} now" and out[len(right) + i].n_entities == 0 and out[len(right) + i].entity_kinds == [] for i, t in enumerate(wrong))
+    both = run(spark, ["4111 1111 1111 1112 or Mr. John Smith, key: d41d8cd98f00b204e9800998ecf8427e, 4111 1111 1111 1112"])[0]
+    assert both.n_entities == 2 and both.text.count("4111 1111 1111 1112") == 2 and "Smith" not in both.text and "d41d8" not in both.text
+
+
+def test_hmac_is_the_standard_one(spark):
+    import hashlib
+    import hmac
+
+    for key in (b"k", b"long " * 60):
+        got = spark.createDataFrame([("text é",)], "t string").select(sg.hmac_sha512(key, sg.F.col("t"))).first()[0]
+        assert got == hmac.new(key, "text é".encode(), hashlib.sha512).hexdigest()
+
+
+def test_a_key_is_needed(spark):
+    docs = spark.createDataFrame([(1, TEXTS[1])], "doc_id long, text string")
+    try:
+        sg.pseudonymised(docs)
+        raise AssertionError
+    except ValueError:
+        spark.conf.set(sg.CONF_KEY, "k")
+        assert sg.pseudonymised(docs).first().text == sg.pseudonymised(docs, key="k").first().text
+        spark.conf.unset(sg.CONF_KEY)
+
+
+def test_coreference_against_brute_force(spark):
+    """Equal normal forms have one surrogate in all documents, different ones different surrogates, and no surrogate stands in the corpus."""
+    import random
+
+    rnd = random.Random(5)
+    mails = [f"{rnd.choice('abc')}.{rnd.choice('xyz')}{rnd.randint(0, 9)}@mail.example" for _ in range(40)]
+    phones = [f"({rnd.randint(200, 999)}) {rnd.randint(200, 999)}-{rnd.randint(1000, 9999)}" for _ in range(20)]
+    rows = [[rnd.choice(mails + phones) for _ in range(5)] for _ in range(60)]
+    rows = [[m.upper() if rnd.random() < 0.3 else m for m in r] for r in rows]
+    out = run(spark, [" | ".join(r) for r in rows])
+    normal = lambda m: m.lower() if "@" in m else re.sub("[^0-9]", "", m)
+    seen = {}
+    for i, r in enumerate(rows):
+        for old, new in zip(r, out[i].text.split(" | "), strict=True):
+            assert old.isupper() == new.isupper() or "@" not in old
+            assert seen.setdefault(normal(old), normal(new)) == normal(new)
+    assert len(set(seen.values())) == len(seen) and not set(seen.values()) & set(seen)

@@ -7,7 +7,7 @@ square of the change in score is penalised; the same for sentences that get a te
 did not have. So mentions of groups do not move a score by themselves.
 
 Only texts are inputs of a score. Defined results: a null or empty text has the score of no words;
-repeated words count once; ids labelled twice count with their highest label; null labels and labels of
+repeated words count once; ids labelled twice count with their highest label, rows that share a labelled id are learned from once; null labels and labels of
 unknown ids are left out; without labels of both kinds all scores are the share of toxic labels
 (0.5 without any). An empty table gives an empty result; further columns are not read.
 """
@@ -136,10 +136,12 @@ def _score(model_sent):
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled rows that satisfy ``usable``, ``LABELLED_BOUND`` of them at most."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & usable).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    known = known.orderBy(F.xxhash64("id")).limit(LABELLED_BOUND)
+    known = F.broadcast(shared.written(known.orderBy(F.xxhash64("id")).limit(LABELLED_BOUND).coalesce(1), "toxic-labels"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known.select("id"), "id", "left_semi").mapInArrow(_featured, f"id {kind}, buckets array<int>")
-    found = rows.join(known, "id").select("buckets", "label").orderBy(F.xxhash64("id")).toArrow()
+    # the ids travel to the texts; of rows that share an id, one of the fewest words counts, so that the rows are bounded, too
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id", "left_semi").mapInArrow(_featured, f"id {kind}, buckets array<int>")
+    one = F.min(F.struct(F.size("buckets").alias("n"), "buckets")).alias("x")
+    found = rows.groupBy("id").agg(one).join(known, "id").select("x.buckets", "label").orderBy(F.xxhash64("id")).toArrow()
     lists = found.column("buckets").combine_chunks()
     bounds = lists.offsets.to_numpy()
     flat = lists.values.to_numpy().astype(np.int64)

@@ -40,3 +40,15 @@ def test_degenerate(spark):
     model = tx.fit(table, none, F.lit(True))
     assert [r.score for r in tx.scores(table, model).collect()] == [0.5] * 3
     assert tx.scores(spark.createDataFrame([], SCHEMA), model).count() == 0
+
+
+def test_long_texts_ties_and_repeated_labelled_rows(spark):
+    docs = [(i, "bad words here" if i % 2 else "fine words here") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    more = [(200, "fine " * 50_000), (201, None), (202, ""), (203, "bad " * 50_000)]
+    once = spark.createDataFrame(docs + more, "doc_id long, text string")
+    model = tx.fit(once, labels, F.lit(True))
+    got = {r.doc_id: r.score for r in tx.scores(once, model).collect()}
+    assert got[201] == got[202] and got[200] < 0.5 < got[203] and len(got) == 84
+    again = tx.fit(once.unionByName(once.where("doc_id < 40")), labels, F.lit(True))
+    assert (again.weight == model.weight).all() and again.bias == model.bias

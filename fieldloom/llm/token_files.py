@@ -5,13 +5,13 @@ Global counts of all ids give one canonical code whose lengths are limited to ``
 package-merge), so a decoder needs the lengths alone and decodes by one table look-up per id.
 
 A file is a Parquet file of blocks in ascending document order; a block is decoded by itself. Its row
-holds: ``part`` and ``block``, the documents' ids and sizes, the bits as bytes (most significant
+holds: ``part`` and ``block``, the number of ids before it in its part, the documents' ids and sizes, the bits as bytes (most significant
 first, in 32-bit big-endian words), and the bit offset of every ``EVERY``-th id as little-endian 32-bit
 checkpoints, from which the ids between checkpoints are decoded side by side. ``code`` holds the
 lengths of all codes by id.
 
-Defined results: a null or empty text has the end id alone; documents of equal id are in the order
-of their ids' bytes, null first. Repeated rows are written each. Only id and text are read; an empty
+Defined results: a null or empty text has the end id alone; documents without id come first, those of equal id in the order
+of their token ids' bytes. A vocabulary of more than 65,536 ids is an error. Repeated rows are written each. Only id and text are read; an empty
 table gives no blocks. The tokenizer's path is a parameter, and executors read it.
 """
 
@@ -26,6 +26,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +39,8 @@ LIMIT = 18
 EVERY = 256
 #: Ids of a block at which it closes after the document at hand.
 BLOCK_IDS = 1 << 18
-#: Coded bytes of a file, about; beyond MOST_FILES files they grow instead.
-FILE_BYTES = 8 << 20
-MOST_FILES = 2000
+#: Coded bytes of a file, about; the number of files grows with the input.
+FILE_BYTES = 32 << 20
 PIECE_BYTES = 2 << 20
 #: Distinct chunks of text whose ids a worker holds.
 HELD = 3_000_000
@@ -246,7 +246,8 @@ def _blocks(code_sent):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.frombuffer(code_sent.value, np.uint8)
         codes = canonical_codes(lengths)
-        held, size, block, part = [], 0, 0, None
+        part = TaskContext.get().partitionId()
+        held, size, block, before = [], 0, 0, 0
 
         def closed() -> pa.RecordBatch:
             ids = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for _, x in held])
@@ -254,14 +255,13 @@ def _blocks(code_sent):
             sizes = pa.array([len(x.as_buffer()) // 2 for _, x in held], pa.int64())
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             names = pa.array([k.as_py() for k, _ in held], held[0][0].type)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([len(ids)], pa.int64()), one(names), one(sizes), pa.array([bits], pa.binary()), pa.array([checkpoints.tobytes()], pa.binary())], names=["part", "block", "n_ids", "ids", "sizes", "bits", "checkpoints"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), one(names), one(sizes), pa.array([bits], pa.binary()), pa.array([checkpoints.tobytes()], pa.binary())], names=["part", "block", "before", "n_ids", "ids", "sizes", "bits", "checkpoints"])
 
         for batch in batches:
-            for p, key, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if held and (p != part or size >= BLOCK_IDS):
+            for key, ids in zip(batch.column(0), batch.column(1), strict=True):
+                if size >= BLOCK_IDS:
                     yield closed()
-                    held, size, block = [], 0, block + 1 if p == part else 0
-                part = p
+                    held, size, block, before = [], 0, block + 1, before + size
                 held.append((key, ids))
                 size += len(ids.as_buffer()) // 2
         if held:
@@ -273,22 +273,23 @@ def _blocks(code_sent):
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, file_bytes: int = FILE_BYTES) -> None:
     """Write ``path``/blocks and ``path``/code."""
     spark = docs.sparkSession
+    size = _encoder(tokenizer).tokenizer.get_vocab_size()
+    if size > 1 << 16:
+        raise ValueError(f"ids of a vocabulary of {size} don't fit into 16 bits")
     ids = shared.written(encoded(docs, id_col, text_col, tokenizer), "token-ids", compression="zstd")
     counts = np.zeros(1 << 16, np.int64)
     for token, n in ids.select("ids").mapInArrow(_count, "token int, n long").groupBy("token").agg(F.sum("n")).collect():
         counts[token] = n
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
-    parts = min(MOST_FILES, max(1, int((counts * lengths).sum() // 8 // file_bytes)))
-    # bounds between parts from the ids alone, so the rows are read and moved once
-    bounds = sorted(set(ids.where("id IS NOT NULL").select(F.expr(f"percentile_approx(id, array({', '.join(str(k / parts) for k in range(1, parts))}), 100000)").alias("x")).first()[0] or ())) if parts > 1 else []
-    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda bound: bound < F.col("id"))) if bounds else F.lit(0)
-    placed = ids.select(F.when(F.col("id").isNull(), 0).otherwise(below).cast("int").alias("part"), "id", "ids")
-    placed = placed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "ids")
+    parts = max(1, int((counts * lengths).sum() // 8 // file_bytes))
+    # rows of one id are dealt on by the beginning of their bytes, in whose order they stand
+    by_id = F.col("id").asc_nulls_first()
+    placed = ids.repartitionByRange(parts, by_id, F.substring("ids", 1, 16)).sortWithinPartitions(by_id, "ids")
     code = spark.sparkContext.broadcast(lengths.tobytes())
     kind = docs.schema[id_col].dataType.simpleString()
-    layout = f"part int, block long, n_ids long, ids array<{kind}>, sizes array<long>, bits binary, checkpoints binary"
-    placed.mapInArrow(_blocks(code), layout).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    layout = f"part int, block long, before long, n_ids long, ids array<{kind}>, sizes array<long>, bits binary, checkpoints binary"
+    placed.select("id", "ids").mapInArrow(_blocks(code), layout).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     shared.drop_table(ids)
 
 
@@ -315,19 +316,16 @@ def _decode(code_sent, digest: bool):
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """One row a document: id, start, n_tokens, and ids (array<int>) or, with ``digest``, ids_crc32 of them as little-endian 32-bit.
 
-    Starts need the sizes of all blocks: they are summed within parts, and parts by their few totals.
+    A block tells the ids before it in its part; what its part begins with is summed over the parts, one row for each file.
     """
     blocks = spark.read.parquet(f"{path}/blocks")
     code = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/code").first().lengths))
-    order = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocks.select("part", "block", "n_ids").withColumn("within", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
-    before = dict(zip([x.part for x in totals], np.concatenate([[0], np.cumsum([x.n for x in totals])[:-1]]).astype(int).tolist(), strict=True)) if totals else {}
-    offsets = spark.createDataFrame(list(before.items()), "part int, before long")
-    starts = sizes.join(F.broadcast(offsets), "part").select("part", "block", (F.col("within") + F.col("before")).alias("start"))
+    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    offsets = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
     last = "ids_crc32 long" if digest else "ids array<int>"
-    found = blocks.join(F.broadcast(starts), ["part", "block"]).select("part", "block", "n_ids", "ids", "sizes", "bits", "checkpoints", "start")
+    start = (F.col("offset") + F.col("before")).alias("start")
+    found = blocks.join(F.broadcast(offsets), "part").select("n_ids", "ids", "sizes", "bits", "checkpoints", start)
     return found.mapInArrow(_decode(code, digest), f"id {kind}, start long, n_tokens long, last {last.split()[1]}").withColumnRenamed("last", last.split()[0])
 
 

@@ -64,3 +64,18 @@ def test_lengths_are_optimal_without_limit():
         cost += both
         heapq.heappush(heap, both)
     assert (counts * tf.code_lengths(counts)).sum() == cost
+
+
+def test_ids_of_any_type_and_null_stay_in_order(spark):
+    rows = [(k, f"text {i} " * 30) for i, k in enumerate(["d15", "d2", None, "15", "d2", "", None, "z"] * 30)]
+    path = shared.new_table(spark, "tokens-text-ids")
+    tf.write(spark.createDataFrame(rows, "doc_id string, text string").repartition(4), path, file_bytes=1_500)
+    found = [r.id for r in tf.read(spark, path).orderBy("start").collect()]
+    assert found == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or ""))
+    assert spark.read.parquet(f"{path}/blocks").select("part").distinct().count() > 2
+
+
+def test_one_id_of_all_rows_is_dealt_to_several_parts(spark):
+    path = shared.new_table(spark, "tokens-one-id")
+    tf.write(spark.createDataFrame([(7, f"{i} of one id " * 20) for i in range(300)], "doc_id long, text string").repartition(4), path, file_bytes=4_000)
+    assert spark.read.parquet(f"{path}/blocks").select("part").distinct().count() > 2 and tf.read(spark, path).count() == 300

@@ -8,7 +8,8 @@ All phrases are searched backwards at the same time through wavelet ranks; occur
 by steps to the nearest sampled position, and overlapping ones merge into spans.
 
 Phrases are the windows of ``window`` consecutive words of each item; an item of fewer words, but
-not none, is one phrase. Phrases are taken in blocks, so memory is bounded by shard and block.
+not none, is one phrase. Phrases are taken in blocks, so memory is bounded by shard and block. A benchmark of more than
+``PART_BYTES`` is searched in passes: a pass sends one part to the tasks and writes what it found, the next adds to it.
 
 Defined results: null and empty texts have no words and no spans; items without words match
 nothing; repeated items and repeated rows each count; an empty benchmark leaves all clean. Only the
@@ -182,25 +183,28 @@ def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(which), np.concatenate(places)
 
 
-def _scan(parts: list, window: int):
-    """Task function; ``parts`` are broadcast lists of (item id as text, text)."""
+#: What a pass hands to the next: words hit (ranges) and items found.
+CARRIED = "hit_start array<long>, hit_end array<long>, item_ids array<string>"
+
+
+def _scan(part, window: int, carry: bool = False):
+    """Task function over rows (id, text), or with what an earlier pass carried; ``part``: broadcast list of (item id as text, text).
+
+    With ``carry`` the text and the words hit are handed on.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[Phrases] = []
+        phrases = Phrases(part.value, window)
         for batch in batches:
             data, bounds = shared.text_buffer(batch.column(1))
-            shards = list(shared.pieces(bounds, SHARD_BYTES))
-            found: list[list] = [[] for _ in shards]
-            for part in parts:
-                phrases = kept[0] if kept else Phrases(part.value, window)
-                if len(parts) == 1:
-                    kept = [phrases]
-                for (a, b), held in zip(shards, found, strict=True):
-                    words = Words(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], ALNUM)
-                    held.append((phrases, *occurrences(words, phrases)))
-                    if part is parts[-1]:
-                        yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *_hits(words, held, bounds[a : b + 1] - bounds[a])], names=["id", "n_words", "n_hit", "item_ids", "span_start", "span_end"])
-                        held.clear()
+            for a, b in shared.pieces(bounds, SHARD_BYTES):
+                words = Words(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], ALNUM)
+                before = [batch.column(i)[a:b] for i in range(2, 5)] if batch.num_columns == 5 else None
+                found = _hits(words, phrases, *occurrences(words, phrases), bounds[a : b + 1] - bounds[a], before)
+                if carry:
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], found[5], found[6], found[2]], names=["id", "text", "hit_start", "hit_end", "item_ids"])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *found[:5]], names=["id", "n_words", "n_hit", "item_ids", "span_start", "span_end"])
 
     return scan
 
@@ -210,34 +214,40 @@ def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
 
 
-def _hits(words: Words, found: list[tuple[Phrases, np.ndarray, np.ndarray]], bounds: np.ndarray) -> list[pa.Array]:
+def _hits(words: Words, phrases: Phrases, which: np.ndarray, place: np.ndarray, bounds: np.ndarray, before: list[pa.Array] | None) -> list[pa.Array]:
+    """n_words, n_hit, item_ids, byte spans and word ranges of each document, from occurrences and what an earlier pass found."""
     docs, n = len(bounds) - 1, len(words.start)
     cover = np.zeros(n + 1, np.int64)
     doc_of = words.doc()
-    names = sorted({x for phrases, _, _ in found for x in phrases.names})
-    pairs = []
-    for phrases, which, place in found:
-        if not len(which):
-            continue
-        np.add.at(cover, place, 1)
-        np.subtract.at(cover, place + phrases.lengths[which], 1)
-        order = np.searchsorted(names, phrases.names)
-        count = np.diff(phrases.item_first)[which]
-        at = np.repeat(phrases.item_first[which] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
-        pairs.append(np.repeat(doc_of[place], count) * np.int64(len(names)) + order[phrases.items[at]])
-    pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    np.add.at(cover, place, 1)
+    np.subtract.at(cover, place + phrases.lengths[which], 1)
+    earlier = [[] for _ in range(docs)]
+    if before is not None:
+        at = np.repeat(words.first[:-1], pa.compute.list_value_length(before[0]).to_numpy())
+        np.add.at(cover, at + before[0].flatten().to_numpy(), 1)
+        np.subtract.at(cover, at + before[1].flatten().to_numpy(), 1)
+        earlier = before[2].to_pylist()
+    names = sorted({x for own in earlier for x in own} | set(phrases.names))
+    order = np.searchsorted(names, phrases.names)
+    count = np.diff(phrases.item_first)[which]
+    at = np.repeat(phrases.item_first[which] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+    pairs = [np.repeat(doc_of[place], count) * np.int64(len(names)) + order[phrases.items[at]], np.array([i * len(names) + int(np.searchsorted(names, x)) for i, own in enumerate(earlier) for x in own], np.int64)]
+    pairs = np.unique(np.concatenate(pairs))
     owner, item = pairs // max(len(names), 1), pairs % max(len(names), 1)
     hit = np.cumsum(cover)[:n] > 0
     begins = np.zeros(n + 1, bool)
     begins[words.first] = True
     first = np.flatnonzero(hit & (begins[:n] | ~np.concatenate([[False], hit[:-1]])[:n]))
     last = np.flatnonzero(hit & (begins[1:] | ~np.append(hit[1:], False)[:n]))
+    listed = lambda values: _lists(pa.array(values, pa.int64()), doc_of[first], docs)
     return [
         pa.array(np.diff(words.first), pa.int64()),
         pa.array(np.bincount(doc_of[hit], minlength=docs), pa.int64()),
         _lists(pa.array([names[i] for i in item.tolist()], pa.string()), owner, docs),
-        _lists(pa.array(words.start[first] - bounds[doc_of[first]], pa.int64()), doc_of[first], docs),
-        _lists(pa.array(words.end[last] - bounds[doc_of[last]], pa.int64()), doc_of[last], docs),
+        listed(words.start[first] - bounds[doc_of[first]]),
+        listed(words.end[last] - bounds[doc_of[last]]),
+        listed(first - words.first[doc_of[first]]),
+        listed(last + 1 - words.first[doc_of[last]]),
     ]
 
 
@@ -257,28 +267,41 @@ def benchmark_parts(benchmark: DataFrame, item_col: str, text_col: str) -> Itera
     yield part
 
 
+def _passes(rows: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, object]:
+    """Rows (id, text), with what all parts of the benchmark but the last have found, and the last part, sent to the tasks."""
+    context, kind = rows.sparkSession.sparkContext, rows.schema["id"].dataType.simpleString()
+    parts = benchmark_parts(benchmark, item_col, text_col)
+    part = next(parts)
+    for more in parts:
+        sent = context.broadcast(part)
+        rows = shared.written(rows.mapInArrow(_scan(sent, window, True), f"id {kind}, text string, {CARRIED}"), "benchmark-pass")
+        sent.destroy()
+        part = more
+    return rows, context.broadcast(part)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row a document: id_col, n_words, n_hit, item_ids (strings, distinct, sorted), spans.
 
     Spans are structs (start, end): byte ranges of the UTF-8 text, from the first to the last word
-    of merged occurrences. A benchmark of several parts is searched part by part on each shard.
+    of merged occurrences.
     """
-    context = docs.sparkSession.sparkContext
-    parts = [context.broadcast(part) for part in benchmark_parts(benchmark, item_col, item_text_col)]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows, part = _passes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, item_col, item_text_col, window)
     kinds = f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, item_ids array<string>, span_start array<long>, span_end array<long>"
     spans = F.arrays_zip(F.col("span_start").alias("start"), F.col("span_end").alias("end"))
-    return rows.mapInArrow(_scan(parts, window), kinds).select(F.col("id").alias(id_col), "n_words", "n_hit", "item_ids", spans.alias("spans"))
+    return rows.mapInArrow(_scan(part, window), kinds).select(F.col("id").alias(id_col), "n_words", "n_hit", "item_ids", spans.alias("spans"))
 
 
-def _cut(parts: list, window: int, drop_share: float):
-    hits = _scan(parts, window)
+def _cut(part, window: int, drop_share: float, carried: bool):
+    hits = _scan(part, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             text = batch.column(at)
-            numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), text], names=["id", "text"])
+            earlier = [batch.column(i) for i in range(batch.num_columns - 3, batch.num_columns)] if carried else []
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), text, *earlier], names=["id", "text", "hit_start", "hit_end", "item_ids"][: 2 + len(earlier)])
+            batch = batch.select(range(batch.num_columns - len(earlier)))
             keep, new = np.ones(batch.num_rows, bool), {}
             for found in hits([numbered]):
                 for row in found.filter(pa.compute.greater(found.column(2), 0)).to_pylist():
@@ -306,10 +329,12 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     A document goes if at least ``drop_share`` of its words are in spans; texts without spans stay as they are.
     """
-    context = docs.sparkSession.sparkContext
-    parts = [context.broadcast(part) for part in benchmark_parts(benchmark, item_col, item_text_col)]
     named = docs.toDF(*["text" if c == text_col else f"c{i}" for i, c in enumerate(docs.columns)])
-    return named.mapInArrow(_cut(parts, window, drop_share), named.schema).toDF(*docs.columns)
+    packed = named.select(F.struct(*[c for c in named.columns if c != "text"]).alias("id") if len(named.columns) > 1 else F.lit(0).alias("id"), "text")
+    rows, part = _passes(packed, benchmark, item_col, item_text_col, window)
+    carried = len(rows.columns) > 2
+    out = rows.select(*["text" if c == "text" else F.col(f"id.{c}").alias(c) for c in named.columns], *(["hit_start", "hit_end", "item_ids"] if carried else []))
+    return out.mapInArrow(_cut(part, window, drop_share, carried), named.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

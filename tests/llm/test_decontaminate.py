@@ -78,3 +78,15 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert D.contaminated(d.limit(0), b).count() == 0
     assert D.contaminated(d, b.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_a_benchmark_in_passes_gives_the_same(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    items = [(f"i{k}", " ".join(words[k : k + 12])) for k in range(0, 25, 5)] + [("short", "w1 w2"), ("none", None)]
+    docs = [(i, " ".join(words[i : i + 20]) + " end") for i in range(15)] + [(99, None), (3, "w1 w2")]
+    d, b = spark.createDataFrame([(*x, 1.5) for x in docs], "doc_id long, text string, n double"), spark.createDataFrame(items, "item_id string, text string")
+    whole = sorted(map(tuple, D.contaminated(d, b).collect()), key=repr)
+    cut = sorted(map(tuple, D.without_benchmark(d, b, drop_share=0.9).collect()), key=repr)
+    monkeypatch.setattr(D, "PART_BYTES", 60)
+    assert sorted(map(tuple, D.contaminated(d, b).collect()), key=repr) == whole
+    assert sorted(map(tuple, D.without_benchmark(d, b, drop_share=0.9).collect()), key=repr) == cut

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_mixing, decontaminate, exact_dedup, licenses, near_dedup, quality, sentencepiece_nbest, surrogates, token_files, toxicity
+from . import context_mixing, decontaminate, exact_dedup, licenses, near_dedup, quality, sentencepiece_nbest, surrogates, token_files, toxicity, vector_clusters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_nbest.query,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": near_dedup.query,
     "op9_quality": quality.query,
     "op10_licenses": licenses.query,
+    "op13_vector_clusters": vector_clusters.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op8_near_dedup": near_dedup.ORACLE,
+    "op13_vector_clusters": vector_clusters.ORACLE,
 }

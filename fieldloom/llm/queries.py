@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_mixing, decontaminate, exact_dedup, licenses, near_dedup, quality, sentencepiece_nbest, surrogates, token_alignment, token_files, toxicity, vector_clusters
+from . import context_mixing, decontaminate, exact_dedup, licenses, near_dedup, packing, quality, sentencepiece_nbest, surrogates, token_alignment, token_files, toxicity, vector_clusters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_nbest.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": near_dedup.query,
     "op9_quality": quality.query,
     "op10_licenses": licenses.query,
+    "op11_packing": packing.query,
     "op12_token_alignment": token_alignment.query,
     "op13_vector_clusters": vector_clusters.query,
 }

@@ -39,9 +39,9 @@ from .words import hash_spans
 TOKENIZER_A = public_tokenizers.path("byte_bpe_50k.json")
 MODEL_B = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text of a chunk, about: its links and pairs are one row.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Distinct stretches of text whose ids a worker holds.
-HELD = 2_000_000
+HELD = 1_000_000
 #: An id pair is one number: A's id times this, plus B's.
 SIDE = 1 << 20
 BLANK = "▁"
@@ -123,7 +123,7 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def tokens(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +136,14 @@ class PieceEncoder:
         code, distinct = pd.factorize(hash_spans(data, start, end))
         if len(self.known) > HELD:
             self._clear()
-        number = np.array([self.known.get(h, -1) for h in distinct.tolist()], np.int64)
-        new = np.flatnonzero(number < 0)
+        order = np.argsort(distinct)
+        at = np.searchsorted(self.known, distinct[order])
+        inside = at < len(self.known)
+        hit = np.zeros(len(order), bool)
+        hit[inside] = self.known[at[inside]] == distinct[order][inside]
+        number = np.empty(len(distinct), np.int32)
+        number[order[hit]] = self.number[at[hit]]
+        new = order[~hit]
         if len(new):
             where = np.zeros(len(distinct), np.int64)
             where[code[::-1]] = np.arange(len(code))[::-1]
@@ -146,7 +152,7 @@ class PieceEncoder:
             found = self.model.encode([raw[i + 1 : j].decode() for i, j in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)], num_threads=1)
             found = [x or [self.blank] for x in found]
             number[new] = len(self.first) - 1 + np.arange(len(new))
-            self.known.update(zip(distinct[new].tolist(), number[new].tolist(), strict=True))
+            self.known, self.number = np.insert(self.known, at[~hit], distinct[new]), np.insert(self.number, at[~hit], number[new])
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.int32)])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
         number = number[code]

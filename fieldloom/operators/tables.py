@@ -108,3 +108,27 @@ def voices(languages: DataFrame, installed: DataFrame) -> DataFrame:
     met = languages.join(installed.withColumn("prefix", F.lower(F.substring_index("tag", "-", 1))), "prefix")
     best = F.min(F.struct("rank", (~F.col("local")).alias("remote"), "voice")).alias("x")
     return met.groupBy("language").agg(best).select("language", "x.voice")
+
+
+# The stages of a document; the last two end it.
+STAGES = ["validating", "preparing_pages", "reading_text", "detecting_fields", "matching_form", "ready", "failed"]
+
+
+def stage_status(stage: str) -> str:
+    return stage if stage in STAGES[-2:] else "processing"
+
+
+def staged(updates: DataFrame, keys: list[str], order: list[str], stage: str, seconds: str) -> DataFrame:
+    """``updates`` with before (the document's stage until now), status (ready, failed or processing) and waited (seconds in the stage before); unknown stages change nothing and have no status."""
+    known = F.col(stage).isin(*STAGES)
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c: F.last(F.when(known, F.col(c)), ignorenulls=True).over(so_far)
+    status = F.when(F.col(stage).isin(*STAGES[-2:]), F.col(stage)).when(known, "processing")
+    return updates.withColumn("before", last(stage)).withColumn("waited", F.when(known, F.col(seconds) - last(seconds))).withColumn("status", status)
+
+
+def latest_stage(updates: DataFrame, keys: list[str], order: list[str], stage: str) -> DataFrame:
+    """keys, stage, status: what each document's last update of a known stage says."""
+    known = updates.where(F.col(stage).isin(*STAGES))
+    last = known.groupBy(*keys).agg(F.max_by(stage, F.struct(*order)).alias("stage"))
+    return last.withColumn("status", F.when(F.col("stage").isin(*STAGES[-2:]), F.col("stage")).otherwise("processing"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import recovery
-from .registry import query, view
+from ..operators import recovery, tables
+from .registry import query, table, view
 
 _BLANKS = "SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS id FROM <lineitem>"
 _SIZE = 10
@@ -68,3 +68,33 @@ def failover(spark, sf_dir):
     attempts = view(spark, sf_dir, _ATTEMPTS).groupBy("client", "event_id").agg(F.collect_list(F.struct("model", "key", "outcome", "seconds", "plain", "plain_seconds")).alias("attempts"))
     requests = view(spark, sf_dir, "SELECT user_id AS client, event_id FROM <events>").join(attempts, ["client", "event_id"], "left")
     return recovery.failover(requests, "client", ["event_id"]).select("client", "event_id", "outcome", F.coalesce("served_model", F.lit(-1)).alias("served_model"), F.coalesce("served_key", F.lit(-1)).alias("served_key"), "tried")
+
+
+_UPDATES = "SELECT user_id AS doc, event_id, epoch_us(ts) / 1e6 AS seconds, CASE event_id % 9 WHEN 0 THEN 'validating' WHEN 1 THEN 'preparing_pages' WHEN 2 THEN 'reading_text' WHEN 3 THEN 'detecting_fields' WHEN 4 THEN 'matching_form' WHEN 5 THEN 'ready' WHEN 6 THEN 'failed' WHEN 7 THEN 'paused' END AS stage FROM events"
+_KNOWN = "stage IN ('validating', 'preparing_pages', 'reading_text', 'detecting_fields', 'matching_form', 'ready', 'failed')"
+
+
+def _updates(spark, sf_dir):
+    stage = F.element_at(F.array(*map(F.lit, [*tables.STAGES, "paused"])), F.least(F.col("event_id") % 9 + 1, F.lit(8)).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), F.when(F.col("event_id") % 9 < 8, stage).alias("stage"))
+
+
+@query(
+    f"""WITH u AS (SELECT *, CASE WHEN {_KNOWN} THEN stage END AS s, CASE WHEN {_KNOWN} THEN seconds END AS t FROM ({_UPDATES}))
+SELECT doc, event_id, stage, last_value(s IGNORE NULLS) OVER w AS before, round(t - last_value(t IGNORE NULLS) OVER w, 3) AS waited, CASE WHEN s IN ('ready', 'failed') THEN s WHEN s IS NOT NULL THEN 'processing' END AS status
+FROM u WINDOW w AS (PARTITION BY doc ORDER BY seconds, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+def stage_machine(spark, sf_dir):
+    """Every update of a document's stage with the stage before, the status it gives and the seconds waited."""
+    updates = _updates(spark, sf_dir)
+    found = tables.staged(updates, ["doc"], ["seconds", "event_id"], "stage", "seconds")
+    return found.select("doc", "event_id", "stage", "before", F.round("waited", 3).alias("waited"), "status")
+
+
+@query(
+    f"SELECT doc, arg_max(stage, (seconds, event_id)) AS stage, CASE WHEN arg_max(stage, (seconds, event_id)) IN ('ready', 'failed') THEN arg_max(stage, (seconds, event_id)) ELSE 'processing' END AS status FROM ({_UPDATES}) WHERE {_KNOWN} GROUP BY doc"
+)
+def latest_stages(spark, sf_dir):
+    """Where each document stands."""
+    updates = _updates(spark, sf_dir)
+    return tables.latest_stage(updates, ["doc"], ["seconds", "event_id"], "stage")

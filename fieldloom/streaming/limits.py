@@ -29,6 +29,17 @@ def admit(hits: deque, now: float, limit: int, window: float) -> tuple[bool, int
     return True, 0
 
 
+def pass_through(failures: int, opened: float, now: float, failed: bool, threshold: int, cooldown: float) -> tuple[bool, int, float]:
+    """Whether a call at ``now`` goes through a circuit of so many failures in a row, opened then; and both after it."""
+    if failures >= threshold:
+        if now - opened < cooldown:
+            return False, failures, opened
+        failures = threshold - 1
+    if not failed:
+        return True, 0, opened
+    return True, failures + 1, now if failures + 1 >= threshold else opened
+
+
 def _folded(key: str, make, step, columns: dict[str, str]):
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, state = None, None
@@ -58,18 +69,8 @@ def guarded(calls: DataFrame, key: str, seconds: str, failed: str, order: list[s
     """``calls`` with allowed: false while the key's circuit is open, which ``threshold`` failures in a row open; after ``cooldown`` a probe goes through."""
 
     def step(state: dict, row) -> tuple[bool]:
-        now = getattr(row, seconds)
-        if state["failures"] >= threshold:
-            if now - state["opened"] < cooldown:
-                return (False,)
-            state["failures"] = threshold - 1
-        if getattr(row, failed):
-            state["failures"] += 1
-            if state["failures"] >= threshold:
-                state["opened"] = now
-        else:
-            state["failures"] = 0
-        return (True,)
+        allowed, state["failures"], state["opened"] = pass_through(state["failures"], state["opened"], getattr(row, seconds), getattr(row, failed), threshold, cooldown)
+        return (allowed,)
 
     return _in_order(calls, key, order, lambda: {"failures": 0, "opened": 0.0}, step, {"allowed": "boolean"})
 

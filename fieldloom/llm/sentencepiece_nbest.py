@@ -423,7 +423,7 @@ def _decode(path: str):
                 end = np.concatenate([[0], np.cumsum(n)])
                 data = pieces.raw_data[np.repeat(pieces.raw_first[ids] - end[:-1], n) + np.arange(end[-1])].tobytes()
                 texts = [data[i + 1 : j].decode() if j > i else "" for i, j in zip(end[first[:-1]].tolist(), end[first[1:]].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], names=["id", "text", *batch.schema.names[2:]])
 
     return decode
 
@@ -440,16 +440,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_be
     return out.withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """One row for each row of ids: id_col, text."""
-    kind = encoded.schema[id_col].dataType.simpleString()
-    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(_decode(model), f"id {kind}, text string").withColumnRenamed("id", id_col)
+def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ids: id_col, text and the columns ``keep``, which go along with their row."""
+    held = [f"kept{i}" for i in range(len(keep))]
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"), *[F.col(c).alias(h) for c, h in zip(keep, held, strict=True)])
+    kinds = ", ".join([f"id {encoded.schema[id_col].dataType.simpleString()}", "text string", *(f"{h} {encoded.schema[c].dataType.simpleString()}" for c, h in zip(keep, held, strict=True))])
+    return rows.mapInArrow(_decode(model), kinds).toDF(id_col, "text", *keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids as text of their digest, scores of the N best, and the digest of the text that decoding gives back."""
     encoded = shared.written(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")), "pieces", compression="zstd")
-    digest = encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.col("ids"), ","), 256).alias("ids_sha256"), "score", F.col("others.score").alias("other_scores"))
-    texts = decode(encoded).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
-    return digest.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    kept = ("n_ids", "ids_sha256", "score", "other_scores")
+    digest = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.col("ids"), ","), 256).alias("ids_sha256"), "score", F.col("others.score").alias("other_scores"))
+    return decode(digest, keep=kept).select("doc_id", *kept, F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))

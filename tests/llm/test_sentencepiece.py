@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -118,3 +119,10 @@ def test_one_text_in_runs_is_the_same(monkeypatch):
     want = S.Encoder(S.Pieces(S.MODEL), 4).encode(text)
     monkeypatch.setattr(S, "PIECE_BYTES", 256)
     assert S.Encoder(S.Pieces(S.MODEL), 4).encode(text) == want
+
+
+def test_query_gives_a_row_for_each_row(spark, tmp_path):
+    rows = [(7, "one text"), (7, "one text"), (7, "another one"), (None, "no id"), (None, None), (8, ""), *[(i, f"text {i}") for i in range(12)]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted(((r.doc_id, r.text_sha256, r.n_chars) for r in S.query(spark, str(tmp_path)).collect()), key=repr)
+    assert found == sorted(((i, hashlib.sha256((t or "").encode()).hexdigest(), len(t or "")) for i, t in rows), key=repr)

@@ -122,9 +122,8 @@ def _weigh(ratio_sent):
             for a, b in shared.pieces(bounds, PIECE_BYTES):
                 own, at = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
                 grams, first = features(own, at)
-                run = np.concatenate([[0.0], np.cumsum(ratio[grams])])
                 n = np.diff(first)
-                weight = (run[first[1:]] - run[first[:-1]]) / np.maximum(n, 1)
+                weight = shared.sums(ratio[grams], first) / np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(weight), pa.array(_noise(own, at))], names=["id", "n_grams", "weight", "gumbel"])
 
     return weigh

@@ -83,3 +83,9 @@ def pieces(bounds: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
         yield at, to
         at = to
+
+
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of each document's values, added in their order: equal documents have equal sums wherever they stand."""
+    n = len(first) - 1
+    return np.bincount(np.repeat(np.arange(n), np.diff(first)), weights=values, minlength=n)

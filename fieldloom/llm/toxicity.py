@@ -126,8 +126,7 @@ def _score(model_sent):
             data, bounds = shared.text_buffer(batch.column(1))
             for a, b in shared.pieces(bounds, PIECE_BYTES):
                 own, first = features(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-                run = np.concatenate([[0.0], np.cumsum(full[own])])
-                logit = bias + run[first[1:]] - run[first[:-1]]
+                logit = bias + shared.sums(full[own], first)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))], names=["id", "score"])
 
     return score

@@ -71,3 +71,14 @@ def test_texts_are_not_shuffled(spark):
     known = F.broadcast(labels.selectExpr("doc_id AS id", "quality AS good").limit(10))
     plan = docs.selectExpr("doc_id AS id", "text").join(known, "id", "left")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_equal_texts_have_equal_weights_under_any_partitioning(spark):
+    docs, labels = frames(spark)
+    copies = docs.where("doc_id < 40").select((F.col("doc_id") + 5000).alias("doc_id"), "text", "weight")
+    runs = []
+    for parts in (1, 5, 37):
+        rows = {r.doc_id: (r.weight, r.key, r.accepted) for r in Q.quality(docs.unionByName(copies).repartition(parts), labels).collect()}
+        assert all(rows[i] == rows[i + 5000] for i in range(40))
+        runs.append(rows)
+    assert runs[0] == runs[1] == runs[2]

@@ -52,3 +52,12 @@ def test_long_texts_ties_and_repeated_labelled_rows(spark):
     assert got[201] == got[202] and got[200] < 0.5 < got[203] and len(got) == 84
     again = tx.fit(once.unionByName(once.where("doc_id < 40")), labels, F.lit(True))
     assert (again.weight == model.weight).all() and again.bias == model.bias
+
+
+def test_equal_texts_have_equal_scores_under_any_partitioning(spark):
+    docs, labels = corpus()
+    model = tx.fit(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int, text string"), F.col("doc_id") % 5 != 0)
+    table = spark.createDataFrame([*docs, *((i + 5000, *rest) for i, *rest in docs[:60])], SCHEMA)
+    runs = [{r.doc_id: r.score for r in tx.scores(table.repartition(parts), model).collect()} for parts in (1, 5, 37)]
+    assert all(runs[0][i] == runs[0][i + 5000] for i in range(60))
+    assert runs[0] == runs[1] == runs[2]

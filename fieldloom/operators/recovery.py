@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..streaming.limits import _in_order
+from .work import computed
 
 MODELS, KEYS = 2, 2
 TIMEOUT, BUDGET = 30.0, 2.5
 
 
-def computed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, into the folder of ``spark.checkpoint.dir``; on a local master without that setting one is made."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not found and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="rounds-"))
-    return df.checkpoint()
-
-
 def first_batches(blanks: DataFrame, keys: list[str], order: list[str], ident: str, size: int) -> DataFrame:
     """keys, path, ids: each key's blanks in order, ``size`` to a batch; ``path`` is the batch's number as text."""
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .work import computed
 
 TOP = 5
 #: Rows of a block of queries and of a block of vectors, as they meet in one task.
@@ -18,16 +19,58 @@ QUERY_BLOCK = 1024
 VECTOR_BLOCK = 16384
 #: Tokens of all queries that may be sent to the tasks, about 100 MB there.
 SENT_TOKENS = 2_000_000
+#: Postings, and pairs of documents and queries, that a task holds at once.
+CELLS = 4_000_000
+#: Share of a query's tokens, the rarest, by which joins begin.
+RARE = 0.3
 #: Forms that may be sent to the tasks.
 MOST_FORMS = 10_000
 
 
+class _Kept:
+    """The k best documents of each query among those a task has met; ties by smaller id."""
+
+    def __init__(self, k: int, most: int):
+        self.k, self.most, self.held, self.rows = k, most, [], 0
+
+    def add(self, doc: pa.Array, query: np.ndarray, n: np.ndarray, n_doc: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((doc, query, n, n_doc, score))
+        self.rows += len(query)
+        if self.rows > self.most:
+            self.reduce()
+
+    def reduce(self) -> None:
+        if len(self.held) == 0:
+            return
+        doc = pa.concat_arrays([x[0] for x in self.held])
+        query, n, n_doc, score = (np.concatenate([x[i] for x in self.held]) for i in range(1, 5))
+        place = np.empty(len(doc), np.int64)
+        place[pc.sort_indices(doc).to_numpy()] = np.arange(len(doc))
+        order = np.lexsort((place, -score, query))
+        q = query[order]
+        begin = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        keep = order[(np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))) < self.k]
+        self.held = [(doc.take(pa.array(keep)), query[keep], n[keep], n_doc[keep], score[keep])]
+        self.rows = len(keep)
+
+
+def _slices(postings: np.ndarray, n_queries: int) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with about ``CELLS`` postings and pairs with queries; a document of more is a range of its own."""
+    through = np.concatenate([[0], np.cumsum(postings)])
+    at = 0
+    while at < len(postings):
+        to = max(at + 1, min(int(np.searchsorted(through, through[at] + CELLS, "right")) - 1, at + CELLS // max(n_queries, 1)))
+        yield at, to
+        at = to
+
+
 def _overlaps(sent, k: int, names: list[str]):
-    """For rows (doc, tokens): the k best queries' documents of the batches a task reads, by one pass over the postings of each document's tokens."""
+    """For rows (doc, tokens): each query's k best documents of those a task reads, by one pass over the postings of the documents' tokens."""
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, first, posts, sizes = sent.value
         tokens = pa.array(tokens, pa.string())
+        kept = _Kept(k, max(4 * k * len(sizes), CELLS))
         for batch in batches:
             lists = batch.column(1)
             at = pc.index_in(lists.flatten(), value_set=tokens)
@@ -36,70 +79,113 @@ def _overlaps(sent, k: int, names: list[str]):
             n_doc = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(batch.num_rows), n_doc)[held]
             count = (first[1:] - first[:-1])[token]
-            query = posts[np.repeat(first[token] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))] if len(token) else np.zeros(0, np.int64)
-            pairs, n = np.unique(np.repeat(owner, count) * np.int64(len(sizes)) + query, return_counts=True)
-            row, query = pairs // len(sizes), pairs % len(sizes)
-            score = np.floor(n / (sizes[query] + n_doc[row] - n) * 1e6 + 0.5)
-            # of each query the k best of this batch; ties by smaller id
-            rank = pc.sort_indices(batch.column(0)).to_numpy()
-            place = np.empty(batch.num_rows, np.int64)
-            place[rank] = np.arange(batch.num_rows)
-            order = np.lexsort((place[row], -score, query))
-            q = query[order]
-            begin = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
-            keep = order[(np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))) < k]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), pa.array(query[keep]), pa.array(n[keep]), pa.array(n_doc[row[keep]].astype(np.int64))], names=names)
+            bound = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            through = np.concatenate([[0], np.cumsum(count)])
+            for a, b in _slices(np.diff(through[bound]), len(sizes)):
+                i, j = bound[a], bound[b]
+                own, n_own = token[i:j], count[i:j]
+                query = posts[np.repeat(first[own] - (through[i:j] - through[i]), n_own) + np.arange(int(n_own.sum()))]
+                shared = np.bincount(np.repeat(owner[i:j] - a, n_own) * len(sizes) + query, minlength=1)
+                pairs = np.flatnonzero(shared)
+                row, query, n = pairs // len(sizes) + a, pairs % len(sizes), shared[pairs]
+                kept.add(batch.column(0).take(pa.array(row)), query, n, n_doc[row].astype(np.int64), np.floor(n / (sizes[query] + n_doc[row] - n) * 1e6 + 0.5))
+        kept.reduce()
+        for doc, query, n, n_doc, _ in kept.held:
+            yield pa.RecordBatch.from_arrays([doc, pa.array(query), pa.array(n), pa.array(n_doc)], names=names)
 
     return overlaps
 
 
+def rare_first(sets: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``sets`` (keys, tokens) with its tokens in order of how many sets of ``other`` (keys, tokens) hold them, the rarest first; ties by the token."""
+    often = other.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("often"))
+    names = [c for c in sets.columns if c != "tokens"]
+    numbered = sets.withColumn("_set", F.monotonically_increasing_id())
+    each = numbered.select("_set", *keys, F.explode("tokens").alias("token")).join(often, [*keys, "token"], "left")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token"))), lambda x: x["token"])
+    return numbered.select("_set", *names).join(each.groupBy("_set").agg(ordered.alias("tokens")), "_set").drop("_set")
+
+
+def _pairs(left: DataFrame, right: DataFrame, keys: list[str], take: Column) -> DataFrame:
+    """Pairs (query, doc, n, nq, nd) of sets that share one of the ``take`` first tokens of the query's; n is the whole overlap. ``right``: doc, tokens, with keys."""
+    asked = left.withColumn("nq", F.size("tokens")).select(*keys, "query", "nq", F.explode(F.slice("tokens", F.lit(1), take)).alias("token"))
+    posts = right.select(*keys, "doc", F.explode("tokens").alias("token"))
+    met = asked.join(posts, [*keys, "token"]).select("query", "doc", "nq").distinct()
+    whole = met.join(right.select("doc", F.col("tokens").alias("_u")), "doc").join(left.select("query", F.col("tokens").alias("_t")), "query")
+    return whole.select("query", "doc", "nq", F.size("_u").alias("nd"), F.size(F.array_intersect("_t", "_u")).alias("n"))
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    scored = pairs.select("query", "doc", F.round(F.col("n") / (F.col("nq") + F.col("nd") - F.col("n")), 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
+
+
+def _joined_topk(q: DataFrame, d: DataFrame, k: int) -> DataFrame:
+    """The top k by joins: first on each query's rarest tokens; then, for queries to which that can't be all, on as many as their k-th score asks for.
+
+    A document without any of a query's p first tokens overlaps it in nq - p at most, so its score is (nq - p) / nq at most: once that is less than
+    the k-th score found, no document is missing. Tokens that most documents hold are last, and few queries get to them.
+    """
+    left = computed(rare_first(q.where(F.size("tokens") > 0), d, []))
+    first = F.greatest(F.lit(1), F.ceil(F.size("tokens") * RARE)).cast("int")
+    found = computed(_best(_pairs(left, d, [], first), k))
+    last = left.join(found.groupBy("query").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("least")), "query", "left")
+    need = F.least(F.floor(F.size("tokens") * (1 - F.coalesce("least", F.lit(0.0)) + 2e-6)) + 1, F.size("tokens")).cast("int")
+    rest = computed(last.withColumn("need", need).where(F.col("need") > first))
+    again = _best(_pairs(rest, d, [], F.col("need")), k)
+    return found.join(rest.select("query"), "query", "left_anti").unionByName(again)
+
+
 def lexical_topk(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text: str = "text", k: int = TOP, most_tokens: int = SENT_TOKENS) -> DataFrame:
-    """query, doc, score, rank: the k documents with the greatest Jaccard similarity of token sets, ties by smaller id.
+    """query, doc, score, rank: the k documents with the greatest Jaccard similarity of token sets, ties by smaller id. Ids are taken to be unique.
 
     Queries with up to ``most_tokens`` tokens together are sent to the tasks, which keep their k best before anything moves; beyond that, documents
-    meet queries by a join on shared tokens.
+    meet queries by joins on their rare tokens.
     """
     q = queries.select(F.col(query_id).alias("query"), F.array_distinct(tokens(F.col(text))).alias("tokens"))
     d = docs.select(F.col(doc_id).alias("doc"), F.array_distinct(tokens(F.col(text))).alias("tokens")).where(F.size("tokens") > 0)
     total = q.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    if total <= most_tokens:
-        rows = q.where(F.size("tokens") > 0).toArrow()
-        lists = rows.column("tokens").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        words = pc.dictionary_encode(lists.values)
-        order = np.argsort(words.indices.to_numpy(), kind="stable")
-        first = np.searchsorted(words.indices.to_numpy()[order], np.arange(len(words.dictionary) + 1))
-        posts = np.repeat(np.arange(len(sizes)), sizes)[order]
-        sent = docs.sparkSession.sparkContext.broadcast((words.dictionary.to_pylist(), first, posts, sizes))
-        names = docs.sparkSession.createDataFrame(pa.table({"number": pa.array(np.arange(len(sizes))), "query": rows.column("query"), "nq": pa.array(sizes.astype(np.int64))}))
-        found = d.mapInArrow(_overlaps(sent, k, ["doc", "number", "n", "nd"]), f"doc {docs.schema[doc_id].dataType.simpleString()}, number long, n long, nd long")
-        shared = found.join(F.broadcast(names), "number")
-    else:
-        left = q.select("query", F.size("tokens").alias("nq"), F.explode("tokens").alias("token"))
-        right = d.select("doc", F.size("tokens").alias("nd"), F.explode("tokens").alias("token"))
-        shared = left.join(right, "token").groupBy("query", "doc", "nq", "nd").agg(F.count(F.lit(1)).alias("n"))
-    scored = shared.select("query", "doc", F.round(F.col("n") / (F.col("nq") + F.col("nd") - F.col("n")), 6).alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if total > most_tokens:
+        return _joined_topk(q, d, k)
+    rows = q.where(F.size("tokens") > 0).toArrow()
+    lists = rows.column("tokens").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    words = pc.dictionary_encode(lists.values)
+    order = np.argsort(words.indices.to_numpy(), kind="stable")
+    first = np.searchsorted(words.indices.to_numpy()[order], np.arange(len(words.dictionary) + 1))
+    posts = np.repeat(np.arange(len(sizes)), sizes)[order]
+    sent = docs.sparkSession.sparkContext.broadcast((words.dictionary.to_pylist(), first, posts, sizes))
+    names = docs.sparkSession.createDataFrame(pa.table({"number": pa.array(np.arange(len(sizes))), "query": rows.column("query"), "nq": pa.array(sizes.astype(np.int64))}))
+    found = d.mapInArrow(_overlaps(sent, k, ["doc", "number", "n", "nd"]), f"doc {docs.schema[doc_id].dataType.simpleString()}, number long, n long, nd long")
+    return _best(found.join(F.broadcast(names), "number"), k)
 
 
 def retrieved(queries: DataFrame, chunks: DataFrame, least: float = 0.35, least_unknown: float = 0.62, k: int = TOP) -> DataFrame:
     """query, chunk, score, rank, widened: the k best chunks of the query's language and form; a form without any hit is asked again in its language alone (widened).
 
     ``queries``: query, text, language, form_id (null: unknown form). ``chunks``: chunk, text, language, form_id. Only scores of ``least``, for unknown
-    forms ``least_unknown``, count. Queries meet chunks on language and shared tokens.
+    forms ``least_unknown``, count. Sets of n tokens whose similarity is s share one of the n - s n + 1 rarest of either, so
+    queries meet chunks on language and those tokens alone; whether a form has any hit is asked of its tokens, once each. Ids are taken to be unique.
     """
-    q = queries.select("query", "language", F.col("form_id").alias("form"), F.array_distinct(tokens(F.col("text"))).alias("t"))
-    c = chunks.select("chunk", "language", "form_id", F.array_distinct(tokens(F.col("text"))).alias("u"))
-    left = q.select("query", "language", "form", F.size("t").alias("nq"), F.explode("t").alias("token"))
-    right = c.select("chunk", "language", "form_id", F.size("u").alias("nc"), F.explode("u").alias("token"))
-    met = left.join(right, ["language", "token"]).groupBy("query", "form", "chunk", "form_id", "nq", "nc").agg(F.count(F.lit(1)).alias("n"))
-    scored = met.select("query", "form", "chunk", F.coalesce(F.col("form") == F.col("form_id"), F.lit(False)).alias("own"), F.round(F.col("n") / (F.col("nq") + F.col("nc") - F.col("n")), 6).alias("score"))
-    hit = F.max("own").over(Window.partitionBy("query"))
-    asked = scored.withColumn("hit", hit).where(F.col("form").isNull() | F.col("own") | ~F.col("hit"))
-    ranked = asked.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "chunk"))).where(F.col("rank") <= k)
-    least_of = F.when(F.col("form").isNull(), max(least, least_unknown)).otherwise(least)
-    return ranked.where(F.col("score") >= least_of).select("query", "chunk", "score", "rank", (F.col("form").isNotNull() & ~F.col("hit")).alias("widened"))
+    floor = F.when(F.col("form").isNull(), float(max(least, least_unknown))).otherwise(float(least))
+    q = queries.select("query", "language", F.col("form_id").alias("form"), F.array_distinct(tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0)
+    c = chunks.select(F.col("chunk").alias("doc"), "language", "form_id", F.array_distinct(tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0)
+    spoken = c.select("language", F.col("form_id").alias("form"), F.explode("tokens").alias("token")).distinct()
+    hit = q.where("form IS NOT NULL").select("query", "language", "form", F.explode("tokens").alias("token")).join(spoken, ["language", "form", "token"], "left_semi").select("query").distinct()
+    ranked = rare_first(q, c, ["language"]).join(hit.withColumn("hit", F.lit(True)), "query", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    rare = lambda s: (F.size("tokens") - F.ceil(F.size("tokens") * (s - 1e-6)) + 1).cast("int")
+    left = ranked.withColumn("floor", floor)
+    prefix = rare_first(c, c, ["language"])
+    asked = left.select("language", "query", F.explode(F.slice("tokens", F.lit(1), rare(F.col("floor")))).alias("token"))
+    # chunks take the prefix of the lower floor
+    posts = prefix.select("language", "doc", F.explode(F.slice("tokens", F.lit(1), rare(F.lit(float(min(least, least_unknown)))))).alias("token"))
+    met = asked.join(posts, ["language", "token"]).select("query", "doc").distinct()
+    whole = met.join(left.select("query", "form", "hit", "floor", F.col("tokens").alias("t")), "query").join(c.select("doc", "form_id", F.col("tokens").alias("u")), "doc")
+    scored = whole.withColumn("n", F.size(F.array_intersect("t", "u"))).withColumn("score", F.round(F.col("n") / (F.size("t") + F.size("u") - F.col("n")), 6))
+    own = F.coalesce(F.col("form") == F.col("form_id"), F.lit(False))
+    good = scored.where((F.col("score") >= F.col("floor")) & (F.col("form").isNull() | own | ~F.col("hit")))
+    found = good.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
+    return found.select("query", F.col("doc").alias("chunk"), "score", "rank", (F.col("form").isNotNull() & ~F.col("hit")).alias("widened"))
 
 
 def hash_embedding(df: DataFrame, key: str, text: str, width: int = 256) -> DataFrame:

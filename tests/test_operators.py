@@ -229,3 +229,18 @@ def test_readers(spark, tmp_path):
         raise AssertionError
     except ValueError:
         readers.replace_index(vectors.limit(1), str(tmp_path / "index"))
+
+
+def test_joined_topk_against_all_pairs(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(["common"] * (rnd.random() < 0.9) + [words[min(39, int(rnd.expovariate(0.15)))] for _ in range(n)])
+    docs, queries = [(i, text(rnd.randint(0, 14))) for i in range(150)], [(i, text(rnd.randint(0, 9))) for i in range(40)]
+    want = set()
+    for q, t in queries:
+        a = set(t.split())
+        scored = sorted((-round(len(a & set(u.split())) / len(a | set(u.split())), 6), d) for d, u in docs if a & set(u.split()))
+        want |= {(q, d, -s, r + 1) for r, (s, d) in enumerate(scored[:5])}
+    q, d = spark.createDataFrame(queries, "q int, text string"), spark.createDataFrame(docs, "d int, text string")
+    for most in (0, 10_000):
+        assert {tuple(r) for r in retrieval.lexical_topk(q, d, "q", "d", most_tokens=most).collect()} == want

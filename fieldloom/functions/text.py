@@ -186,3 +186,13 @@ def in_script(text: Column, lang: Column) -> Column:
     """Whether most letters are of the script that the language is written in; mr and as share theirs with hi and bn."""
     lang = F.when(lang == "mr", "hi").when(lang == "as", "bn").otherwise(lang)
     return F.coalesce(language(dominant_script(text)) == lang, F.lit(False))
+
+
+def pdf_word(raw: Column) -> Column:
+    """A word of a PDF with presentation forms as letters and without what can't be printed."""
+    return F.trim(F.regexp_replace(compatible(raw), r"[\p{C}\p{Zl}\p{Zp}[\p{Zs}&&[^ ]]]", ""))
+
+
+def keep_pdf_word(text: Column) -> Column:
+    """Whether a word counts: it has a letter, a colon, or three leader signs."""
+    return F.coalesce(text.rlike(r"[\p{L}:：]") | (F.regexp_count(text, F.lit(f"[{LEADERS}]")) >= 3), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,28 +28,46 @@ def words_in_cells(words: DataFrame, cells: DataFrame, keys: list[str], band: fl
     return inside.groupBy(*keys, "word_id").agg(F.min_by("cell_id", "ord").alias("cell_id"))
 
 
-def latest_before(rows: DataFrame, events: DataFrame, keys: list[str], at: str, columns: list[str], order: str) -> DataFrame:
+def latest_before(rows: DataFrame, events: DataFrame, keys: list[str], at: str, columns: list[str], order: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """As-of join: each row with the columns of the last event of its keys at or before its place.
 
-    One shuffle of both sides by key and a running last value; no pairs are made. Of events at one place the last by ``order`` counts.
+    One shuffle of both sides by key and a running last value; no pairs are made. Of events at one place the last by ``order`` counts. With ``bucket``, a
+    function of the place that never falls, keys are cut there: tasks take a bucket each, and what the buckets before it end with is carried into it.
     """
     names = rows.columns
     left = rows.select(F.struct(*names).alias("row"), *keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(events.schema[order].dataType).alias("_order"), F.lit(None).cast(events.select(F.struct(*columns)).schema[0].dataType).alias("_event"))
     right = events.select(F.lit(None).cast(left.schema["row"].dataType).alias("row"), *keys, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(order).alias("_order"), F.struct(*columns).alias("_event"))
-    running = Window.partitionBy(*keys).orderBy("_at", "_side", "_order").rowsBetween(Window.unboundedPreceding, 0)
-    found = left.unionByName(right).withColumn("_last", F.last("_event", ignorenulls=True).over(running)).where("_side = 1")
+    both = left.unionByName(right).withColumn("_bucket", F.lit(0) if bucket is None else bucket(F.col("_at")))
+    running = Window.partitionBy(*keys, "_bucket").orderBy("_at", "_side", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last("_event", ignorenulls=True).over(running)).where("_side = 1")
+    if bucket is not None:
+        ends = both.groupBy(*keys, "_bucket").agg(F.max_by("_event", F.when(F.col("_side") == 0, F.struct("_at", "_order"))).alias("_end"))
+        found = _carried(found, ends, keys, F.last("_end", ignorenulls=True)).withColumn("_last", F.coalesce("_last", "_carry"))
     return found.select("row.*", *[F.col(f"_last.{c}").alias(c) for c in columns])
 
 
-def pairs_of(a: DataFrame, b: DataFrame, keys: list[str], band: float) -> DataFrame:
-    """Overlapping boxes of two tables (id, x, y, width, height): a_id, b_id, iou; each pair once."""
+def _carried(rows: DataFrame, ends: DataFrame, keys: list[str], what: Column) -> DataFrame:
+    """``rows`` with ``_carry``: ``what``, taken over the buckets before a row's own. ``ends`` has a row for each bucket of a key."""
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), what.over(before).alias("_carry"))
+    same = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(carry, same, "left").drop("_b", *[f"_k{i}" for i in range(len(keys))])
+
+
+def overlapping(a: DataFrame, b: DataFrame, keys: list[str], band: float) -> DataFrame:
+    """Overlapping boxes of two tables (id, x, y, width, height) as keys and columns a_* and b_*; each pair once."""
     left = banded(a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("id", "x", "y", "width", "height")]), F.col("a_y"), F.col("a_y") + F.col("a_height"), band)
     right = banded(b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("id", "x", "y", "width", "height")]), F.col("b_y"), F.col("b_y") + F.col("b_height"), band)
-    ia, ib = geometry.box("a_"), geometry.box("b_")
-    met = left.join(right, [*keys, "band"]).where(geometry.overlap(ia, ib) > 0)
+    met = left.join(right, [*keys, "band"]).where(geometry.overlap(geometry.box("a_"), geometry.box("b_")) > 0)
     # the pair is reported in the first band that both touch
-    met = met.where(F.col("band") == F.floor(F.greatest("a_y", "b_y") / band))
-    return met.select(*keys, "a_id", "b_id", F.round(geometry.iou(ia, ib), 6).alias("iou"))
+    return met.where(F.col("band") == F.floor(F.greatest("a_y", "b_y") / band)).drop("band")
+
+
+def pairs_of(a: DataFrame, b: DataFrame, keys: list[str], band: float) -> DataFrame:
+    """Overlapping boxes of two tables (id, x, y, width, height): a_id, b_id, iou; each pair once."""
+    return overlapping(a, b, keys, band).select(*keys, "a_id", "b_id", F.round(geometry.iou(geometry.box("a_"), geometry.box("b_")), 6).alias("iou"))
 
 
 def contained(inner: DataFrame, outer: DataFrame, keys: list[str], band: float, slack: float = 0.0, most: float | None = None) -> DataFrame:
@@ -100,8 +118,32 @@ def suppressed(boxes: DataFrame, keys: list[str], rank: list[Column], least: flo
     return dealt.mapInPandas(_suppress(keys, least), boxes.schema)
 
 
-def gap_clusters(rows: DataFrame, keys: list[str], at: Column, order: list[str], gap: float) -> DataFrame:
-    """Islands of rows whose distance to the row before is at most ``gap``: column cluster, from 0."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    far = F.coalesce((at - F.lag(at).over(w)) > gap, F.lit(False)).cast("int")
-    return rows.withColumn("_far", far).withColumn("cluster", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_far")
+def gap_clusters(rows: DataFrame, keys: list[str], at: Column, order: list[str], gap: float, bucket: Column | None = None) -> DataFrame:
+    """Islands of rows whose distance to the row before is at most ``gap``: column cluster, from 0.
+
+    With ``bucket``, a column that never falls in this order, keys are cut there: tasks take a bucket each, and the last place and the number of islands of the buckets before are carried into it.
+    """
+    cut = rows.withColumn("_place", at).withColumn("_bucket", F.lit(0) if bucket is None else bucket)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    if bucket is not None:
+        ends = cut.groupBy(*keys, "_bucket").agg(F.max_by("_place", F.struct(*order)).alias("_end"))
+        cut = _carried(cut, ends, keys, F.last("_end"))
+        cut = cut.withColumn("_before", F.coalesce(F.lag("_place").over(w), "_carry")).drop("_carry")
+    else:
+        cut = cut.withColumn("_before", F.lag("_place").over(w))
+    cut = cut.withColumn("_far", F.coalesce((F.col("_place") - F.col("_before")) > gap, F.lit(False)).cast("int"))
+    out = cut.withColumn("cluster", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if bucket is not None:
+        out = _carried(out, cut.groupBy(*keys, "_bucket").agg(F.sum("_far").alias("_n")), keys, F.sum("_n"))
+        out = out.withColumn("cluster", F.col("cluster") + F.coalesce("_carry", F.lit(0))).drop("_carry")
+    return out.drop("_far", "_place", "_bucket", "_before")
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, bucket: Column | None = None) -> DataFrame:
+    """``rows`` with their number among those of their keys, from 0. With ``bucket``, a column that never falls in this order, tasks take a bucket each."""
+    cut = rows.withColumn("_bucket", F.lit(0) if bucket is None else bucket)
+    out = cut.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1)
+    if bucket is not None:
+        out = _carried(out, cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")), keys, F.sum("_n"))
+        out = out.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
+    return out.drop("_bucket")

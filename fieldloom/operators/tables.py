@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import numbered
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The record of each key as the last write left it: all columns of its greatest row by ``order``."""
@@ -24,9 +26,9 @@ def counters(rows: DataFrame, status: Column, known: list[str]) -> DataFrame:
     return rows.select(named.alias("status")).rollup("status").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("status", F.lit("total")).alias("status"), "n")
 
 
-def batches(rows: DataFrame, keys: list[str], order: list[str], size: int = 10) -> DataFrame:
-    """``rows`` with the number of the slice of ``size`` rows that each is in."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size).cast("int"))
+def batches(rows: DataFrame, keys: list[str], order: list[str], size: int = 10, bucket: Column | None = None) -> DataFrame:
+    """``rows`` with the number of the slice of ``size`` rows that each is in; ``bucket`` as in ``layout.numbered``."""
+    return numbered(rows, keys, order, "batch", bucket).withColumn("batch", F.floor(F.col("batch") / size).cast("int"))
 
 
 def voted(rows: DataFrame, keys: list[str], vote: str, order: str, last: str) -> DataFrame:

@@ -102,10 +102,9 @@ SELECT page, a_id, b_id, iou >= 0.3 OR (sx >= 0.5 AND sy >= 0.5) AS same_target,
 )
 def same_places(spark, sf_dir):
     """Overlapping boxes that stand for one place."""
-    a = view(spark, sf_dir, f"SELECT page, id AS a_id, x AS a_x, y AS a_y, width AS a_width, height AS a_height FROM ({_WORDS}) AS w")
-    b = view(spark, sf_dir, f"SELECT page, id AS b_id, x AS b_x, y AS b_y, width AS b_width, height AS b_height FROM ({_WORDS}) AS w")
+    w = _words(spark, sf_dir)
+    met = layout.overlapping(w, w, ["page"], 60.0).where("a_id < b_id")
     boxes = geometry.box("a_"), geometry.box("b_")
-    met = a.join(b, "page").where((F.col("a_id") < F.col("b_id")) & (geometry.overlap(*boxes) > 0))
     return met.select("page", "a_id", "b_id", geometry.same_target(*boxes).alias("same_target"), geometry.same_region(*boxes).alias("same_region"))
 
 

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from fieldloom.operators import layout, pages, resolve, retrieval
+from fieldloom.operators import layout, pages, resolve, retrieval, tables
 from fieldloom.streaming import limits
 
 
@@ -244,3 +244,15 @@ def test_joined_topk_against_all_pairs(spark):
     q, d = spark.createDataFrame(queries, "q int, text string"), spark.createDataFrame(docs, "d int, text string")
     for most in (0, 10_000):
         assert {tuple(r) for r in retrieval.lexical_topk(q, d, "q", "d", most_tokens=most).collect()} == want
+
+
+def test_buckets_change_no_result(spark):
+    rnd = random.Random(21)
+    rows = spark.createDataFrame([(rnd.choice([1, 1, 1, 2, None]), i, float(rnd.randint(0, 300))) for i in range(200)], "k int, id int, t double")
+    events = spark.createDataFrame([(rnd.choice([1, 2, None]), i, float(rnd.randint(0, 300)), None if i % 7 == 0 else f"e{i}") for i in range(40)], "k int, e int, t double, name string")
+    bucket = lambda c: F.floor(c / 25)
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert same(layout.latest_before(rows, events, ["k"], "t", ["e", "name"], "e"), layout.latest_before(rows, events, ["k"], "t", ["e", "name"], "e", bucket))
+    clusters = lambda b: layout.gap_clusters(rows, ["k"], F.col("t"), ["t", "id"], 4.0, b)
+    assert same(clusters(None), clusters(bucket(F.col("t")))) and clusters(None).agg(F.max("cluster")).first()[0] > 5
+    assert same(tables.batches(rows, ["k"], ["t", "id"], 7), tables.batches(rows, ["k"], ["t", "id"], 7, bucket(F.col("t"))))

@@ -168,7 +168,13 @@ def wrapped_text(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.wrapped(F.col("text"), F.lit(20.0)), "\n").alias("lines"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE z AS (SELECT item_id, 22 - k / 2 AS size, greatest(1, CAST(floor(400 / (0.5 * (22 - k / 2))) AS INTEGER)) AS most, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM benchmark CROSS JOIN range(0, 33) AS r(k)),
+s AS (SELECT item_id, size, most, w, 0 AS n, 0 AS lines, 0 AS own, 0 AS widest FROM z UNION ALL
+SELECT item_id, size, most, w, n + 1, CASE WHEN fits THEN lines ELSE lines + 1 END, here, greatest(widest, here) FROM (
+SELECT *, CASE WHEN fits THEN own + 1 + long ELSE long END AS here FROM (SELECT *, CAST(length(w[n + 1]) AS INTEGER) AS long, lines > 0 AND own + 1 + length(w[n + 1]) <= most AS fits FROM s WHERE n < len(w))))
+SELECT item_id, max(CASE WHEN lines * size * 1.2 <= 120 AND widest * size * 0.5 <= 400 THEN size END) AS size FROM s WHERE n = len(w) GROUP BY item_id"""
+)
 def fitted_text(spark, sf_dir):
     """The type size at which each item fits a box."""
     rows = table(spark, sf_dir, "benchmark")

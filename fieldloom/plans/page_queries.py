@@ -175,7 +175,14 @@ def unnamed_dropped(spark, sf_dir):
     return pages.without_unnamed(_words(spark, sf_dir), ["page"], named, F.col("text") == "Office Use").select("page", "id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE l AS (SELECT page, id, x, y, width, height, conf + least(length(text), 40) * 0.15 AS score, row_number() OVER (PARTITION BY page ORDER BY y, x, id) AS n FROM ({_WORDS})),
+s AS (SELECT page, n, [{{'id': id, 'x': x, 'y': y, 'w': width, 'h': height, 'score': score}}] AS kept FROM l WHERE n = 1 UNION ALL
+SELECT page, n, CASE WHEN hit IS NULL THEN list_append(kept, own) WHEN own.score > kept[hit].score THEN kept[:hit - 1] || [own] || kept[hit + 1:] ELSE kept END FROM (
+SELECT l.page, l.n, s.kept, {{'id': l.id, 'x': l.x, 'y': l.y, 'w': l.width, 'h': l.height, 'score': l.score}} AS own, (list_filter(range(1, len(s.kept) + 1), lambda k: least(l.y + l.height, s.kept[k].y + s.kept[k].h) - greatest(l.y, s.kept[k].y) > 0.55 * least(l.height, s.kept[k].h)
+AND least(l.x + l.width, s.kept[k].x + s.kept[k].w) - greatest(l.x, s.kept[k].x) > 0.5 * least(l.width, s.kept[k].w)))[1] AS hit FROM s JOIN l ON l.page = s.page AND l.n = s.n + 1))
+SELECT page, unnest(list_transform(kept, lambda k: k.id)) AS id FROM s QUALIFY n = max(n) OVER (PARTITION BY page)"""
+)
 def single_readings(spark, sf_dir):
     """Of lines read twice the better reading."""
     score = F.col("conf") + F.least(F.length("text"), F.lit(40)) * 0.15
@@ -202,12 +209,21 @@ def option_texts(spark, sf_dir):
     return pages.option_texts(w.where("part = 0"), w.where("part > 0"), ["page"], 0.1)
 
 
-@query()
+_FORM = f"SELECT page AS doc, id, CAST(id % 2 AS INT) AS page, x / 600 AS x, y / 180 AS y, width / 2000 AS width, height / 900 AS height, text AS label, CASE page % 3 WHEN 0 THEN 'hi' WHEN 1 THEN 'kn' END AS form_language FROM ({_WORDS}) AS w"
+_SLOTS = """SELECT form_language, CAST(slot AS INT) AS slot, CAST(page AS INT) AS page, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height, label, insert FROM (VALUES ('hi', 0, 0, 0.1, 0.25, 0.3, 0.02, 'name', true),
+('hi', 1, 1, 0.4, 0.5, 0.3, 0.02, 'place', false), ('hi', 2, 0, 0.2, 0.255, 0.5, 0.02, 'date', true), ('kn', 0, 0, 0.1, 0.4, 0.6, 0.02, 'other', false)) AS t(form_language, slot, page, x, y, width, height, label, insert)"""
+
+
+@query(
+    f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, y, x, id) AS n FROM ({_FORM})), t AS (SELECT *, row_number() OVER (PARTITION BY form_language ORDER BY slot) AS m FROM ({_SLOTS})),
+d AS (SELECT DISTINCT doc, form_language FROM f JOIN t USING (form_language)), p AS (SELECT f.doc, t.m, f.n, abs(f.x + f.width / 2 - t.x - t.width / 2) AS far FROM f JOIN t ON t.form_language = f.form_language AND t.page = f.page AND abs(f.y - t.y) <= 0.016 AND least(t.x + t.width, f.x + f.width) - greatest(t.x, f.x) > 0),
+c AS (SELECT doc, m, list(n ORDER BY far, n) AS near FROM p WHERE far < 1 GROUP BY doc, m), q AS (SELECT d.doc, t.m, t.label, t.insert, c.near FROM d JOIN t USING (form_language) LEFT JOIN c ON c.doc = d.doc AND c.m = t.m),
+s AS (SELECT doc, 0::BIGINT AS m, []::BIGINT[] AS taken, NULL::BIGINT AS n FROM d UNION ALL SELECT doc, m, CASE WHEN own IS NULL THEN taken ELSE list_append(taken, own) END, own FROM (SELECT q.doc, q.m, s.taken, (list_filter(q.near, lambda x: NOT list_contains(s.taken, x)))[1] AS own FROM s JOIN q ON q.doc = s.doc AND q.m = s.m + 1))
+SELECT f.doc, f.id, coalesce(q.label, f.label) AS label, false AS inserted FROM f LEFT JOIN s ON s.doc = f.doc AND s.n = f.n LEFT JOIN q ON q.doc = s.doc AND q.m = s.m UNION ALL SELECT q.doc, NULL, q.label, true FROM s JOIN q ON q.doc = s.doc AND q.m = s.m WHERE s.n IS NULL AND q.insert"""
+)
 def template_labels(spark, sf_dir):
     """Fields of a known form named by its template."""
-    w = view(spark, sf_dir, f"SELECT page AS doc, id, CAST(id % 2 AS INT) AS page, x / 600 AS x, y / 180 AS y, width / 2000 AS width, height / 900 AS height, text AS label, CASE page % 3 WHEN 0 THEN 'hi' WHEN 1 THEN 'kn' END AS form_language FROM ({_WORDS}) AS w")
-    slots = view(spark, sf_dir, "SELECT form_language, CAST(slot AS INT) AS slot, CAST(page AS INT) AS page, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height, label, insert FROM (VALUES ('hi', 0, 0, 0.1, 0.25, 0.3, 0.02, 'name', true), ('hi', 1, 1, 0.4, 0.5, 0.3, 0.02, 'place', false), ('hi', 2, 0, 0.2, 0.255, 0.5, 0.02, 'date', true), ('kn', 0, 0, 0.1, 0.4, 0.6, 0.02, 'other', false)) AS t(form_language, slot, page, x, y, width, height, label, insert)")
-    return pages.template_labels(w, slots, ["doc"])
+    return pages.template_labels(view(spark, sf_dir, _FORM), view(spark, sf_dir, _SLOTS), ["doc"])
 
 
 _TRUTH = f"SELECT page, id, x + 5 AS x, y, width, height FROM ({_WORDS}) AS w WHERE id % 2 = 0"

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 
@@ -19,30 +20,38 @@ def same_key(a: tuple | None, b: tuple) -> bool:
 def per_key(rows: DataFrame, keys: list[str], order: list[str | Column], columns: list[str], f: Callable[[list[tuple]], list[tuple]], added: str) -> DataFrame:
     """``rows`` with the columns ``added`` (a DDL string), which ``f`` gives for each key from the tuples of ``columns`` of all its rows in order."""
 
+    def answered(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        """``frame``, whose keys begin at ``cuts``, with the new columns."""
+        rows, found = list(zip(*(frame[c] for c in columns), strict=True)), []
+        for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+            found += f(rows[a:b])
+        return frame.assign(**{name: [x[i] for x in found] for i, name in enumerate(names)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, own = [], None
-
-        def done() -> pd.DataFrame:
-            whole = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
-            found = f(list(zip(*(whole[c] for c in columns), strict=True)))
-            return whole.assign(**{name: [x[i] for x in found] for i, name in enumerate(names)})
-
         for frame in frames:
             if not len(frame):
                 continue
-            values = list(zip(*(frame[k] for k in keys), strict=True))
-            cuts = [i for i in range(1, len(values)) if not same_key(values[i - 1], values[i])]
-            out = []
-            for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True):
-                if held and not same_key(own, values[a]):
-                    out.append(done())
-                    held.clear()
-                own = values[a]
-                held.append(frame.iloc[a:b])
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            new = np.zeros(len(frame) - 1, bool)
+            for k in keys:
+                before, after = frame[k].iloc[:-1].reset_index(drop=True), frame[k].iloc[1:].reset_index(drop=True)
+                new |= ((before != after) & ~(before.isna() & after.isna())).to_numpy(bool)
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            first = tuple(frame[k].iloc[0] for k in keys)
+            if held and same_key(own, first):
+                end = starts[1] if len(starts) > 1 else len(frame)
+                held.append(frame.iloc[:end])
+                starts = starts[1:]
+            if not starts:
+                continue
+            if held:
+                yield answered(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0], [0])
+            # whole keys are answered together; the last one may go on in the next frame
+            if len(starts) > 1:
+                yield answered(frame.iloc[starts[0] : starts[-1]], [x - starts[0] for x in starts[:-1]])
+            held, own = [frame.iloc[starts[-1] :]], tuple(frame[k].iloc[starts[-1]] for k in keys)
         if held:
-            yield done()
+            yield answered(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0], [0])
 
     names = [c.strip().split()[0] for c in added.split(",")]
     schema = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema), added])

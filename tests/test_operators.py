@@ -256,3 +256,20 @@ def test_buckets_change_no_result(spark):
     clusters = lambda b: layout.gap_clusters(rows, ["k"], F.col("t"), ["t", "id"], 4.0, b)
     assert same(clusters(None), clusters(bucket(F.col("t")))) and clusters(None).agg(F.max("cluster")).first()[0] > 5
     assert same(tables.batches(rows, ["k"], ["t", "id"], 7), tables.batches(rows, ["k"], ["t", "id"], 7, bucket(F.col("t"))))
+
+
+def test_keys_over_many_batches(spark):
+    from fieldloom.operators.paged import per_key
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([1.0, 2.0, None]), i) for i in range(300)] + [("hot", 1.0, 1000 + i) for i in range(200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "k string, j double, i int")
+        got = per_key(df, ["k", "j"], ["i"], ["i"], lambda own: [(n, len(own)) for n, _ in enumerate(own)], "n int, of int").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = defaultdict(list)
+    for k, j, i in sorted(rows, key=lambda r: r[2]):
+        held[k, j].append(i)
+    assert {(r.i, r.n, r.of) for r in got} == {(i, n, len(v)) for v in held.values() for n, i in enumerate(v)}

@@ -32,8 +32,9 @@ from .components import connected_components
 from .words import SPACED, Words, mix, shingles
 
 PIECE_BYTES = 1 << 20
-#: Documents of one side of a comparison task.
+#: Documents of one side of a comparison task, about, and shingles of all of them: long documents are fewer to a task.
 BLOCK = 256
+BLOCK_SHINGLES = 400_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(97))
 _FACTOR = _RANDOM.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,14 +158,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = signed.where("n_shingles > 0 AND id IS NOT NULL")
     # documents of one set: the smallest id stands for all
     same = shared.written(named.groupBy("mark1", "mark2", "n_shingles").agg(F.min("id").alias("rep")), "near-same")
-    reps = named.join(same, ["mark1", "mark2", "n_shingles"]).where("id = rep").select("id", F.explode("bands").alias("key")).distinct()
+    reps = named.join(same, ["mark1", "mark2", "n_shingles"]).where("id = rep").select("id", "n_shingles", F.explode("bands").alias("key")).groupBy("id", "key").agg(F.max("n_shingles").alias("n_shingles"))
     reps = shared.written(reps, "near-reps")
-    buckets = reps.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    blocks = lambda n, weight: F.greatest(F.ceil(n / BLOCK), F.ceil(weight / BLOCK_SHINGLES))
+    buckets = reps.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("hub"), F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight")).where("size > 1")
     buckets = shared.written(buckets, "near-buckets")
-    members = shared.written(reps.join(buckets, "key").select("key", "id", "hub", "size"), "near-members")
+    members = shared.written(reps.join(buckets, "key").select("key", "id", "hub", "n_shingles", "size", "weight"), "near-members")
     sets = shared.written(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_full_sets(width), f"id {id_type}, set binary"), "near-sets")
     # every member against its hub
-    spread = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
+    spread = F.pmod(F.xxhash64("id"), blocks(F.col("size"), F.col("weight")))
     pairs = members.where("id <> hub").select("hub", spread.alias("block"), "id").distinct()
     group = F.concat_ws(":", F.col("hub").cast("string"), F.col("block").cast("string")).alias("group")
     tasks = pairs.select(group, F.lit(1).alias("side"), "id", F.col("id").alias("component")).unionByName(
@@ -173,12 +175,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = shared.written(_links(tasks, sets, percent, id_type), "near-links")
     found = connected_components(links, "a", "b")
     # buckets that still hold several components: what is not of the largest one against all others
-    placed = members.join(found, members["id"] == found["vertex"], "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
+    placed = members.join(found, members["id"] == found["vertex"], "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
     placed = shared.written(placed, "near-placed")
-    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    most = parts.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.sum("n").alias("size"), F.max("n").alias("n")).where("n < size")
-    most = shared.written(most.withColumn("outside", F.col("size") - F.col("n")), "near-split")
-    rest = placed.drop("size").join(most, "key").select("key", "id", "component", (F.col("component") != F.col("largest")).alias("out"), F.ceil(F.col("outside") / BLOCK).cast("int").alias("of_out"), F.ceil(F.col("size") / BLOCK).cast("int").alias("of_all"))
+    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    most = parts.groupBy("key").agg(F.max(F.struct("n", "component", "w")).alias("top"), F.sum("n").alias("size"), F.sum("w").alias("weight")).where("top.n < size")
+    most = most.select("key", F.col("top.component").alias("largest"), blocks(F.col("size") - F.col("top.n"), F.col("weight") - F.col("top.w")).cast("int").alias("of_out"), blocks(F.col("size"), F.col("weight")).cast("int").alias("of_all"))
+    most = shared.written(most, "near-split")
+    rest = placed.join(most, "key").select("key", "id", "component", (F.col("component") != F.col("largest")).alias("out"), "of_out", "of_all")
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     grid = F.concat_ws(":", *[F.col(c).cast("string") for c in ("key", "i", "j")]).alias("group")
     outside = rest.where("out").select("key", "id", "component", at("of_out").alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("j"))

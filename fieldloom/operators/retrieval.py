@@ -23,8 +23,8 @@ SENT_TOKENS = 2_000_000
 CELLS = 4_000_000
 #: Share of a query's tokens, the rarest, by which joins begin.
 RARE = 0.3
-#: Forms that may be sent to the tasks.
-MOST_FORMS = 10_000
+#: Forms of a block: one block is sent to the tasks, of more each document meets every one.
+FORMS_BLOCK = 2_000
 
 
 class _Kept:
@@ -243,24 +243,37 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, id_col: str, vector_col:
     return best.select("query", "vector", "distance", F.greatest(F.lit(0.0), 1 - F.col("distance")).alias("score"), "rank")
 
 
-def form_scores(docs: DataFrame, forms: DataFrame, text: Column, labels: Column, category: Column) -> DataFrame:
-    """Every document with every known form: form_id, score, terms found. ``forms``: ord, form_id, category, terms, aliases; a small dictionary.
-
-    The forms travel as one array column (the dictionary is written by hand, so a few kilobytes), and each document looks through it.
-    """
-    rows = forms.orderBy("ord").limit(MOST_FORMS + 1).collect()
-    if len(rows) > MOST_FORMS:
-        raise ValueError(f"more than {MOST_FORMS} forms are no dictionary that can be sent to the tasks")
-    packed = F.array(*[F.struct(F.lit(r.ord).alias("ord"), F.lit(r.form_id).alias("form_id"), F.lit(r.category).alias("category"), F.array(*map(F.lit, r.terms)).alias("terms"), F.array(*map(F.lit, r.aliases)).alias("aliases")) for r in rows])
-    low, known = F.lower(text), F.transform(labels, F.lower)
+def _form_scores(low: Column, known: Column, category: Column, forms: Column) -> Column:
+    """Scores of the forms of one array for a document whose text and labels are in lower case."""
 
     def score(f: Column) -> Column:
-        terms = F.size(F.filter(f["terms"], lambda t: low.contains(F.lower(t))))
-        hits = F.size(F.filter(known, lambda x: F.exists(f["aliases"], lambda a: x.contains(F.lower(a)) | F.lower(a).contains(x))))
+        terms = F.size(F.filter(f["terms"], low.contains))
+        hits = F.size(F.filter(known, lambda x: F.exists(f["aliases"], lambda a: x.contains(a) | a.contains(x))))
         share = lambda n, of: n / F.greatest(F.size(of), F.lit(1))
         return F.round(F.least(F.lit(1.0), 0.55 * share(terms, f["terms"]) + 0.4 * share(hits, f["aliases"]) + F.when(f["category"] == category, 0.12).otherwise(0.0)), 3)
 
-    return docs.withColumn("scores", F.transform(packed, lambda f: F.struct(score(f).alias("score"), (-f["ord"]).alias("first"), f["form_id"].alias("form_id"))))
+    return F.transform(forms, lambda f: F.struct(score(f).alias("score"), (-f["ord"]).alias("first"), f["form_id"].alias("form_id")))
+
+
+def form_scores(docs: DataFrame, forms: DataFrame, text: Column, labels: Column, category: Column) -> DataFrame:
+    """``docs`` with scores: score, first (less for later forms) and form_id of every form. ``forms``: ord, form_id, category, terms, aliases.
+
+    The forms are a table of arrays of ``FORMS_BLOCK`` at most. One such row is sent to the tasks and each document looks through it; of
+    more, each document meets every block, and its scores are put together again by a number that it gets before.
+    """
+    lower = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower)
+    one = F.struct("ord", "form_id", "category", lower(F.col("terms")).alias("terms"), lower(F.col("aliases")).alias("aliases"))
+    blocks = max(1, -(-forms.count() // FORMS_BLOCK))
+    packed = forms.select(F.pmod(F.xxhash64("ord", "form_id"), F.lit(blocks)).alias("_block"), one.alias("f")).groupBy("_block").agg(F.array_sort(F.collect_list("f")).alias("_forms"))
+    none = F.coalesce("_forms", F.array().cast(packed.schema["_forms"].dataType))
+    # the text is lowered once, not for each term: it is bound by the outer function
+    scores = lambda found: found.withColumn("scores", F.get(F.transform(F.array(F.struct(F.lower(text).alias("low"), F.transform(labels, F.lower).alias("known"))), lambda d: _form_scores(d["low"], d["known"], category, none)), F.lit(0))).drop("_forms", "_block")
+    if blocks == 1:
+        return scores(docs.withColumn("_block", F.lit(0).cast("long")).join(F.broadcast(packed), "_block", "left"))
+    rows = computed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    each = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "_block")
+    every = scores(each).groupBy("_row").agg(F.flatten(F.collect_list("scores")).alias("scores"))
+    return rows.join(every, "_row", "left").drop("_row")
 
 
 def match_form(docs: DataFrame, forms: DataFrame, text: Column, labels: Column, category: Column, least: float = 0.42) -> DataFrame:

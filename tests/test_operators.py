@@ -273,3 +273,15 @@ def test_keys_over_many_batches(spark):
     for k, j, i in sorted(rows, key=lambda r: r[2]):
         held[k, j].append(i)
     assert {(r.i, r.n, r.of) for r in got} == {(i, n, len(v)) for v in held.values() for n, i in enumerate(v)}
+
+
+def test_forms_in_blocks_score_alike(spark, monkeypatch):
+    forms = spark.createDataFrame([(i, f"f{i}", "bank" if i % 2 else "tax", [f"Term{i}", "account"], [f"alias{i % 3}", "x"]) for i in range(9)], "ord int, form_id string, category string, terms array<string>, aliases array<string>")
+    docs = spark.createDataFrame([(1, "TERM3 of an ACCOUNT", ["Alias0"]), (2, "term5", []), (3, None, None), (1, "term3 of an account", ["alias0"]), (4, "nothing", ["a long ALIAS2 here"])], "id int, text string, labels array<string>")
+    match = lambda: sorted(((r.id, r.form_id, r.form_score) for r in retrieval.match_form(docs, forms, F.col("text"), F.col("labels"), F.lit("bank"), 0.3).collect()), key=repr)
+    whole = match()
+    assert whole[0] == whole[1] == (1, "f3", 0.87)
+    monkeypatch.setattr(retrieval, "FORMS_BLOCK", 2)
+    assert match() == whole
+    none = retrieval.match_form(docs, forms.where("ord < 0"), F.col("text"), F.col("labels"), F.lit("bank")).collect()
+    assert len(none) == 5 and all(r.form_id is None for r in none)

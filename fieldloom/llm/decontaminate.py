@@ -274,7 +274,7 @@ def _passes(rows: DataFrame, benchmark: DataFrame, item_col: str, text_col: str,
     part = next(parts)
     for more in parts:
         sent = context.broadcast(part)
-        rows = shared.written(rows.mapInArrow(_scan(sent, window, True), f"id {kind}, text string, {CARRIED}"), "benchmark-pass")
+        rows = shared.written(rows.mapInArrow(shared.returning(_scan(sent, window, True)), f"id {kind}, text string, {CARRIED}"), "benchmark-pass")
         sent.destroy()
         part = more
     return rows, context.broadcast(part)
@@ -289,7 +289,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows, part = _passes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, item_col, item_text_col, window)
     kinds = f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, item_ids array<string>, span_start array<long>, span_end array<long>"
     spans = F.arrays_zip(F.col("span_start").alias("start"), F.col("span_end").alias("end"))
-    return rows.mapInArrow(_scan(part, window), kinds).select(F.col("id").alias(id_col), "n_words", "n_hit", "item_ids", spans.alias("spans"))
+    return rows.mapInArrow(shared.returning(_scan(part, window)), kinds).select(F.col("id").alias(id_col), "n_words", "n_hit", "item_ids", spans.alias("spans"))
 
 
 def _cut(part, window: int, drop_share: float, carried: bool):
@@ -334,7 +334,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     rows, part = _passes(packed, benchmark, item_col, item_text_col, window)
     carried = len(rows.columns) > 2
     out = rows.select(*["text" if c == "text" else F.col(f"id.{c}").alias(c) for c in named.columns], *(["hit_start", "hit_end", "item_ids"] if carried else []))
-    return out.mapInArrow(_cut(part, window, drop_share, carried), named.schema).toDF(*docs.columns)
+    return out.mapInArrow(shared.returning(_cut(part, window, drop_share, carried)), named.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = shared.written(texts.mapInArrow(_sign(width, rows, bands), f"id {id_type}, n_shingles long, mark1 long, mark2 long, bands array<long>"), "near-signed")
+    signed = shared.written(texts.mapInArrow(shared.returning(_sign(width, rows, bands)), f"id {id_type}, n_shingles long, mark1 long, mark2 long, bands array<long>"), "near-signed")
     named = signed.where("n_shingles > 0 AND id IS NOT NULL")
     # documents of one set: the smallest id stands for all
     same = shared.written(named.groupBy("mark1", "mark2", "n_shingles").agg(F.min("id").alias("rep")), "near-same")
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = reps.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("hub"), F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight")).where("size > 1")
     buckets = shared.written(buckets, "near-buckets")
     members = shared.written(reps.join(buckets, "key").select("key", "id", "hub", "n_shingles", "size", "weight"), "near-members")
-    sets = shared.written(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_full_sets(width), f"id {id_type}, set binary"), "near-sets")
+    sets = shared.written(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(shared.returning(_full_sets(width)), f"id {id_type}, set binary"), "near-sets")
     # every member against its hub
     spread = F.pmod(F.xxhash64("id"), blocks(F.col("size"), F.col("weight")))
     pairs = members.where("id <> hub").select("hub", spread.alias("block"), "id").distinct()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +90,18 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The sum of each document's values, added in their order: equal documents have equal sums wherever they stand."""
     n = len(first) - 1
     return np.bincount(np.repeat(np.arange(n), np.diff(first)), weights=values, minlength=n)
+
+
+def returning(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over a task's batches, which hands the memory that it freed back to the system at its end: Spark keeps workers for the tasks of later stages."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+            if trim is not None:
+                trim(0)
+
+    return run

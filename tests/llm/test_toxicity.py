@@ -61,3 +61,29 @@ def test_equal_texts_have_equal_scores_under_any_partitioning(spark):
     runs = [{r.doc_id: r.score for r in tx.scores(table.repartition(parts), model).collect()} for parts in (1, 5, 37)]
     assert all(runs[0][i] == runs[0][i + 5000] for i in range(60))
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_fit_against_the_objective_in_plain_loops():
+    docs, labels = corpus()
+    raw = [t.encode() for _, t, *_ in docs[:160]]
+    y = np.array([v for _, v, _ in labels[:160]], float)
+    flat, first = tx.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    rows = [flat[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    model = tx.Model(rows, y)
+    pairs = tx._swaps(rows, np.random.default_rng(11))
+    toxic = min(4.0, (y == 0).sum() / y.sum())
+    used = np.flatnonzero(model.weight)
+
+    def objective(change):
+        total = 0.0
+        w = lambda i: 0.0 if i < 0 else model.weight[i] + change.get(i, 0.0)
+        for own, label in zip(rows, y, strict=True):
+            score = model.bias + change.get("bias", 0.0) + sum(w(i) for i in own)
+            total += (toxic if label else 1.0) * (np.log1p(np.exp(score)) - label * score)
+        return total + tx.COUNTERFACTUAL / 2 * sum((w(b) - w(a)) ** 2 for a, b in pairs) + tx.L1 * sum(abs(w(i)) for i in {*used.tolist(), *(k for k in change if k != "bias")})
+
+    best = objective({})
+    assert best < objective({i: -model.weight[i] for i in used.tolist()})
+    for i in [*used[:25].tolist(), "bias", int(pairs[0][1])]:
+        for step in (-0.05, 0.05):
+            assert objective({i: step}) > best - 1e-3 * best

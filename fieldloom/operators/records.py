@@ -121,6 +121,12 @@ def supporting(files: DataFrame, key: str, order: list[str], most: int = SUPPORT
     return files.withColumn("_n", n).withColumn("error", F.when(F.col("error").isNull() & (F.col("_n") > most), "too_many").otherwise(F.col("error"))).drop("_n")
 
 
+def printable(texts: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """keys, n_texts, smallest: the documents that are written, with the smallest type size of their texts. A document with any text that fits its box at no size (null) is not."""
+    sums = texts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_texts"), F.min(size).alias("smallest"), F.count(size).alias("_fit"))
+    return sums.where(F.col("_fit") == F.col("n_texts")).drop("_fit")
+
+
 def alias_total(entries: DataFrame, column: str = "aliases") -> DataFrame:
     """entries, wordings: how many entries a dictionary has, and wordings in all languages."""
     return entries.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.size(F.flatten(F.map_values(column)))), F.lit(0)).alias("wordings"))

@@ -167,3 +167,23 @@ _BESIDE = "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'I hereby decl
 def declaration_marks(spark, sf_dir):
     """Marks that stand under a declaration and ask nothing."""
     return view(spark, sf_dir, _BESIDE).select("id", fields.declaration_mark(F.col("section"), F.col("nearby")).alias("declaration"))
+
+
+_PRINTED = "SELECT l_orderkey AS doc, CASE WHEN l_partkey % 9 > 0 THEN 6 + CAST(l_partkey % 30 AS DOUBLE) / 2 END AS size FROM <lineitem>"
+
+
+@query(f"SELECT doc, count(*) AS n_texts, min(size) AS smallest FROM ({_PRINTED}) GROUP BY doc HAVING count(size) = count(*)")
+def printable_documents(spark, sf_dir):
+    """Documents all of whose answers fit their boxes."""
+    return records.printable(view(spark, sf_dir, _PRINTED), ["doc"], "size")
+
+
+_ENTRIES = "SELECT p_partkey AS id, p_name, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS brand, p_partkey % 4 = 0 AS bare FROM <part>"
+
+
+@query(f"SELECT count(*) AS entries, CAST(sum(CASE WHEN bare THEN 0 ELSE 1 + CASE WHEN brand IS NULL THEN 1 ELSE 2 END END) AS BIGINT) AS wordings FROM ({_ENTRIES})")
+def alias_totals(spark, sf_dir):
+    """How many wordings a dictionary has in all languages."""
+    one, two = F.array("p_name"), F.array_compact(F.array("p_name", "brand"))
+    aliases = F.when(F.col("bare"), F.create_map().cast("map<string,array<string>>")).otherwise(F.create_map(F.lit("en"), one, F.lit("hi"), two))
+    return records.alias_total(view(spark, sf_dir, _ENTRIES).select("id", aliases.alias("aliases")))

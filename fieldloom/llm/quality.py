@@ -107,7 +107,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ratio(texts: DataFrame) -> np.ndarray:
     """Log ratio of target to raw probability of all buckets, over rows (text, target); a fixed number of sums reaches the driver."""
     total = np.full((2, BUCKETS), SMOOTHING)
-    counts = texts.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counts = texts.mapInArrow(shared.returning(_count), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     for row, name in zip(total, ("raw", "target"), strict=True):
         row[counts["bucket"].to_numpy(np.int64)] += counts[name].to_numpy(np.float64)
     raw, target = np.log(total / total.sum(1, keepdims=True))
@@ -181,7 +181,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     target = F.coalesce((F.col("good") == 1) & ~F.col("cut"), F.lit(False))
     sent = spark.sparkContext.broadcast(ratio(texts.join(known, "id", "left").select("text", target.alias("target"))))
     kinds = f"id {docs.schema[id_col].dataType.simpleString()}, n_grams long, weight double, gumbel double"
-    weighed = texts.mapInArrow(_weigh(sent), kinds).withColumn("key", F.when(F.col("n_grams") > 0, SHARPNESS * F.col("weight") + F.col("gumbel")))
+    weighed = texts.mapInArrow(shared.returning(_weigh(sent)), kinds).withColumn("key", F.when(F.col("n_grams") > 0, SHARPNESS * F.col("weight") + F.col("gumbel")))
     weighed = shared.written(weighed, "quality-weighed")
     fitted = weighed.where("n_grams > 0").join(known.where("cut"), "id").groupBy("id").agg(F.avg("weight").alias("weight"), F.first("good").alias("good")).toPandas()
     cut = best_cut(fitted["weight"].to_numpy(), fitted["good"].to_numpy() == 1)

@@ -436,7 +436,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_be
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_encode(model, n_best), f"id {kind}, ids array<int>, score double, others array<struct<score: double, edits: array<struct<start: int, length: int, ids: array<int>>>>>")
+    out = rows.mapInArrow(shared.returning(_encode(model, n_best)), f"id {kind}, ids array<int>, score double, others array<struct<score: double, edits: array<struct<start: int, length: int, ids: array<int>>>>>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -445,7 +445,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
     held = [f"kept{i}" for i in range(len(keep))]
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"), *[F.col(c).alias(h) for c, h in zip(keep, held, strict=True)])
     kinds = ", ".join([f"id {encoded.schema[id_col].dataType.simpleString()}", "text string", *(f"{h} {encoded.schema[c].dataType.simpleString()}" for c, h in zip(keep, held, strict=True))])
-    return rows.mapInArrow(_decode(model), kinds).toDF(id_col, "text", *keep)
+    return rows.mapInArrow(shared.returning(_decode(model)), kinds).toDF(id_col, "text", *keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from fieldloom.llm import context_mixing as cm
@@ -129,3 +130,23 @@ def test_without_rows_or_training(spark):
     assert cm.scored(empty, F.expr(HELD)).count() == 0
     alone = cm.scored(spark.createDataFrame([(1, "a b", "", 0)], SCHEMA), F.lit(True)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in alone] == [(3, 0, 0)]
+
+
+def test_row_groups_hold_few_shards(spark, monkeypatch):
+    from fieldloom.llm import shared
+
+    made, written = {}, shared.written
+
+    def kept(df, name, **options):
+        made[name] = written(df, name, **options)
+        return made[name]
+
+    monkeypatch.setattr(cm, "SHARD_BYTES", 100)
+    monkeypatch.setattr(cm, "PIECE_BYTES", 100)
+    monkeypatch.setattr(cm.shared, "written", kept)
+    docs = spark.createDataFrame([(i, f"word{i % 7} and other words " * 5) for i in range(40)], "doc_id long, text string").coalesce(1)
+    assert cm.scored(docs, F.col("doc_id") % 10 == 0).count() == 40
+    for name in ("lm-shards", "lm-tokens"):
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made[name].inputFiles()]
+        assert sum(m.num_rows for m in files) > 10
+        assert all(m.row_group(i).num_rows <= 2 for m in files for i in range(m.num_row_groups))

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import n_words
-
 # Patterns of numbers on cards, words of printed headings, labels of facts.
 AADHAAR = r"(?<![0-9])([2-9][0-9]{3})[ -]?([0-9]{4})[ -]?([0-9]{4})(?![0-9])"
 PAN = r"\b([A-Z]{5}[0-9]{4}[A-Z])\b"
@@ -21,6 +20,10 @@ NAME_LABELS = ["name", "full name", "applicant name", "applicant's name", "न
 FATHER_LABELS = ["father's name", "father name", "fathers name", "पिता का नाम"]
 BIRTH_LABELS = ["dob", "d.o.b", "date of birth", "birth date", "जन्म तिथि", "जन्म दिनांक"]
 ADDRESS_LABELS = ["address", "पता"]
+#: Lines of one to six words, and of two to six.
+FEW_WORDS = r"^\s*+\S++(?:\s++\S++){0,5}+\s*+$"
+SEVERAL_WORDS = r"^\s*+\S++(?:\s++\S++){1,5}+\s*+$"
+FACTS = ["kind", "full_name", "father_name", "gender", "date_of_birth", "aadhaar_number", "pan_number", "voter_id", "address", "pincode"]
 OTHER_PERSONS = ["father", "mother", "spouse", "husband", "wife", "nominee", "guardian", "witness", "relative"]
 
 
@@ -35,6 +38,15 @@ def first_of(values: Column) -> Column:
     return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def contains_any(text: Column, words: list[str]) -> Column:
+    return reduce(Column.__or__, [text.contains(w) for w in words])
+
+
 def found(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
@@ -49,13 +61,25 @@ def _bare(line: Column) -> Column:
 
 
 def kind(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(low.rlike("aadhaar|aadhar|uidai|unique identification"), "Aadhaar").when(low.rlike(r"permanent account|\bpan\b"), "PAN").when(low.rlike("election commission|elector|epic"), "voter card").otherwise("supporting document")
+    return bound(F.lower(F.coalesce(text, F.lit(""))), _kind)
+
+
+def _names_pan(low: Column) -> Column:
+    return low.contains("permanent account") | (low.contains("pan") & low.rlike(r"\bpan\b"))
+
+
+def _kind(low: Column) -> Column:
+    return (
+        F.when(contains_any(low, ["aadhaar", "aadhar", "uidai", "unique identification"]), "Aadhaar")
+        .when(_names_pan(low), "PAN")
+        .when(contains_any(low, ["election commission", "elector", "epic"]), "voter card")
+        .otherwise("supporting document")
+    )
 
 
 def acceptable(line: Column) -> Column:
     """Whether a line may be a person's name."""
-    return (line != "") & ~line.rlike(r":$|\p{Nd}") & ~line.rlike(HEADING) & n_words(line).between(1, 6)
+    return line.rlike(FEW_WORDS) & ~line.rlike(r":$|\p{Nd}") & ~line.rlike(HEADING)
 
 
 def labelled(lines: Column, labels: list[str]) -> Column:
@@ -67,9 +91,10 @@ def labelled(lines: Column, labels: list[str]) -> Column:
     def value(line: Column, at: Column) -> Column:
         later = F.get(F.filter(_after(lines, at), lambda x: acceptable(x) | x.endswith(":")), F.lit(0))
         rest = F.trim(F.regexp_replace(line, "^[^:]*:", ""))
-        prefixed = F.exists(F.array(*[F.lit(x + ":") for x in labels]), lambda x: _bare(line).startswith(x))
+        prefixed = lambda bare: reduce(Column.__or__, [bare.startswith(x + ":") for x in labels])
         one = lambda v: F.struct(v.alias("value"))
-        return F.when(_bare(line).isin(*labels), one(F.when(~later.endswith(":"), later))).when(prefixed & acceptable(rest), one(rest))
+        named = one(bound(later, lambda x: F.when(~x.endswith(":"), x)))
+        return bound(_bare(line), lambda bare: F.when(bare.isin(*labels), named).when(prefixed(bare) & acceptable(rest), one(rest)))
 
     return first_of(F.transform(lines, value))["value"]
 
@@ -82,15 +107,15 @@ def birth(lines: Column) -> Column:
     """The date in a line that names the date of birth or in the two behind it; else the only date there is."""
 
     def near(line: Column, at: Column) -> Column:
-        named = F.exists(F.array(*map(F.lit, BIRTH_LABELS)), lambda x: F.lower(line).contains(x))
+        named = bound(F.lower(line), lambda low: contains_any(low, BIRTH_LABELS))
         return F.when(named, F.coalesce(date_in(line), first_of(F.transform(_after(lines, at, 2), date_in))))
 
     dates = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(DATE), F.lit(0))))
-    return F.coalesce(first_of(F.transform(lines, near)), F.when(F.size(dates) == 1, date_in(F.get(dates, F.lit(0)))))
+    return F.coalesce(first_of(F.transform(lines, near)), bound(dates, lambda d: F.when(F.size(d) == 1, date_in(F.get(d, F.lit(0))))))
 
 
 def _is_address(line: Column) -> Column:
-    return _bare(line).isin(*ADDRESS_LABELS) | _bare(line).startswith("address")
+    return bound(_bare(line), lambda bare: bare.isin(*ADDRESS_LABELS) | bare.startswith("address"))
 
 
 def _place(lines: Column, test: Callable[[Column], Column]) -> Column:
@@ -101,7 +126,7 @@ def _place(lines: Column, test: Callable[[Column], Column]) -> Column:
 def first_person(lines: Column) -> Column:
     """The first line of two words or more before the address that may be a name."""
     before = F.slice(lines, 1, F.coalesce(_place(lines, _is_address), F.size(lines)))
-    fits = lambda x: ~x.rlike(CARE_OF + r"\b") & acceptable(x) & (n_words(x) >= 2) & ~F.regexp_replace(F.lower(x), ":+$", "").isin(*NAME_LABELS)
+    fits = lambda x: x.rlike(SEVERAL_WORDS) & ~x.rlike(CARE_OF + r"\b") & acceptable(x) & ~F.regexp_replace(F.lower(x), ":+$", "").isin(*NAME_LABELS)
     return F.get(F.filter(before, fits), F.lit(0))
 
 
@@ -112,39 +137,53 @@ def care_of(lines: Column) -> Column:
 
 def address(lines: Column) -> Column:
     """struct(address, pincode): from the address line up to a PIN code or identity number, which ends it."""
-    start = _place(lines, _is_address)
-    head, rest = F.get(lines, start), F.slice(lines, start + 2, 1 << 30)
     ends = lambda x: x.rlike(AADHAAR) | F.upper(x).rlike(PAN)
-    stop = _place(rest, lambda x: ends(x) | x.rlike(PIN))
-    last = F.get(rest, stop)
-    pin = F.when(~ends(last), found(last, PIN))
-    before = F.regexp_replace(F.regexp_extract(last, r"^(.*?)" + PIN, 1), r"^[ ,-]+|[ ,-]+$", "")
-    middle = F.filter(F.slice(rest, 1, F.coalesce(stop, F.size(rest))), lambda x: acceptable(x) | x.rlike(r"\p{Nd}"))
-    parts = F.concat(F.array(F.when(head.contains(":"), F.trim(F.regexp_replace(head, "^[^:]*:", "")))), middle, F.array(F.when(pin.isNotNull() & ~before.rlike(HEADING), before)))
-    joined = F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), ", ")
-    return F.struct(F.when(start.isNotNull(), F.nullif(joined, F.lit(""))).alias("address"), F.when(start.isNotNull(), pin).alias("pincode"))
+
+    def told(head: Column, rest: Column, stop: Column, last: Column, pin: Column) -> Column:
+        before = F.regexp_replace(F.regexp_extract(last, r"^(.*?)" + PIN, 1), r"^[ ,-]+|[ ,-]+$", "")
+        middle = F.filter(F.slice(rest, 1, F.coalesce(stop, F.size(rest))), lambda x: acceptable(x) | x.rlike(r"\p{Nd}"))
+        parts = F.concat(F.array(F.when(head.contains(":"), F.trim(F.regexp_replace(head, "^[^:]*:", "")))), middle, F.array(F.when(pin.isNotNull() & ~before.rlike(HEADING), before)))
+        joined = F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), ", ")
+        return F.struct(F.nullif(joined, F.lit("")).alias("address"), pin.alias("pincode"))
+
+    def behind(start: Column) -> Column:
+        last = lambda rest, stop: bound(F.get(rest, stop), lambda x: bound(F.when(~ends(x), found(x, PIN)), lambda pin: told(F.get(lines, start), rest, stop, x, pin)))
+        return bound(F.slice(lines, start + 2, 1 << 30), lambda rest: bound(_place(rest, lambda x: ends(x) | x.rlike(PIN)), lambda stop: last(rest, stop)))
+
+    return bound(_place(lines, _is_address), lambda start: F.when(start.isNotNull(), behind(start)))
 
 
 def facts(text: Column) -> dict[str, Column]:
-    """Column of each fact, null where the text does not tell it; a null text has none."""
-    lines = lines_of(text)
-    blob = F.array_join(lines, "\n")
-    of, low = kind(blob), F.lower(blob)
-    flat = F.regexp_replace(blob, r"\s+", " ")
-    person = lambda v: F.when(~v.rlike(HEADING), v)
-    place = address(lines)
-    return {
+    """Column of each fact, null where the text does not tell it; a null text has none. For all of them at once see :func:`with_facts`."""
+    return {k: told(text)[k] for k in FACTS}
+
+
+def with_facts(cards: DataFrame, text: str, *others: str) -> DataFrame:
+    """The columns ``others`` of ``cards``, and each fact that its column ``text`` tells; the lines are found once a row."""
+    return cards.select(*others, told(F.col(text)).alias("_told")).select(*others, "_told.*")
+
+
+def told(text: Column) -> Column:
+    """struct of all facts."""
+    return bound(lines_of(text), lambda lines: bound(F.array_join(lines, "\n"), lambda blob: bound(F.lower(blob), lambda low: bound(_kind(low), lambda of: _told(lines, blob, low, of)))))
+
+
+def _told(lines: Column, blob: Column, low: Column, of: Column) -> Column:
+    person = lambda v: bound(v, lambda x: F.when(~x.rlike(HEADING), x))
+    said = lambda sex: low.contains(sex) & low.rlike(rf"\b{sex}\b")
+    number = lambda flat: F.when(of.isin("Aadhaar", "supporting document") & flat.rlike(AADHAAR), F.concat_ws(" ", *[F.regexp_extract(flat, AADHAAR, i) for i in (1, 2, 3)]))
+    columns = {
         "kind": of,
         "full_name": person(F.coalesce(labelled(lines, NAME_LABELS), first_person(lines))),
         "father_name": person(F.coalesce(labelled(lines, FATHER_LABELS), care_of(lines))),
-        "gender": F.when(low.rlike(r"\bfemale\b|महिला|स्त्री"), "Female").when(low.rlike(r"\bmale\b|पुरुष"), "Male"),
+        "gender": F.when(said("female") | contains_any(low, ["महिला", "स्त्री"]), "Female").when(said("male") | low.contains("पुरुष"), "Male"),
         "date_of_birth": birth(lines),
-        "aadhaar_number": F.when(of.isin("Aadhaar", "supporting document") & flat.rlike(AADHAAR), F.concat_ws(" ", *[F.regexp_extract(flat, AADHAAR, i) for i in (1, 2, 3)])),
-        "pan_number": F.when((of == "PAN") | low.rlike(r"\bpan\b|permanent account"), found(F.upper(blob), PAN)),
+        "aadhaar_number": bound(F.regexp_replace(blob, r"\s+", " "), number),
+        "pan_number": F.when((of == "PAN") | _names_pan(low), found(F.upper(blob), PAN)),
         "voter_id": F.when(of == "voter card", found(F.upper(blob), EPIC)),
-        "address": place["address"],
-        "pincode": place["pincode"],
     }
+    places = address(lines)
+    return bound(places, lambda place: F.struct(*[c.alias(k) for k, c in columns.items()], place["address"].alias("address"), place["pincode"].alias("pincode")))
 
 
 def age(birth: Column, today: Column) -> Column:

@@ -245,9 +245,7 @@ _AGED = f"SELECT *, CASE WHEN date_of_birth IS NOT NULL THEN try_strptime(date_o
 
 @query(f"SELECT * EXCLUDE (born), CAST(CASE WHEN born <= TIMESTAMP '2026-11-05' AND date_diff('year', born, TIMESTAMP '2026-11-05') - CASE WHEN strftime(born, '%m%d') > '1105' THEN 1 ELSE 0 END <= 120 THEN date_diff('year', born, TIMESTAMP '2026-11-05') - CASE WHEN strftime(born, '%m%d') > '1105' THEN 1 ELSE 0 END END AS INTEGER) AS age FROM ({_AGED})")
 def extract_facts(spark, sf_dir):
-    cards = view(spark, sf_dir, _CARDS)
-    found = facts.facts(F.col("text"))
-    return cards.select("card_id", *[c.alias(k) for k, c in found.items()]).withColumn("age", facts.age(F.col("date_of_birth"), F.to_date(F.lit("2026-11-05"))))
+    return facts.with_facts(view(spark, sf_dir, _CARDS), "text", "card_id").withColumn("age", facts.age(F.col("date_of_birth"), F.to_date(F.lit("2026-11-05"))))
 
 
 _CLAIMS = """SELECT l_orderkey AS doc, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS id, l_linenumber AS ord, CASE l_partkey % 4 WHEN 0 THEN 'full_name' WHEN 1 THEN 'other' END AS known_id, CASE l_suppkey % 4 WHEN 0 THEN 'age' WHEN 1 THEN 'full_name' WHEN 2 THEN 'date_of_birth' END AS semantic_id,

@@ -121,3 +121,13 @@ def test_the_ratio_bound_loses_no_pair(spark):
     got = {(r.a, r.b): round(r.r, 9) for r in similar_tokens(df, df.withColumnRenamed("a", "b"), 0.72, 1).collect()}
     ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
     assert got == {(a, b): round(ratio(a, b), 9) for a in words for b in words if abs(len(a) - len(b)) <= 1 and ratio(a, b) >= 0.72}
+
+
+def test_facts_find_the_lines_of_a_text_once(spark):
+    cards = spark.createDataFrame([(1, "Name: Ina Rey\ndob 01.02.1990\nAddress: 3 Hill Road\nPune 411045"), (2, None)], "card int, t string")
+    found = facts.with_facts(cards, "t", "card")
+    rows = {r.card: r.asDict() for r in found.collect()}
+    assert rows[1]["full_name"] == "Ina Rey" and rows[1]["date_of_birth"] == "01/02/1990" and rows[1]["address"] == "3 Hill Road, Pune" and rows[1]["pincode"] == "411045"
+    assert rows[2] == {"card": 2, "kind": "supporting document"} | {k: None for k in facts.FACTS if k != "kind"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1

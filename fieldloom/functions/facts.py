@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import bound
+
 # Patterns of numbers on cards, words of printed headings, labels of facts.
 AADHAAR = r"(?<![0-9])([2-9][0-9]{3})[ -]?([0-9]{4})[ -]?([0-9]{4})(?![0-9])"
 PAN = r"\b([A-Z]{5}[0-9]{4}[A-Z])\b"
@@ -38,11 +40,6 @@ def first_of(values: Column) -> Column:
     return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
 
 
-def bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once a row, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(Column.__or__, [text.contains(w) for w in words])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +37,11 @@ LEADERS = ".…·•_⋯‥"
 KEPT_LATIN = ["epic", "sir", "blo", "ac", "no", "dob"]
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
@@ -85,9 +91,12 @@ def initialisms(text: Column) -> Column:
 
 def tidy_caption(text: Column) -> Column:
     """Without repeats of the token before and, in captions of a regional script, without stray short Latin words."""
+    return bound(text, _tidied)
+
+
+def _tidied(text: Column) -> Column:
     parts = F.filter(F.split(collapsed(text), " "), lambda t: t != "")
-    before = F.concat(F.array(F.lit(None).cast("string")), parts)
-    once = F.filter(F.zip_with(parts, before, lambda t, b: F.when(b.isNull() | (t != b), t)), lambda t: t.isNotNull())
+    once = bound(parts, lambda p: F.filter(p, lambda t, i: (i == 0) | (t != F.get(p, i - 1))))
     core = lambda t: F.regexp_replace(t, r"^[()\[\]:/.,]+|[()\[\]:/.,]+$", "")
     scrap = lambda t: core(t).rlike("^[A-Za-z]{1,3}$") & ~F.lower(core(t)).isin(*KEPT_LATIN)
     return F.array_join(F.when(dominant_script(text) == "latin", once).otherwise(F.filter(once, lambda t: ~scrap(t))), " ")
@@ -106,11 +115,19 @@ def without_leaders(text: Column) -> Column:
 
 def question_caption(text: Column) -> Column:
     """The caption of a line that invites an answer: one with a colon at its end or else its start, without it; null for others."""
-    bare = without_leaders(text)
+    return _asked(without_leaders(text))
+
+
+def _asked(bare: Column) -> Column:
     at_end, at_start = bare.rlike("[:：]$"), bare.rlike("^[:：]")
     return blank_to_null(F.when(at_end, F.regexp_replace(bare, "[:：]$", "")).when(at_start, F.regexp_replace(bare, "^[:：]", "")))
 
 
+def element_caption(text: Column) -> Column:
+    """:func:`question_caption` of an array's element: inside a lambda Spark computes a repeated part anew each time."""
+    return bound(without_leaders(text), _asked)
+
+
 def leader_run(text: Column) -> Column:
     """The longest run of three or more leader signs, the first of equals; null without any."""
     runs = F.regexp_extract_all(text, F.lit(f"[{LEADERS}]{{3,}}"), F.lit(0))

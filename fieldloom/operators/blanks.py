@@ -5,11 +5,11 @@ A line's or cell's words are one array, in order, and are folded by column funct
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields
-from ..functions.text import blank_to_null, dominant_script, leader_run, n_words, question_caption, tidy_caption, without_leaders
+from ..functions.text import blank_to_null, bound, dominant_script, leader_run, n_words, element_caption, tidy_caption, without_leaders
 from .layout import banded
 from .pages import BOX, line_texts, visual_lines
 
@@ -34,13 +34,11 @@ def hint_behind(suffix: Column, following: Column) -> Column:
 
     def step(s: Column, word: Column) -> Column:
         said = F.when(s["said"] == "", word).otherwise(F.concat_ws(" ", s["said"], word))
-        closed = said.rlike(r"\([^)]*\)")
-        ended = s["closed"] | s["lost"]
-        return F.struct(F.when(ended, s["said"]).otherwise(said).alias("said"), F.when(ended, s["closed"]).otherwise(closed).alias("closed"), F.when(ended, s["lost"]).otherwise(~closed & (F.length(said) > MOST_SIGNS)).alias("lost"))
+        state = lambda x, closed: F.struct(x.alias("said"), closed.alias("closed"), (~closed & (F.length(x) > MOST_SIGNS)).alias("lost"))
+        return F.when(s["closed"] | s["lost"], s).otherwise(bound(said, lambda x: bound(x.rlike(r"\([^)]*\)"), lambda closed: state(x, closed))))
 
-    end = F.aggregate(following, start, step)
-    inner = F.trim(F.regexp_replace(without_leaders(F.regexp_extract(end["said"], r"\(([^)]*)\)", 1)), "[:：]+$", ""))
-    return F.when(end["closed"] & (F.length(inner) >= 3) & _fits(inner), inner)
+    inner = lambda said: F.trim(F.regexp_replace(without_leaders(F.regexp_extract(said, r"\(([^)]*)\)", 1)), "[:：]+$", ""))
+    return bound(F.aggregate(following, start, step), lambda end: F.when(end["closed"], bound(inner(end["said"]), lambda x: F.when((F.length(x) >= 3) & _fits(x), x))))
 
 
 def _after_word(s: Column, w: Column) -> Column:
@@ -60,7 +58,6 @@ def leader_blanks(words: DataFrame, keys: list[str], ident: str = "id") -> DataF
     the page. The caption is what stands before it since the last run, without an aside in parentheses, or else what
     the parentheses right behind it say. Words without text are passed over. Words of a line are taken from left to right in any script, ties by ``ident``.
     """
-    caption = F.coalesce("hint", "before")
     fits = lambda c: _fits(c) & ~((F.length(c) > 42) & (n_words(c) >= 4))
     full = words.where(F.col("text").isNotNull()).select(*keys, "line", F.col(ident).alias("id"), *[F.col(c).cast("double").alias(c) for c in BOX], "text", leader_run(F.col("text")).alias("run"))
     full = full.withColumn("at", F.instr("text", F.col("run"))).withColumn("n", F.length("run")).withColumn("led", F.col("run").isNotNull())
@@ -77,12 +74,13 @@ def leader_blanks(words: DataFrame, keys: list[str], ident: str = "id") -> DataF
     closing = lambda w: F.coalesce(w["hint"].isNotNull() & fits(w["hint"]) & (w["width"] >= LEAST_WIDTH) & ~w["suffix"].contains(")"), F.lit(False))
     told = F.transform("hinted", lambda w: F.struct(w["text"].alias("text"), w["led"].alias("led"), w["prefix"].alias("prefix"), w["hint"].alias("hint"), closing(w).alias("closing"), w["x"].alias("x"), w["width"].alias("width")))
     start = F.struct(F.array().cast("array<string>").alias("waiting"), F.lit(False).alias("closing"), F.array().cast("array<struct<said:array<string>,hint:string,x:double,width:double>>").alias("met"))
-    met = lines.withColumn("hinted", hinted).withColumn("told", told).select(*keys, "line", "top", "deep", F.posexplode(F.aggregate("told", start, _after_word)["met"]).alias("at", "met"))
-    met = met.select(*keys, "line", "top", "deep", "at", "met.*").withColumn("before", F.trim(F.regexp_replace(without_leaders(F.trim(tidy_caption(F.array_join("said", " ")))), "[:：]+$", "")))
-    met = met.withColumn("before", F.when((F.length("before") >= 3) & ~F.lower("before").isin(*GLUE), F.col("before"))).withColumn("caption", caption)
-    found = met.where(F.col("caption").isNotNull() & fits(F.col("caption")) & (F.col("width") >= LEAST_WIDTH))
-    n = F.row_number().over(Window.partitionBy(*keys, "line").orderBy("at")) - 1
-    return found.select(*keys, "line", n.alias("n"), "caption", "x", (F.col("top") - 2).alias("y"), "width", F.greatest(F.lit(float(LEAST_HEIGHT)), F.col("deep") + 6).alias("height"))
+    before = lambda said: F.trim(F.regexp_replace(without_leaders(F.trim(tidy_caption(F.array_join(said, " ")))), "[:：]+$", ""))
+    caption = lambda m: F.coalesce(m["hint"], bound(before(m["said"]), lambda b: F.when((F.length(b) >= 3) & ~F.lower(b).isin(*GLUE), b)))
+    met = F.transform(F.aggregate("told", start, _after_word)["met"], lambda m: F.struct(caption(m).alias("caption"), m["x"].alias("x"), m["width"].alias("width")))
+    kept = F.filter(met, lambda m: m["caption"].isNotNull() & fits(m["caption"]) & (m["width"] >= LEAST_WIDTH))
+    # for an outer explosion no filter is made that would compute the array again
+    found = lines.withColumn("hinted", hinted).withColumn("told", told).select(*keys, "line", "top", "deep", F.posexplode_outer(kept).alias("n", "met")).where("met IS NOT NULL").select(*keys, "line", "top", "deep", "n", "met.*")
+    return found.select(*keys, "line", "n", "caption", "x", (F.col("top") - 2).alias("y"), "width", F.greatest(F.lit(float(LEAST_HEIGHT)), F.col("deep") + 6).alias("height"))
 
 
 def _joined(a: Column, b: Column) -> Column:
@@ -97,7 +95,10 @@ def unwrapped(lines: Column) -> Column:
     start = F.struct(F.lit(None).cast(kind).alias("held"), F.array().cast(f"array<{kind}>").alias("out"))
 
     def step(s: Column, line: Column) -> Column:
-        asks, held = question_caption(line["text"]).isNotNull(), s["held"]
+        return bound(element_caption(line["text"]).isNotNull(), lambda asks: after(s, line, asks))
+
+    def after(s: Column, line: Column, asks: Column) -> Column:
+        held = s["held"]
         out = F.when(asks & held.isNotNull(), F.concat(s["out"], F.array(_joined(held, line)))).when(asks, F.concat(s["out"], F.array(line))).when(held.isNotNull(), F.concat(s["out"], F.array(held))).otherwise(s["out"])
         return F.struct(F.when(~asks, line).alias("held"), out.alias("out"))
 
@@ -112,18 +113,20 @@ def stacked_blanks(words: DataFrame, cells: DataFrame, keys: list[str], ident: s
     """
     own = [*keys, "cell"]
     placed = visual_lines(words, own, ident)
-    boxes = placed.groupBy(*own, "line").agg(F.min("x").cast("double").alias("left"), F.max(F.col("x") + F.col("width")).cast("double").alias("right"), F.min("y").cast("double").alias("top"), F.max(F.col("y") + F.col("height")).cast("double").alias("bottom"))
-    read = line_texts(placed, own, ident).where(F.trim("text") != "").join(boxes, [*own, "line"])
-    stacks = read.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("line", "text", "left", "right", "top", "bottom"))).alias("lines")).where(F.size("lines") >= 2)
+    box = (F.min("x").cast("double").alias("left"), F.max(F.col("x") + F.col("width")).cast("double").alias("right"), F.min("y").cast("double").alias("top"), F.max(F.col("y") + F.col("height")).cast("double").alias("bottom"))
+    read = line_texts(placed, own, ident, box)
+    said = F.when(F.trim("text") != "", F.struct("line", "text", "left", "right", "top", "bottom"))
+    stacks = read.groupBy(*own).agg(F.array_sort(F.collect_list(said)).alias("lines")).where(F.size("lines") >= 2)
     plain = F.transform("lines", lambda x: F.struct(x["text"].alias("text"), x["left"].alias("left"), x["right"].alias("right"), x["top"].alias("top"), x["bottom"].alias("bottom")))
-    stacks = stacks.withColumn("merged", unwrapped(plain)).join(cells.select(*own, *BOX, "rtl"), own)
+    stacks = stacks.join(cells.select(*own, *BOX, "rtl"), own)
     bare = lambda t: F.trim(F.regexp_replace(F.trim(t), r"^[:：]+|[:：]+$", ""))
-    caption = lambda m: F.coalesce(question_caption(m["text"]), F.when((bare(m["text"]) != "") & (m["right"] - m["left"] <= F.col("width") * 0.72), bare(m["text"])))
-    asked = F.filter(F.transform("merged", lambda m: F.struct(caption(m).alias("caption"), m["left"].alias("left"), m["right"].alias("right"), m["top"].alias("top"), m["bottom"].alias("bottom"))), lambda q: q["caption"].isNotNull() & _fits(q["caption"]))
-    stacks = stacks.withColumn("asked", asked)
-    words_in = lambda k: n_words(F.get("asked", F.lit(k))["caption"])
-    instruction = (F.size("asked") == 2) & F.forall("merged", lambda m: question_caption(m["text"]).isNull()) & (words_in(0) <= 3) & (words_in(1) <= 2)
-    found = stacks.where((F.size("asked") >= 2) & ~instruction).select(*own, *[F.col(c).alias(f"_{c}") for c in BOX], "rtl", F.posexplode("asked").alias("n", "q"))
+    caption = lambda m: F.coalesce(element_caption(m["text"]), F.when(m["right"] - m["left"] <= F.col("width") * 0.72, bound(bare(m["text"]), lambda b: F.when(b != "", b))))
+    asked = lambda merged: F.filter(F.transform(merged, lambda m: F.struct(caption(m).alias("caption"), m["left"].alias("left"), m["right"].alias("right"), m["top"].alias("top"), m["bottom"].alias("bottom"))), lambda q: q["caption"].isNotNull() & _fits(q["caption"]))
+    words_in = lambda asked, k: n_words(F.get(asked, F.lit(k))["caption"])
+    instruction = lambda merged, asked: (F.size(asked) == 2) & F.forall(merged, lambda m: element_caption(m["text"]).isNull()) & (words_in(asked, 0) <= 3) & (words_in(asked, 1) <= 2)
+    several = bound(unwrapped(plain), lambda merged: bound(asked(merged), lambda a: F.when((F.size(a) >= 2) & ~instruction(merged, a), a)))
+    # for an outer explosion no filter is made that would compute the array again
+    found = stacks.select(*own, *[F.col(c).alias(f"_{c}") for c in BOX], "rtl", F.posexplode_outer(several).alias("n", "q")).where("q IS NOT NULL")
     free = F.when(F.col("rtl"), F.col("q.left") - F.col("_x")).otherwise(F.col("_x") + F.col("_width") - F.col("q.right"))
     found = found.withColumn("free", free).where(F.col("free") >= LEAST_WIDTH)
     height = F.greatest(F.lit(float(LEAST_HEIGHT)), F.col("q.bottom") - F.col("q.top"))

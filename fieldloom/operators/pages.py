@@ -5,11 +5,13 @@ A page is named by the columns ``keys``; boxes are columns x, y, width, height.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields, geometry
-from ..functions.text import dominant_script, n_words, question_caption, tidy_caption, without_leaders
+from ..functions.text import bound, dominant_script, n_words, question_caption, tidy_caption, without_leaders
 from .layout import banded
 from .paged import per_key
 
@@ -38,15 +40,15 @@ def visual_lines(words: DataFrame, keys: list[str], ident: str = "id") -> DataFr
     return per_key(words, keys, ["y", "x", ident], ["y", "height"], _rows_of(0.45), "line int")
 
 
-def line_texts(words: DataFrame, keys: list[str], ident: str = "id") -> DataFrame:
-    """keys, line, text: words of each line in reading order, tidied. By reading_index where all words have one, else by place, Arabic reversed."""
+def line_texts(words: DataFrame, keys: list[str], ident: str = "id", more: Sequence[Column] = ()) -> DataFrame:
+    """keys, line, text: words of each line in reading order, tidied. By reading_index where all words have one, else by place, Arabic reversed. ``more``: further aggregates of a line."""
     held = F.collect_list(F.struct(F.col("x"), F.col(ident).alias("id"), F.col("reading_index").alias("at"), "text"))
-    lines = words.groupBy(*keys, "line").agg(held.alias("words"), (F.count("reading_index") == F.count(F.lit(1))).alias("indexed"))
+    lines = words.groupBy(*keys, "line").agg(held.alias("words"), (F.count("reading_index") == F.count(F.lit(1))).alias("indexed"), *more)
     by_place = F.transform(F.array_sort("words"), lambda w: w["text"])
     by_index = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(w["at"].alias("at"), w["id"].alias("id"), w["text"].alias("text")))), lambda w: w["text"])
-    arabic = dominant_script(F.array_join(by_place, " ")) == "arabic"
-    ordered = F.when(F.col("indexed"), by_index).when(arabic, F.reverse(by_place)).otherwise(by_place)
-    return lines.select(*keys, "line", tidy_caption(F.array_join(ordered, " ")).alias("text"))
+    turned = lambda said: F.when(bound(F.array_join(said, " "), dominant_script) == "arabic", F.reverse(said)).otherwise(said)
+    ordered = F.when(F.col("indexed"), by_index).otherwise(bound(by_place, turned))
+    return lines.select(*keys, "line", tidy_caption(F.array_join(ordered, " ")).alias("text"), *lines.columns[len(keys) + 3 :])
 
 
 def table_cells(cells: DataFrame, keys: list[str], ident: str = "id") -> DataFrame:

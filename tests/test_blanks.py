@@ -79,3 +79,14 @@ def test_hint_needs_a_closing_sign_in_time(spark):
     rows = [(1, "(a b c", ["d)"]), (2, "", ["(" + "x" * 80, "y)"]), (3, "(ab)", ["next"]), (4, "(name)", []), (5, None, ["(the :)", "z"])]
     df = spark.createDataFrame(rows, "id int, s string, f array<string>")
     assert {r.id: r.h for r in df.select("id", blanks.hint_behind(F.col("s"), F.col("f")).alias("h")).collect()} == {1: "a b c d", 2: None, 3: None, 4: None, 5: "the"}
+
+
+def test_captions_are_computed_once(spark):
+    """No window numbers the blanks, no filter computes captions again, and the fold over words runs once."""
+    words = spark.createDataFrame([(0, 0, 0, 0.0, 0.0, 60.0, 30.0, "Name......")], WORD)
+    plan = blanks.leader_blanks(words, ["page"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("[posexplode") + plan.count("posexplode(") == 1
+    cell = spark.createDataFrame([(0, 0, 0.0, 0.0, 400.0, 200.0, False)], CELL)
+    held = spark.createDataFrame([(0, 0, 0, 0.0, 0.0, 60.0, 30.0, "Name:", None)], IN_CELL)
+    plan = blanks.stacked_blanks(held, cell, ["page"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, in_script
+from ..functions.text import blank_to_null, bound, in_script
 from . import resolve
 
 # Sources whose answers are guesses, and thresholds of retrieved texts for known and unknown forms.
@@ -140,6 +140,9 @@ def bundle(resolved: DataFrame, texts: DataFrame, messages: DataFrame, languages
     """
     spark = resolved.sparkSession
     full = texts.where(blank_to_null(F.col("text")).isNotNull()).select(key, F.col("origin").alias("_origin"), F.col("part").alias("_of"), F.coalesce("language", F.lit("")).alias("_tongue"), F.trim("text").alias("_text"))
+    # texts that no chain asks for go before any are moved
+    asked = spark.createDataFrame(sorted({(row[3], row[4], t) for row in CHAINS for t in (languages if row[5] == "own" else [row[5]])}), "_origin string, _of string, _tongue string")
+    full = full.join(F.broadcast(asked), ["_origin", "_of", "_tongue"], "left_semi")
     full = full.groupBy(key, "_origin", "_of", "_tongue").agg(F.min("_text").alias("_text"))
     spoken = full.where((F.col("_of") == "what_to_enter") & F.col("_origin").isin("page", "ai")).select(key, F.col("_tongue").alias("language"), F.when(F.col("_origin") == "page", "interpreted").otherwise("model").alias("source"), F.lit(True).alias("_spoken"))
     wanted = resolved.select(key, F.col("source").alias("bundle_source"), "source", "score", "label", "display_label", "concept", F.explode(F.array(*map(F.lit, languages))).alias("language"))
@@ -157,9 +160,11 @@ def bundle(resolved: DataFrame, texts: DataFrame, messages: DataFrame, languages
     steps = steps.withColumnsRenamed({"origin": "_origin", "of": "_of", "tongue": "_tongue"})
     found = steps.join(full, [key, "_origin", "_of", "_tongue"], "left").join(F.broadcast(told), "_of", "left")
     said = F.coalesce(F.col("_said")[F.col("language")], F.col("_said")["en"])
-    text = blank_to_null(F.coalesce(free, F.when(F.col("_origin") == "message", said), F.col("_text")))
-    usable = found.withColumn("_said_text", text).where(F.col("_said_text").isNotNull() & (~F.col("checked") | in_script(F.col("_said_text"), F.col("language"))))
-    part = lambda p: F.min_by(F.when(F.col("part") == p, F.col("_said_text")), F.when(F.col("part") == p, F.col("step"))).alias(p)
+    text = F.coalesce(free, F.when(F.col("_origin") == "message", said), F.col("_text"))
+    fits = lambda t: F.when((t != "") & (~F.col("checked") | in_script(t, F.col("language"))), t)
+    # a filter on this column would compute it again: steps without a usable text have no place instead
+    usable = found.withColumn("_said_text", bound(F.trim(text), fits))
+    part = lambda p: F.min_by("_said_text", F.when((F.col("part") == p) & F.col("_said_text").isNotNull(), F.col("step"))).alias(p)
     parts = usable.groupBy(key, "language").agg(*map(part, PARTS))
     out = wanted.join(parts, [key, "language"], "left").withColumn("what_to_enter", F.trim(F.concat_ws(" ", "what_to_enter", "note")))
     return out.select(key, "language", "source", *PARTS[:-1], resolve.confidence(F.col("source"), F.col("score")).alias("confidence"), resolve.verify(F.col("source"), F.col("score")).alias("verify"), F.col("source").isin(*INFERRED).alias("inferred"), "bundle_source")

@@ -16,11 +16,13 @@ from .work import computed
 TOP = 5
 #: Rows of a block of queries and of a block of vectors, as they meet in one task.
 QUERY_BLOCK = 1024
+#: Queries of a block whose distances stand in a task at once.
+QUERY_SLICE = 64
 VECTOR_BLOCK = 16384
 #: Tokens of all queries that may be sent to the tasks, about 100 MB there.
 SENT_TOKENS = 2_000_000
 #: Postings, and pairs of documents and queries, that a task holds at once.
-CELLS = 4_000_000
+CELLS = 1_000_000
 #: Share of a query's tokens, the rarest, by which joins begin.
 RARE = 0.3
 #: Forms of a block: one block is sent to the tasks, of more each document meets every one.
@@ -143,10 +145,18 @@ def lexical_topk(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str
     meet queries by joins on their rare tokens.
     """
     q = queries.select(F.col(query_id).alias("query"), F.array_distinct(tokens(F.col(text))).alias("tokens"))
-    d = docs.select(F.col(doc_id).alias("doc"), F.array_distinct(tokens(F.col(text))).alias("tokens")).where(F.size("tokens") > 0)
-    total = q.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    if total > most_tokens:
-        return _joined_topk(q, d, k)
+    d = docs.select(F.col(doc_id).alias("doc"), F.array_distinct(tokens(F.col(text))).alias("tokens"))
+    if _n_tokens(q) > most_tokens:
+        return _joined_topk(q, d.where(F.size("tokens") > 0), k)
+    return _best(_sent_pairs(q, d, k), k)
+
+
+def _n_tokens(q: DataFrame) -> int:
+    return q.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+
+
+def _sent_pairs(q: DataFrame, d: DataFrame, k: int) -> DataFrame:
+    """Pairs (the columns of ``q`` but its tokens, doc, n, nq, nd) with each query's k best documents of each task, by queries (tokens) sent to the tasks that read documents (doc, tokens)."""
     rows = q.where(F.size("tokens") > 0).toArrow()
     lists = rows.column("tokens").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
@@ -154,22 +164,40 @@ def lexical_topk(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str
     order = np.argsort(words.indices.to_numpy(), kind="stable")
     first = np.searchsorted(words.indices.to_numpy()[order], np.arange(len(words.dictionary) + 1))
     posts = np.repeat(np.arange(len(sizes)), sizes)[order]
-    sent = docs.sparkSession.sparkContext.broadcast((words.dictionary.to_pylist(), first, posts, sizes))
-    names = docs.sparkSession.createDataFrame(pa.table({"number": pa.array(np.arange(len(sizes))), "query": rows.column("query"), "nq": pa.array(sizes.astype(np.int64))}))
-    found = d.mapInArrow(_overlaps(sent, k, ["doc", "number", "n", "nd"]), f"doc {docs.schema[doc_id].dataType.simpleString()}, number long, n long, nd long")
-    return _best(found.join(F.broadcast(names), "number"), k)
-
-
-def retrieved(queries: DataFrame, chunks: DataFrame, least: float = 0.35, least_unknown: float = 0.62, k: int = TOP) -> DataFrame:
+    sent = d.sparkSession.sparkContext.broadcast((words.dictionary.to_pylist(), first, posts, sizes))
+    names = d.sparkSession.createDataFrame(rows.drop_columns("tokens").append_column("number", pa.array(np.arange(len(sizes)))).append_column("nq", pa.array(sizes.astype(np.int64))))
+    found = d.mapInArrow(_overlaps(sent, k, ["doc", "number", "n", "nd"]), f"doc {d.schema['doc'].dataType.simpleString()}, number long, n long, nd long")
+    return found.join(F.broadcast(names), "number").drop("number")
+
+
+def _sent_retrieved(q: DataFrame, c: DataFrame, floor: Column, k: int) -> DataFrame:
+    """:func:`retrieved` by one pass over the chunks. Tokens bear their language, or language and form: each query asks for both, a chunk answers to both."""
+    bear = lambda *of: F.transform("tokens", lambda t: F.concat(*of, t))
+    both = lambda form: F.array(F.struct(F.lit(False).alias("own"), bear(F.lit("l"), "language", F.lit("\0")).alias("tokens")), F.struct(F.lit(True).alias("own"), bear(F.lit("f"), "language", F.lit("\0"), form, F.lit("\0")).alias("tokens")))
+    asked = q.select("query", "form", F.explode(both(F.col("form"))).alias("x")).select("query", "form", "x.own", "x.tokens").where("tokens[0] IS NOT NULL")
+    said = c.select("doc", F.explode(both(F.col("form_id"))).alias("x")).select("doc", F.when(F.get("x.tokens", F.lit(0)).isNotNull(), F.col("x.tokens")).otherwise(F.array().cast("array<string>")).alias("tokens"))
+    scored = _sent_pairs(asked, said, k).withColumn("score", F.round(F.col("n") / (F.col("nq") + F.col("nd") - F.col("n")), 6))
+    ranked = computed(scored.withColumn("rank", F.row_number().over(Window.partitionBy("query", "own").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k))
+    # a form has a hit if any of its chunks shares a token with the query
+    hit = ranked.where("own").select("query").distinct()
+    found = ranked.where("own").unionByName(ranked.where("NOT own").join(hit, "query", "left_anti"))
+    return found.where(F.col("score") >= floor).select("query", F.col("doc").alias("chunk"), "score", "rank", (F.col("form").isNotNull() & ~F.col("own")).alias("widened"))
+
+
+def retrieved(queries: DataFrame, chunks: DataFrame, least: float = 0.35, least_unknown: float = 0.62, k: int = TOP, most_tokens: int = SENT_TOKENS) -> DataFrame:
     """query, chunk, score, rank, widened: the k best chunks of the query's language and form; a form without any hit is asked again in its language alone (widened).
 
     ``queries``: query, text, language, form_id (null: unknown form). ``chunks``: chunk, text, language, form_id. Only scores of ``least``, for unknown
     forms ``least_unknown``, count. Sets of n tokens whose similarity is s share one of the n - s n + 1 rarest of either, so
     queries meet chunks on language and those tokens alone; whether a form has any hit is asked of its tokens, once each. Ids are taken to be unique.
+    Queries with up to ``most_tokens`` tokens together are sent to the tasks instead, where chunks are read once.
     """
     floor = F.when(F.col("form").isNull(), float(max(least, least_unknown))).otherwise(float(least))
     q = queries.select("query", "language", F.col("form_id").alias("form"), F.array_distinct(tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0)
-    c = chunks.select(F.col("chunk").alias("doc"), "language", "form_id", F.array_distinct(tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0)
+    c = chunks.select(F.col("chunk").alias("doc"), "language", "form_id", F.array_distinct(tokens(F.col("text"))).alias("tokens"))
+    if 2 * _n_tokens(q) <= most_tokens:
+        return _sent_retrieved(q, c, floor, k)
+    c = computed(c.where(F.size("tokens") > 0))
     spoken = c.select("language", F.col("form_id").alias("form"), F.explode("tokens").alias("token")).distinct()
     hit = q.where("form IS NOT NULL").select("query", "language", "form", F.explode("tokens").alias("token")).join(spoken, ["language", "form", "token"], "left_semi").select("query").distinct()
     ranked = rare_first(q, c, ["language"]).join(hit.withColumn("hit", F.lit(True)), "query", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
@@ -212,11 +240,15 @@ def _nearest(k: int):
             q, v = _matrix(queries.column("v")), _matrix(vectors.column("v"))
             names, asked = vectors.column("id").to_numpy(), queries.column("id").to_numpy()
             # candidates by one product, their distances anew from the differences
-            about = (q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * (q @ v.T)
-            reach = np.partition(about, min(k, v.shape[0]) - 1, axis=1)[:, min(k, v.shape[0]) - 1]
+            length = (v**2).sum(1)
             scale = 1e-5 + 1e-9 * (np.abs(q).max() ** 2 + np.abs(v).max() ** 2) * q.shape[1]
             for i in range(len(q)):
-                near = np.flatnonzero(about[i] <= reach[i] + scale)
+                if i % QUERY_SLICE == 0:
+                    about = q[i : i + QUERY_SLICE] @ (-2 * v.T)
+                    about += length
+                    about += (q[i : i + QUERY_SLICE] ** 2).sum(1)[:, None]
+                row = about[i % QUERY_SLICE]
+                near = np.flatnonzero(row <= np.partition(row, min(k, v.shape[0]) - 1)[min(k, v.shape[0]) - 1] + scale)
                 distance = ((v[near] - q[i]) ** 2).sum(1).round(6)
                 best = np.lexsort((names[near], distance))[:k]
                 out["query"].append(np.full(len(best), asked[i]))

@@ -285,3 +285,55 @@ def test_forms_in_blocks_score_alike(spark, monkeypatch):
     assert match() == whole
     none = retrieval.match_form(docs, forms.where("ord < 0"), F.col("text"), F.col("labels"), F.lit("bank")).collect()
     assert len(none) == 5 and all(r.form_id is None for r in none)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_no_chain_are_not_moved(spark):
+    from fieldloom.operators import bundle
+
+    resolved = spark.createDataFrame([(1, "known", 0.9, "Name", None, None), (2, "retrieved", 0.5, None, None, "c")], "field int, source string, score double, label string, display_label string, concept string")
+    texts = spark.createDataFrame([(1, "kb", "what_to_enter", "en", "write"), (1, "kb", "id", "en", "no chain asks for it"), (2, "hit", "what_to_enter", "hi", "नाम"), (2, "kb", "note", "", "x")], "field int, origin string, part string, language string, text string")
+    messages = spark.createDataFrame([("unavailable", "en", "none")], "key string, language string, message string")
+    found = bundle.bundle(resolved, texts, messages, ["en", "hi"])
+    rows = {(r.field, r.language): r for r in found.collect()}
+    assert rows[1, "en"].what_to_enter == "write" and rows[2, "hi"].what_to_enter == "नाम" and rows[2, "en"].what_to_enter == "none"
+    assert "LeftSemi" in _plan(found)
+
+
+def test_queries_sent_or_joined_retrieve_the_same(spark):
+    from fieldloom.operators import retrieval
+
+    say = lambda i, n: " ".join(f"w{(i * k) % 17}" for k in range(1, n))
+    queries = spark.createDataFrame([(i, say(i, 6), ["en", "de", None][i % 3], [None, "a", "z"][i % 4 % 3]) for i in range(12)], "query int, text string, language string, form_id string")
+    chunks = spark.createDataFrame([(i, say(i, 3 + i % 9), ["en", "de"][i % 2], ["a", "b", None][i % 3]) for i in range(60)] + [(90, None, "en", "a")], "chunk int, text string, language string, form_id string")
+    found = [sorted(map(tuple, retrieval.retrieved(queries, chunks, 0.1, 0.2, most_tokens=n).collect())) for n in (0, 10**6)]
+    assert found[0] == found[1] and len(found[0]) > 20 and any(r[4] for r in found[0])
+
+
+def test_tokens_of_documents_are_found_once(spark):
+    from fieldloom.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc int, text string")
+    assert _plan(retrieval.lexical_topk(docs, docs, "doc", "doc")).count("regexp_extract_all(") == 1
+
+
+def test_distances_stand_in_slices_of_queries():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldloom.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    side = lambda n: pa.table({"id": pa.array(np.arange(n)), "v": pa.FixedSizeListArray.from_arrays(pa.array(rng.random(n * 8)), 8).cast(pa.list_(pa.float64()))})
+    q, v = side(512), side(8192)
+    tracemalloc.start()
+    found = retrieval._nearest(3)((), q, v)
+    assert tracemalloc.get_traced_memory()[1] < 24 << 20 and found.num_rows == 3 * 512
+    tracemalloc.stop()
+    m = retrieval._matrix(v.column("v"))
+    assert found.column("vector").to_pylist()[:3] == np.argsort(((m - retrieval._matrix(q.column("v"))[0]) ** 2).sum(1))[:3].tolist()

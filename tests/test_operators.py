@@ -337,3 +337,11 @@ def test_distances_stand_in_slices_of_queries():
     tracemalloc.stop()
     m = retrieval._matrix(v.column("v"))
     assert found.column("vector").to_pylist()[:3] == np.argsort(((m - retrieval._matrix(q.column("v"))[0]) ** 2).sum(1))[:3].tolist()
+
+
+def test_fold_tells_null_keys_from_nan(spark):
+    from fieldloom.operators.paged import per_key
+
+    rows = [(None, 1, ["a"]), (float("nan"), 1, ["b"]), (float("nan"), 2, None), (None, 2, ["c"]), (1.0, 1, ["d"])]
+    found = per_key(spark.createDataFrame(rows, "k double, at int, kept array<string>").coalesce(1), ["k"], ["at"], ["at"], lambda x: [(len(x), None if len(x) == 1 else "several")] * len(x), "n int, said string")
+    assert sorted((str(r.k), r.at, r.kept, r.n, r.said) for r in found.collect()) == [("1.0", 1, ["d"], 1, None), ("None", 1, ["a"], 2, "several"), ("None", 2, ["c"], 2, "several"), ("nan", 1, ["b"], 2, "several"), ("nan", 2, None, 2, "several")]

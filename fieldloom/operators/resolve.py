@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.facts import OTHER_PERSONS, age
 from ..functions.fields import field_type_for
 from ..functions.text import blank_to_null, match_tokens
+from .work import computed
 
 CONFIDENT = 0.74
 LEAST = 0.52
@@ -90,10 +91,11 @@ def resolve(labels: DataFrame, aliases: DataFrame, keywords: DataFrame | None =
     Pairs come from joins on tokens and lengths, never from all labels with all aliases.
     """
     own = labels.select("label", "field_type").distinct().withColumn("lt", match_tokens(F.col("label"))).where(F.size("lt") > 0)
-    own = own.select(F.xxhash64("label", "field_type").alias("id"), "label", "field_type", "lt")
-    known = aliases.select("entry_id", "pos", "alias", match_tokens(F.col("alias")).alias("at")).where(F.size("at") > 0)
+    # folded once: every layer below reads them, and each fold holds Python workers of its own
+    own = computed(own.select(F.xxhash64("label", "field_type").alias("id"), "label", "field_type", "lt"))
+    known = computed(aliases.select("entry_id", "pos", "alias", match_tokens(F.col("alias")).alias("at")).where(F.size("at") > 0))
     scored = _worded(own.select("id", "lt"), known, fuzzy)
-    best = scored.groupBy("id", "entry_id").agg(F.min(F.struct((-F.col("base")).alias("less"), "pos", "alias", "at", "base", "how")).alias("x")).select("id", "entry_id", "x.alias", "x.at", "x.base", "x.how")
+    best = computed(scored.groupBy("id", "entry_id").agg(F.min(F.struct((-F.col("base")).alias("less"), "pos", "alias", "at", "base", "how")).alias("x")).select("id", "entry_id", "x.alias", "x.at", "x.base", "x.how"))
     if keywords is not None:
         more = _keyworded(own.select("id", "lt"), keywords, fuzzy)
         best = best.unionByName(more.join(best.select("id", "entry_id"), ["id", "entry_id"], "left_anti"))

@@ -143,7 +143,8 @@ def bundle(resolved: DataFrame, texts: DataFrame, messages: DataFrame, languages
     # texts that no chain asks for go before any are moved
     asked = spark.createDataFrame(sorted({(row[3], row[4], t) for row in CHAINS for t in (languages if row[5] == "own" else [row[5]])}), "_origin string, _of string, _tongue string")
     full = full.join(F.broadcast(asked), ["_origin", "_of", "_tongue"], "left_semi")
-    full = full.groupBy(key, "_origin", "_of", "_tongue").agg(F.min("_text").alias("_text"))
+    # dealt before they are grouped: a scan's task, whose few bytes can stand for many texts, keeps no groups
+    full = full.repartition(key).groupBy(key, "_origin", "_of", "_tongue").agg(F.min("_text").alias("_text"))
     spoken = full.where((F.col("_of") == "what_to_enter") & F.col("_origin").isin("page", "ai")).select(key, F.col("_tongue").alias("language"), F.when(F.col("_origin") == "page", "interpreted").otherwise("model").alias("source"), F.lit(True).alias("_spoken"))
     wanted = resolved.select(key, F.col("source").alias("bundle_source"), "source", "score", "label", "display_label", "concept", F.explode(F.array(*map(F.lit, languages))).alias("language"))
     wanted = wanted.join(spoken, [key, "language", "source"], "left")

@@ -191,13 +191,17 @@ def kept_fields(found: DataFrame, words: DataFrame, keys: list[str], band: float
     w = banded(words.select(*keys, F.col(ident).alias("_word"), "text", *BOX), F.col("y"), F.col("y") + F.col("height"), band)
     met = f.join(w, [*keys, "band"]).where(F.col("band") == F.floor(F.greatest("_y", "y") / band))
     field, word = geometry.box("_"), geometry.box()
-    held = F.when(geometry.contains(field, word), F.struct(F.col("y"), F.col("x"), F.col("_word"), F.col("text")))
-    glyph = F.col("field_type").isin(*fields.MARK_TYPES) & geometry.contains(word, field, 0.004, 0.85)
-    sums = met.groupBy(*keys, "_field", "field_type").agg(F.max(glyph).alias("glyph"), F.array_sort(F.collect_list(held)).alias("held"))
-    said = F.lower(F.array_join(F.transform("held", lambda x: x["text"]), " "))
-    office = F.exists(F.array(*map(F.lit, fields.OFFICE)), lambda t: said.contains(t))
-    gone = sums.where(F.col("glyph") | office | ((F.size("held") >= 4) & (F.col("field_type") != "multiline"))).select(*keys, F.col("_field").alias(ident))
-    return found.join(gone, [*keys, ident], "left_anti")
+    inside = F.coalesce(geometry.contains(field, word), F.lit(False))
+    glyph = F.coalesce(F.col("field_type").isin(*fields.MARK_TYPES) & geometry.contains(word, field, 0.004, 0.85), F.lit(False))
+    # only pairs that tell against a field are grouped
+    told = met.withColumn("_inside", inside).withColumn("_glyph", glyph).where("_inside OR _glyph")
+    held = F.when(F.col("_inside"), F.struct(F.col("y"), F.col("x"), F.col("_word"), F.col("text")))
+    sums = told.groupBy(*keys, "_field", "field_type").agg(F.max("_glyph").alias("glyph"), F.sort_array(F.collect_list(held)).alias("held"))
+    # joined once, not for each note
+    office = bound(F.lower(F.array_join(F.transform("held", lambda x: x["text"]), " ")), lambda said: F.greatest(*[said.contains(t) for t in fields.OFFICE]))
+    gone = sums.where(F.col("glyph") | office | ((F.size("held") >= 4) & (F.col("field_type") != "multiline"))).select(*keys, F.col("_field").alias(ident)).distinct()
+    # Spark moves an anti-join into the parts of a union, and would find what goes again for each of them
+    return found.join(gone.withColumn("_gone", F.lit(True)), [*keys, ident], "left").where("_gone IS NULL").select(*found.columns)
 
 
 def without_unnamed(found: DataFrame, keys: list[str], named: Column, keep: Column, least: int = 3) -> DataFrame:

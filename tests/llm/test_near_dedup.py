@@ -73,3 +73,22 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(1, 1), (7, 3), (3, 7), (3, 9)]
     got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
     assert got == {**dict.fromkeys(range(100, 141), 100), 1: 1, 3: 3, 7: 3, 9: 3}
+
+
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    plans, written = {}, N.shared.written
+
+    def seen(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name, **options)
+
+    monkeypatch.setattr(N.shared, "written", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = sample(3)
+        got = N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=3, percent=85, rows=6, bands=24).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(docs, 3, 85)
+    # the texts of sets meet their filter without a shuffle
+    assert "SortMergeJoin" not in plans["near-sets"] and "ShuffledHashJoin" not in plans["near-sets"]
